@@ -5,9 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from leadlake.functions import semantics as S
 from leadlake.operators import dashboards as D
+from leadlake.operators import dedupe as M
+from leadlake.operators import listing as L
+from leadlake.operators import profiles as P
+from leadlake.operators import stage_engine as G
 from leadlake.operators import views as V
+from leadlake.sources.batches import load_batch
 from leadlake.sources.fixtures import CLOCK, load_fixture
 from leadlake.sources.tables import Tables
 
@@ -18,21 +25,113 @@ def over_tables(fn: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: fn(load_fixture(spark, sf_dir))
 
 
-VIEWS = {f.__name__: f for f in (V.leads_full, V.dashboard_stats, V.revenue_summary)}
-PLAIN = {
-    f.__name__: f
-    for f in (
+def with_batch(name: str, fn: Callable[[Tables, DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = load_fixture(spark, sf_dir)
+        return fn(t, load_batch(spark, t, name))
+
+    return run
+
+
+def _ids(array: str, field: str = "id", sep: str = ",", missing: str = "-"):
+    return F.array_join(
+        F.transform(array, lambda x: F.coalesce(x[field].cast("string"), F.lit(missing))), sep
+    )
+
+
+def _by_name(*functions) -> dict[str, Callable]:
+    return {f.__name__: f for f in functions}
+
+
+def _lead_360(t: Tables) -> DataFrame:
+    money = F.aggregate("revenue", F.lit(0).cast(S.EXACT_SUM), lambda a, x: (a + x["total_value"]).cast(S.EXACT_SUM))
+    return P.lead_360(t).select(
+        "lead_id", "patient_name", "facility_name", "speciality_name", "doctor_name", "agent_name", "part", "parts",
+        _ids("interactions").alias("interaction_ids"),
+        _ids("interactions", "agent_name").alias("interaction_agents"),
+        _ids("appointments").alias("appointment_ids"),
+        _ids("appointments", "facility_name").alias("appointment_facilities"),
+        _ids("revenue").alias("revenue_ids"), money.alias("revenue_sum"),
+    )
+
+
+def _patient_360(t: Tables, variant: str, field: str, out: str) -> DataFrame:
+    return P.patient_360(t, variant).select(
+        "patient_id", "full_name", "part", "parts", _ids("leads").alias("lead_ids"), _ids("leads", field).alias(out)
+    )
+
+
+def _duplicate_documents(t: Tables) -> DataFrame:
+    return M.duplicate_documents(t).select(
+        "type", "key", "count", "part", "parts", F.array_join("ids", ",").alias("ids"),
+        _ids("members", "full_name", "|").alias("names"), _ids("members", "primary_phone", "|").alias("phones"),
+    )
+
+
+def _merge(t: Tables, requests: DataFrame) -> DataFrame:
+    done = M.merge_patients(t, requests)
+    out = done.rejects.select(
+        F.col("reason").alias("entity"), F.col("secondary_id").alias("id"), F.col("primary_id").alias("patient_id")
+    )
+    for entity, df in (("lead", done.tables.leads), ("appointment", done.tables.appointments), ("revenue", done.tables.revenue)):
+        out = out.unionByName(df.select(F.lit(entity).alias("entity"), "id", "patient_id"))
+    return out.unionByName(done.tables.patients.select(F.lit("patient").alias("entity"), "id", F.col("id").alias("patient_id")))
+
+
+def _known_requests(t: Tables, requests: DataFrame) -> DataFrame:
+    known = t.patients.select(F.col("id").alias("primary_id"))
+    return M.resolve_mapping(requests.join(known, "primary_id", "left_semi"))[0]
+
+
+_TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
+    **_by_name(
+        V.leads_full, V.dashboard_stats, V.revenue_summary,
         D.leads_by_source, D.leads_by_speciality, D.revenue_total, D.recent_leads, D.channel_conversion,
         D.top_campaigns, D.funnel, D.speciality_conversion, D.top_doctors, D.facility_conversion,
         D.revenue_by_speciality_all, D.no_show_rate, D.revenue_breakdown, D.revenue_by_month,
         D.revenue_by_channel, D.revenue_by_speciality, D.revenue_by_facility, D.high_value_patients,
         D.revenue_by_payment_status, D.facility_leads, D.exec_summary,
-    )
+        L.list_leads, L.visible_leads, L.list_appointments, L.list_revenue, L.list_patients,
+        L.list_facilities, L.list_specialities, L.list_users, L.lead_interactions, L.audit_trail,
+        L.list_webhooks, L.active_webhooks,
+        M.duplicates_by_name, M.duplicates_by_phone, M.duplicate_groups,
+        G.attempt_numbers, G.apply_interactions, G.latest_followup,
+    ),
+    **{
+        f.__name__: (lambda t, f=f: f(t, CLOCK))
+        for f in (D.at_risk_leads, D.leads_by_month, D.speciality_trend, D.channel_trend)
+    },
+    "filter_leads": lambda t: L.list_leads(
+        t, stage="Interested ", source="organic", date_from="1997-01-01", date_to="1999-12-31"),
+    "search_leads": lambda t: L.list_leads(t, search="PATIENT 12"),
+    "page_info": lambda t: L.page_info(L.filter_leads(t.leads, stage="customer"), 1, 2000),
+    "sort_leads": lambda t: L.sort_leads(L.list_leads(t), "source", "asc").limit(200),
+    "lead_page": lambda t: L.lead_page(t, 3, 50, "stage"),
+    "lead_page_by_facility": lambda t: L.lead_page(t, 2, 900, "facility", "ASC"),
+    "appointments_in_range": lambda t: L.list_appointments(
+        t, status="no_show", date_from="1998-01-01", date_to="1998-12-31"),
+    "appointment_page": lambda t: L.appointment_page(t, 2),
+    "revenue_page": L.revenue_page,
+    "revenue_list_summary": lambda t: L.revenue_list_summary(
+        t, facility_id=3, date_from="1997-01-01", date_to="1999-12-31"),
+    "patient_page": lambda t: L.patient_page(t, search="10"),
+    "list_doctors": lambda t: L.list_doctors(t).withColumn("consult_type", F.array_join("consult_type", "|")),
+    "ad_spend_for": lambda t: L.ad_spend_for(t, as_of=CLOCK),
+    "lead_360": _lead_360,
+    "patient_360": lambda t: _patient_360(t, "history", "facility", "facilities"),
+    "patient_360_enquiry": lambda t: _patient_360(t, "enquiry", "enquiry_type", "types"),
+    "duplicate_documents": _duplicate_documents,
+    "classify": lambda t: G.classify(t.interactions).select("id", "is_attempt", "is_no_response"),
+}
+
+_BATCH_QUERIES: dict[str, tuple[str, Callable[[Tables, DataFrame], DataFrame]]] = {
+    "resolve_mapping": ("merge_requests", _known_requests),
+    "merge_patients": ("merge_requests", _merge),
+    "apply_events": ("event_log", G.apply_events),
 }
-CLOCKED = {f.__name__: f for f in (D.at_risk_leads, D.leads_by_month, D.speciality_trend, D.channel_trend)}
 
 
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {k: over_tables(f) for k, f in {**VIEWS, **PLAIN}.items()}
-    found.update({k: over_tables(lambda t, f=f: f(t, CLOCK)) for k, f in CLOCKED.items()})
+    found = {k: over_tables(f) for k, f in _TABLE_QUERIES.items()}
+    found.update({k: with_batch(b, f) for k, (b, f) in _BATCH_QUERIES.items()})
     return found

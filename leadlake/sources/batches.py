@@ -1 +1,49 @@
-BATCHES: dict[str, str] = {}
+"""Inputs of the write and event jobs, projected from the fixtures.
+
+Like the fixtures, each text runs unchanged in Spark and in DuckDB, reads whole
+tables and may build on fixtures (``c_…``) and other batches (``b_…``).
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+from leadlake.sources.tables import Tables
+
+NEW_ID = 1_000_000_000_000  # ids of rows a batch creates start here
+
+BATCHES: dict[str, str] = {
+    # Interactions, bookings, visits, bills and manual changes of all leads in one sequence.
+    "event_log": """
+select lead_id, id * 8 as seq, 'interaction' as kind, interaction_type, outcome, followup_date,
+ cast(null as string) as stage, cast(null as string) as substage from c_interactions
+union all
+select lead_id, id * 8 + 1, 'booking', null, null, null, null, null from c_appointments
+union all
+select lead_id, id * 8 + 2, 'visit', null, null, null, null, null from c_appointments where visit_status = 'visited'
+union all
+select lead_id, id * 8 + 3, 'revenue', null, null, null, null, null from c_revenue
+union all
+select cast(entity_id as bigint), id * 8 + 4, 'manual', null, null, null,
+ case user_id % 4 when 0 then 'interested' when 1 then 'untouched' when 2 then 'attempted' else 'potential' end,
+ case when id % 2 = 0 then null else 'By hand' end
+from c_audit_logs where action = 'STAGE_CHANGE'""",
+    # Later duplicates merge into the patient of the same name, or of the same phone, before them.
+    "merge_requests": """
+select id as seq, id as secondary_id, case when id % 5 = 4 then id - 1 when id % 7 = 6 then id - 1
+  when id % 11 = 10 then id else -1 end as primary_id
+from c_patients""",
+}
+
+
+def load_batch(spark: SparkSession, t: Tables, name: str) -> DataFrame:
+    """One batch over the given tables."""
+    text = BATCHES[name]
+    for inner in dict.fromkeys(re.findall(r"\bb_([a-z_]+)\b", text)):
+        load_batch(spark, t, inner).createOrReplaceTempView(f"b_{inner}")
+    for inner in dict.fromkeys(re.findall(r"\bc_([a-z_]+)\b", text)):
+        if inner in t:
+            t[inner].createOrReplaceTempView(f"c_{inner}")
+    return spark.sql(text)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from leadlake.checks.oracle_more import MORE_SQL
+from leadlake.checks.oracle_writes import WRITES_SQL
 from leadlake.schema import TABLES
 from leadlake.sources.batches import BATCHES
 from leadlake.sources.fixtures import fixture_sql
@@ -170,6 +172,5 @@ DASHBOARD_SQL = {
 
 
 def oracle_sql() -> dict[str, str]:
-    from leadlake.checks.oracle_more import MORE_SQL
-
-    return {k: with_fixtures(v) for k, v in {**VIEW_SQL, **DASHBOARD_SQL, **MORE_SQL}.items()}
+    every = {**VIEW_SQL, **DASHBOARD_SQL, **MORE_SQL, **WRITES_SQL}
+    return {k: with_fixtures(v) for k, v in every.items()}

@@ -8,15 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlake.functions import semantics as S
+from leadlake.operators import audit as A
 from leadlake.operators import dashboards as D
 from leadlake.operators import dedupe as M
+from leadlake.operators import features as X
+from leadlake.operators import integrity as I
 from leadlake.operators import listing as L
+from leadlake.operators import outbox as O
 from leadlake.operators import profiles as P
 from leadlake.operators import stage_engine as G
 from leadlake.operators import views as V
-from leadlake.sources.batches import load_batch
+from leadlake.operators import writes as W
+from leadlake.plans.bundles import dashboard
+from leadlake.sources.batches import NEW_ID, load_batch
 from leadlake.sources.fixtures import CLOCK, load_fixture
-from leadlake.sources.tables import Tables
+from leadlake.sources.tables import (
+    Tables, apply_defaults, enum_violations, insert_ignore, to_documents, with_total_value,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,7 +36,7 @@ def over_tables(fn: Callable[[Tables], DataFrame]) -> Query:
 def with_batch(name: str, fn: Callable[[Tables, DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = load_fixture(spark, sf_dir)
-        return fn(t, load_batch(spark, t, name))
+        return fn(t, load_batch(spark, sf_dir, t, name))
 
     return run
 
@@ -131,7 +139,192 @@ _BATCH_QUERIES: dict[str, tuple[str, Callable[[Tables, DataFrame], DataFrame]]]
 }
 
 
+# --- write jobs: new tables and refused rows as one frame (entity, key, detail) ---------
+
+
+def _report(done, reject_key: str, tables: dict[str, list[str]]) -> DataFrame:
+    out = done.rejects.select(
+        F.concat(F.lit("reject "), F.col("reason")).alias("entity"),
+        F.col(reject_key).cast("string").alias("key"), F.lit("").alias("detail"),
+    )
+    for table, (key, *cols) in tables.items():
+        df = done.tables[table]
+        if table == "doctors":
+            df = df.withColumn("consult_type", F.array_join("consult_type", ","))
+        shown = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in cols]
+        out = out.unionByName(df.select(
+            F.lit(table).alias("entity"), F.col(key).cast("string").alias("key"),
+            F.concat_ws("|", *shown).alias("detail"),
+        ))
+    return out
+
+
+def numbered_ids(table: str, seq):
+    """Whole-number ids like those of the fixtures."""
+    return seq + F.lit(NEW_ID)
+
+
+def _patch(batch: DataFrame, **flags: str) -> DataFrame:
+    """Requests whose fields are present where their flag column says so."""
+    entries = F.map_from_arrays(
+        F.array(*[F.lit(c) for c in flags]),
+        F.array(*[F.struct(F.col(f).alias("on"), (F.col(c) if c in batch.columns else F.lit("x")).alias("v"))
+                  for c, f in flags.items()]),
+    )
+    fields = F.transform_values(F.map_filter(entries, lambda _, e: e["on"]), lambda _, e: e["v"])
+    return batch.select("id", "seq", fields.alias("fields"))
+
+
+LEAD_STATE = ["id", "lead_stage", "lead_substage", "updated_at"]
+_WRITE_QUERIES = {
+    "ingest_leads": ("lead_intake", lambda t, b: _report(
+        W.ingest_leads(t, b, CLOCK, numbered_ids), "seq",
+        {"patients": ["id", "unique_pid", "full_name", "primary_phone", "email", "city", "patient_type"],
+         "leads": ["id", "patient_id", "facility_id", "doctor_id", "assigned_to", "lead_source", "enquiry_type", "urgency",
+                   "campaign_name", "lead_stage", "lead_substage", "ai_score", "enquiry_date"]})),
+    "update_leads": ("lead_patches", lambda t, b: _report(
+        W.update_leads(t, _patch(b, campaign_name="has_campaign", urgency="has_urgency", doctor_id="has_doctor",
+                                 followup_date="has_followup", lead_stage="has_stage"), CLOCK), "seq",
+        {"leads": ["id", "campaign_name", "urgency", "doctor_id", "followup_date", "lead_stage", "updated_at"]})),
+    "change_stage": ("stage_changes", lambda t, b: _report(W.change_stage(t, b, CLOCK), "seq", {"leads": LEAD_STATE})),
+    "save_ai": ("scores", lambda t, b: _report(
+        W.save_ai(t, b, CLOCK), "seq", {"leads": ["id", "ai_score", "ai_priority", "ai_reason", "ai_next_action", "updated_at"]})),
+    "delete_leads": ("lead_deletes", lambda t, b: _report(
+        W.delete_leads(t, b), "id", {"leads": ["id", "lead_stage"], "interactions": ["id", "lead_id"]})),
+    "ingest_interactions": ("new_interactions", lambda t, b: _report(
+        W.ingest_interactions(t, b, CLOCK, 3, numbered_ids), "seq",
+        {"interactions": ["id", "lead_id", "agent_id", "interaction_type", "outcome", "notes", "followup_date"],
+         "leads": ["id", "lead_stage", "lead_substage", "attempt_count", "followup_date"]})),
+    "delete_interactions": ("interaction_deletes", lambda t, b: _report(
+        W.delete_interactions(t, b), "id", {"interactions": ["id", "lead_id"]})),
+    "book_appointments": ("bookings", lambda t, b: _report(
+        W.book_appointments(t, b, CLOCK, numbered_ids), "seq",
+        {"appointments": ["id", "lead_id", "patient_id", "facility_id", "doctor_id", "appointment_date", "consult_type",
+                          "visit_status", "notes"], "leads": LEAD_STATE})),
+    "set_visit_status": ("visit_changes", lambda t, b: _report(
+        W.set_visit_status(t, b, CLOCK), "seq",
+        {"appointments": ["id", "visit_status", "notes", "updated_at"], "leads": LEAD_STATE})),
+    "post_revenue": ("bills", lambda t, b: _report(
+        W.post_revenue(t, b, CLOCK, numbered_ids), "seq",
+        {"revenue": ["id", "appointment_id", "lead_id", "consultation_value", "procedure_value", "package_value",
+                     "total_value", "payment_status", "billed_date"], "leads": LEAD_STATE})),
+    "create_patients": ("patient_forms", lambda t, b: _report(
+        W.create_patients(t, b, CLOCK, numbered_ids), "seq",
+        {"patients": ["id", "unique_pid", "full_name", "primary_phone", "email", "city", "patient_type"]})),
+    "update_patients": ("patient_patches", lambda t, b: _report(
+        W.update_patients(t, _patch(b, city="has_city", age="has_age", full_name="has_name"), CLOCK), "seq",
+        {"patients": ["id", "full_name", "city", "age", "updated_at"]})),
+    "delete_patients": ("patient_deletes", lambda t, b: _report(
+        W.delete_patients(_early(t), b), "id",
+        {"patients": ["id", "patient_type"], "leads": ["id", "patient_id"], "interactions": ["id", "lead_id"]})),
+    "upsert_facilities": ("facility_forms", lambda t, b: _report(
+        W.upsert_facilities(t, b, "replace", CLOCK, lambda table, seq: seq + F.lit(1_000_000)), "seq",
+        {"facilities": ["id", "name", "type", "city", "region", "address", "is_active"]})),
+    "upsert_facilities_patch": ("facility_forms", lambda t, b: _report(
+        W.upsert_facilities(t, b, "patch", CLOCK, lambda table, seq: seq + F.lit(1_000_000)), "seq",
+        {"facilities": ["id", "name", "type", "city", "region", "address", "is_active"]})),
+    "create_specialities": ("speciality_forms", lambda t, b: _report(
+        W.create_specialities(t, b, CLOCK, lambda table, seq: F.concat(F.lit("new-"), seq.cast("string"))), "seq",
+        {"specialities": ["id", "name", "description", "is_active"]})),
+    "upsert_doctors": ("doctor_forms", lambda t, b: _report(
+        W.upsert_doctors(t, b, "replace", CLOCK, numbered_ids), "seq",
+        {"doctors": ["id", "name", "speciality_id", "facility_id", "consult_type", "availability", "is_active"]})),
+    "upsert_doctors_patch": ("doctor_forms", lambda t, b: _report(
+        W.upsert_doctors(t, b, "patch", CLOCK, numbered_ids), "seq",
+        {"doctors": ["id", "name", "speciality_id", "facility_id", "consult_type", "availability", "is_active"]})),
+    "upsert_users": ("user_forms", lambda t, b: _report(
+        W.upsert_users(t, b, "replace", CLOCK, numbered_ids), "seq",
+        {"users": ["id", "name", "email", "role", "is_active", "updated_at"]})),
+    "upsert_users_patch": ("user_forms", lambda t, b: _report(
+        W.upsert_users(t, b, "patch", CLOCK, numbered_ids), "seq",
+        {"users": ["id", "name", "email", "role", "is_active", "updated_at"]})),
+    "upsert_ad_spend": ("spends", lambda t, b: _report(
+        W.upsert_ad_spend(t, b, CLOCK), "seq", {"ad_spend": ["channel", "month", "monthly_spend", "updated_at"]})),
+    "upsert_webhooks": ("hook_forms", lambda t, b: _report(
+        W.upsert_webhooks(t, b, CLOCK, 5), "seq", {"webhooks": ["event_type", "url", "is_active", "created_by"]})),
+    "disable_webhooks": ("hook_stops", lambda t, b: _report(
+        W.disable_webhooks(t, b, CLOCK), "event_type", {"webhooks": ["event_type", "url", "is_active"]})),
+    "upsert_settings": ("setting_forms", lambda t, b: _report(
+        W.upsert_settings(t, b, CLOCK), "seq", {"system_settings": ["setting_key", "setting_value"]})),
+    "log_emails": ("deliveries", lambda t, b: _report(
+        W.log_emails(t, b, CLOCK, numbered_ids), "seq",
+        {"interactions": ["id", "lead_id", "agent_id", "interaction_type", "outcome", "notes"]})),
+    "apply_scores": ("score_replies", lambda t, b: _report(
+        X.apply_scores(t, b, CLOCK), "seq", {"leads": ["id", "ai_score", "ai_priority", "ai_reason", "ai_next_action"]})),
+    "parse_scores": ("score_replies", lambda t, b: X.parse_scores(b).drop("seq")),
+    "event_outbox": ("stage_changes", lambda t, b: _outbox(t, b)),
+    "audit_rows": ("event_log", lambda t, b: _audit(t, b)),
+    "apply_defaults": ("lead_intake", lambda t, b: apply_defaults(
+        b.withColumn("patient_id", F.col("seq")), "leads", CLOCK, F.col("seq"), blanks=True).select(
+            "id", "enquiry_type", "urgency", "lead_source", "lead_stage", "lead_substage", "attempt_count", "ai_score",
+            "ai_priority", "campaign_name", "enquiry_date")),
+    "insert_ignore": ("speciality_forms", lambda t, b: insert_ignore(
+        t.specialities, apply_defaults(
+            b.withColumn("id", F.concat(F.lit("new-"), F.col("seq").cast("string"))), "specialities", CLOCK
+        ).withColumn("seq", F.substring("id", 5, 20).cast("bigint")), [("name",)], "seq").select("id", "name", "description")),
+}
+
+
+def _early(t: Tables) -> Tables:
+    """The tables as they were before most visits, so that some patients can be deleted."""
+    return t.replace(
+        appointments=t.appointments.where(F.col("appointment_date") < S.moment("1995-01-20")),
+        revenue=t.revenue.where(F.col("billed_date") < S.moment("1995-01-20")),
+    )
+
+
+def _outbox(t: Tables, changes: DataFrame) -> DataFrame:
+    done = W.change_stage(t, changes, CLOCK)
+    sent = O.event_outbox(t, O.stage_changed_events(done.accepted, "7"), CLOCK)
+    body = F.from_json(
+        "body",
+        "event string, timestamp string, source string,"
+        " data struct<id: bigint, lead_stage: string, lead_substage: string, changed_by: string>",
+    )
+    return sent.select("event_type", "entity_id", "url", body.alias("b")).select(
+        "event_type", "entity_id", "url", "b.event", "b.timestamp", "b.source", "b.data.id", "b.data.lead_stage",
+        "b.data.lead_substage", "b.data.changed_by",
+    )
+
+
+def _audit(t: Tables, log: DataFrame) -> DataFrame:
+    after = G.advance(t.leads, G.log_events(log), CLOCK)
+    rows = A.audit_rows(t.leads, after, CLOCK, 7)
+    return rows.select(
+        "user_id", "entity_type", "entity_id", "action", "created_at",
+        F.get_json_object("old_values", "$.lead_stage").alias("old_stage"),
+        F.get_json_object("new_values", "$.lead_stage").alias("new_stage"),
+        F.get_json_object("new_values", "$.followup_date").alias("new_followup"),
+        F.get_json_object("new_values", "$.attempt_count").alias("new_count"),
+    )
+
+
+def _broken(t: Tables) -> Tables:
+    """Tables with violations: new patients and untouched leads removed, e-mails and stages overwritten."""
+    return t.replace(
+        patients=t.patients.where("patient_type = 'existing'").withColumn("gender", F.lower("city")),
+        users=t.users.withColumn("email", F.initcap("role")),
+        leads=t.leads.where("lead_stage <> 'untouched'").withColumn("urgency", F.col("lead_source")),
+        facilities=t.facilities.where("is_active"),
+    )
+
+
+_TABLE_QUERIES.update({
+    **_by_name(X.score_features, X.followup_features, X.insight_features, W.read_settings),
+    "fk_violations": lambda t: I.fk_violations(_broken(t)),
+    "orphans": lambda t: I.orphans(_broken(t), "leads", "patient_id").select("id", "patient_id"),
+    "key_violations": lambda t: I.key_violations(_broken(t)),
+    "enum_violations": lambda t: enum_violations(_broken(t)),
+    "with_total_value": lambda t: with_total_value(t.revenue.drop("total_value")).select("id", "total_value"),
+    "to_documents": lambda t: to_documents(t.leads.select("id", "lead_stage", "doctor_id", "attempt_count")),
+    "dashboard_summary": lambda t: D.labelled_documents(dashboard(t, "summary", CLOCK)),
+    "dashboard_marketing": lambda t: D.labelled_documents(dashboard(t, "marketing", CLOCK)),
+    "dashboard_cxo": lambda t: D.labelled_documents(dashboard(t, "cxo", CLOCK)),
+    "dashboard_finance": lambda t: D.labelled_documents(dashboard(t, "finance", CLOCK)),
+})
+
+
 def queries() -> dict[str, Query]:
     found = {k: over_tables(f) for k, f in _TABLE_QUERIES.items()}
-    found.update({k: with_batch(b, f) for k, (b, f) in _BATCH_QUERIES.items()})
+    found.update({k: with_batch(b, f) for k, (b, f) in {**_BATCH_QUERIES, **_WRITE_QUERIES}.items()})
     return found

@@ -20,7 +20,7 @@ from leadlake.operators.keyed import (
     update_rows, upsert, with_changes, without_ids,
 )
 from leadlake.operators.outcome import Outcome, split_rejects
-from leadlake.schema import LEAD_STAGES, REFERENCES, TABLES
+from leadlake.schema import LEAD_STAGES, REFERENCES, not_null
 from leadlake.sources.tables import Tables, apply_defaults, finish
 
 # --- fixed values: fields an update may set ---
@@ -77,7 +77,7 @@ def patch_rows(
     target = t[table]
     given = F.array_intersect(F.map_keys("fields"), F.array(*[F.lit(c) for c in allowed]))
     wide = patch.select("*", *[F.col("fields")[c].alias(c) for c in allowed])
-    required = {c.name for c in TABLES[table] if c.required or c.default is not None}
+    required = not_null(table)
     parents = {c: p for child, c, p in REFERENCES if child == table}
     rules = [(F.size(given) == 0, empty)]
     for c in allowed:
@@ -113,7 +113,10 @@ def ingest_leads(t: Tables, batch: DataFrame, as_of, make_id: MakeId | None = No
     """New leads. The patient is found by phone or created (once per phone, numbered in sequence)."""
     make_id = make_id or stable_ids(as_of)
     required = ("full_name", "primary_phone", "facility_id", "speciality_id", "lead_source")
-    ok, rejects = check_batch(t, "leads", batch, required, ", ".join(required) + " required")
+    more = enum_rules("patients", batch)
+    if "stage" in batch.columns:
+        more.append((~S.is_blank("stage") & ~S.lower_value("stage").isin(*LEAD_STAGES), "invalid stage"))
+    ok, rejects = check_batch(t, "leads", batch, required, ", ".join(required) + " required", *more)
     phone = ok.withColumn("_phone", S.ci_key("primary_phone"))
     met = phone.join(_by_phone(t, phone), "_phone", "left")
     fresh = S.first_per_key(met.where("_old IS NULL"), ["_phone"], F.col("seq")).drop("_old", "_phone")
@@ -377,7 +380,7 @@ def _upsert_directory(
 
     updates = batch.where(F.col("id").isNotNull())
     updates, missing = require_row(target, updates, "not found")
-    must = [c.name for c in TABLES[table] if c.name in fields and (c.required or c.default is not None)]
+    must = [c for c in fields if c in not_null(table)]
     if mode == "replace":
         changes, broken = check_batch(
             t, table, updates, must, ", ".join(must) + " must not be empty"

@@ -253,6 +253,18 @@ UNIQUE_KEYS: dict[str, list[tuple[str, ...]]] = {
 }
 
 
+# columns with a default that may still be set to NULL
+NULLABLE_DEFAULTS = {("leads", "urgency"), ("leads", "ai_score"), ("leads", "ai_priority"), ("system_settings", "setting_value")}
+
+
+def not_null(table: str) -> set[str]:
+    """Columns that must not be emptied by an update."""
+    return {
+        c.name for c in TABLES[table]
+        if c.required or (c.default is not None and (table, c.name) not in NULLABLE_DEFAULTS)
+    }
+
+
 def struct_type(table: str) -> T.StructType:
     """The stored schema of a table; ``total_value`` is computed on load, not stored."""
     return T.StructType([T.StructField(c.name, _SPARK_TYPES[c.kind], True) for c in TABLES[table]])

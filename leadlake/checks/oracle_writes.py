@@ -6,7 +6,7 @@ the refused rows.
 
 from __future__ import annotations
 
-from leadlake.checks.oracle_more import LOG_CHANGES, LOG_TALKS, MISSED, state_sql
+from leadlake.checks.oracle_more import LOG_CHANGES, LOG_TALKS, MISSED, TALKS, state_sql
 from leadlake.schema import ENUMS, LEAD_STAGES
 
 NEW = 1_000_000_000_000
@@ -494,6 +494,18 @@ WRITES_SQL: dict[str, str] = {
     "insert_ignore": """select id, name, description from c_specialities union all
  select 'new-' || seq, name, description from b_speciality_forms where lower(rtrim(name)) not in (select lower(rtrim(name)) from c_specialities)
  qualify row_number() over (partition by lower(rtrim(name)) order by seq) = 1""",
+    "stage_stream": "with " + state_sql(
+        TALKS, None, "select lead_id, id as seq, followup_date from c_interactions") + " select * from state",
+    "outbox_stream": """select 'lead_stage_changed' as event_type, a.entity_id, w.url, a.new_values::json->>'$.k' as k
+ from c_audit_logs a join c_webhooks w on w.event_type = 'lead_stage_changed' where a.action = 'STAGE_CHANGE'""",
+    "audit_stream": "select user_id, entity_type, entity_id, action, new_values, created_at from c_audit_logs",
+    "upsert_stream": """select channel, month, monthly_spend from c_ad_spend union all
+ select upper(interaction_type), strftime(interaction_date, '%Y-%m'), arg_max(lead_id, id)::decimal(12,2) from c_interactions
+ where (lower(interaction_type), strftime(interaction_date, '%Y-%m')) not in (select (channel, month) from c_ad_spend)
+ group by 1, 2""",
+    "load_tables": """select 'leads' as table_name, lead_stage as part, count(*) as rows from c_leads group by lead_stage union all
+ select 'doctors', part, count(*) from (select unnest(string_split(consult_type, ',')) as part from c_doctors) group by part
+ union all select 'revenue', payment_status, (sum(total_value) * 100)::bigint from c_revenue group by payment_status""",
     "fk_violations": FK,
     "orphans": f"with {BROKEN} select id, patient_id from bl where patient_id not in (select id from bp)",
     "enum_violations": f"with {BROKEN} {DOMAIN}",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlake.functions import semantics as S
+from leadlake.functions.reliability import ensure_checkpoint_dir
 from leadlake.operators import audit as A
 from leadlake.operators import dashboards as D
 from leadlake.operators import dedupe as M
@@ -21,9 +23,12 @@ from leadlake.operators import views as V
 from leadlake.operators import writes as W
 from leadlake.plans.bundles import dashboard
 from leadlake.sources.batches import NEW_ID, load_batch
-from leadlake.sources.fixtures import CLOCK, load_fixture
+from leadlake.sources.fixtures import CLOCK, FIXTURES, load_fixture
 from leadlake.sources.tables import (
-    Tables, apply_defaults, enum_violations, insert_ignore, to_documents, with_total_value,
+    Tables, apply_defaults, commit_snapshot, enum_violations, insert_ignore, load_tables, to_documents, with_total_value,
+)
+from leadlake.streaming.jobs import (
+    append_files, audit_stream, lead_state, outbox_stream, read_stream, spend_job, stage_stream, upsert_stream,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -324,7 +329,89 @@ _TABLE_QUERIES.update({
 })
 
 
+# --- streams: the events table as a file stream, run to its end -------------------------
+
+
+def _event_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """Interactions or audit rows derived from the events table while it streams in."""
+    path = f"{sf_dir}/events.parquet"
+    # a pattern, as the stream source takes folders and patterns but no single file
+    stream = read_stream(spark, f"{sf_dir}/events.parque[t]", spark.read.parquet(path).schema)
+    stream.createOrReplaceTempView("stream_events")
+    rows = spark.sql(FIXTURES[table].replace("from events", "from stream_events"))
+    return rows.withColumns({f.name: F.col(f.name).cast("timestamp_ntz") for f in rows.schema if f.dataType.typeName() == "timestamp"})
+
+
+def _workspace(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/job-{uuid.uuid4().hex}"
+
+
+def _finished(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+
+
+def _stage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, home = load_fixture(spark, sf_dir), _workspace(spark)
+    events = G.interaction_events(_event_stream(spark, sf_dir, "interactions"))
+    _finished(stage_stream(events, t.leads, f"{home}/state", f"{home}/checkpoint"))
+    return lead_state(spark, t.leads, f"{home}/state")
+
+
+def _outbox_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, home = load_fixture(spark, sf_dir), _workspace(spark)
+    log = _event_stream(spark, sf_dir, "audit_logs")
+    events = log.where("action = 'STAGE_CHANGE'").select(
+        F.lit(O.STAGE_CHANGED).alias("event_type"), "entity_id", F.col("new_values").alias("data"),
+        F.col("created_at").alias("occurred_at"))
+    _finished(append_files(outbox_stream(events, t.webhooks), f"{home}/outbox", f"{home}/checkpoint"))
+    sent = spark.read.parquet(f"{home}/outbox")
+    return sent.select("event_type", "entity_id", "url", F.get_json_object("body", "$.data.k").alias("k"))
+
+
+def _audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    home = _workspace(spark)
+    log = _event_stream(spark, sf_dir, "audit_logs").drop("id").withColumnRenamed("created_at", "occurred_at")
+    _finished(append_files(audit_stream(log), f"{home}/audit", f"{home}/checkpoint"))
+    return spark.read.parquet(f"{home}/audit").drop("id", "old_values", "ip_address")
+
+
+def _upsert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, home = load_fixture(spark, sf_dir), _workspace(spark)
+    commit_snapshot(spark, f"{home}/lake", 0, t, ["ad_spend"])
+    talks = _event_stream(spark, sf_dir, "interactions")
+    spends = talks.select(
+        F.col("id").alias("seq"), F.upper("interaction_type").alias("channel"),
+        F.col("lead_id").cast("string").alias("monthly_spend"), S.month_key("interaction_date").alias("month"))
+    _finished(upsert_stream(spends, f"{home}/lake", spend_job(CLOCK), ("ad_spend",), f"{home}/checkpoint"))
+    return load_tables(spark, f"{home}/lake").ad_spend.select("channel", "month", "monthly_spend")
+
+
+def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all tables as a snapshot, read it back, count rows per table and lead stage."""
+    t, home = load_fixture(spark, sf_dir), _workspace(spark)
+    back = commit_snapshot(spark, home, 1, t)
+    out = back.leads.groupBy(F.lit("leads").alias("table_name"), F.col("lead_stage").alias("part")).agg(F.count("*").alias("rows"))
+    types = back.doctors.select(F.explode("consult_type").alias("part"))
+    out = out.unionByName(types.groupBy(F.lit("doctors").alias("table_name"), "part").agg(F.count("*").alias("rows")))
+    bills = back.revenue.groupBy(F.lit("revenue").alias("table_name"), F.col("payment_status").alias("part"))
+    return out.unionByName(bills.agg((F.sum("total_value") * 100).cast("bigint").alias("rows")))
+
+
+_SESSION_QUERIES: dict[str, Query] = {
+    "stage_stream": _stage_stream,
+    "outbox_stream": _outbox_stream,
+    "audit_stream": _audit_stream,
+    "upsert_stream": _upsert_stream,
+    "load_tables": _round_trip,
+}
+
+
 def queries() -> dict[str, Query]:
     found = {k: over_tables(f) for k, f in _TABLE_QUERIES.items()}
     found.update({k: with_batch(b, f) for k, (b, f) in {**_BATCH_QUERIES, **_WRITE_QUERIES}.items()})
+    found.update(_SESSION_QUERIES)
     return found

@@ -126,14 +126,14 @@ def enum_violations(t: Tables) -> DataFrame:
     return out
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
 def committed_versions(spark: SparkSession, path: str) -> list[int]:
     """Committed snapshot numbers, oldest first."""
-    fs, root = _fs(spark, f"{path}/_commits")
+    fs, root = file_system(spark, f"{path}/_commits")
     if not fs.exists(root):
         return []
     found = []

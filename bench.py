@@ -22,7 +22,7 @@ from leadlake.operators import profiles as P
 from leadlake.operators import stage_engine as G
 from leadlake.operators import views as V
 from leadlake.operators import writes as W
-from leadlake.plans.bundles import dashboard, prepare, release
+from leadlake.plans.bundles import dashboard, prepare, release, run_frames
 from leadlake.sources.batches import NEW_ID, load_batch
 from leadlake.sources.fixtures import CLOCK, load_fixture, spark_schema
 from leadlake.sources.tables import Tables, finish, stored
@@ -81,8 +81,7 @@ def main() -> None:
 
     def bundle(name: str) -> None:
         ready = prepare(t, name, CLOCK)
-        for df in dashboard(ready, name, CLOCK, cubes=False).values():
-            consume(df)
+        run_frames(dashboard(ready, name, CLOCK, cubes=False), lambda _, df: consume(df))
         release(ready)
 
     def write_all(done) -> None:

@@ -26,7 +26,9 @@ def running_number(
     df: DataFrame, seq: str, keys: Sequence[str] = (), out: str = "n", width: int = SLICE_WIDTH
 ) -> DataFrame:
     """Add ``out`` = 1, 2, 3, … in ``seq`` order, per key combination (or over all rows)."""
-    cut = df.withColumn("_slice", slice_of(seq, width))
+    # Stated outright: rows that arrive partitioned by the keys alone would otherwise stay so,
+    # and a key with very many rows would stay in one task.
+    cut = df.withColumn("_slice", slice_of(seq, width)).repartition(*keys, "_slice")
     inside = Window.partitionBy(*keys, "_slice").orderBy(seq)
     numbered = cut.withColumn("_inside", F.row_number().over(inside))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

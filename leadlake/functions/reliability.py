@@ -29,6 +29,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a frame cut to ``rows`` rows, if that is few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Materialise ``df`` and broadcast it if it is proven to have at most ``rows`` rows.
 

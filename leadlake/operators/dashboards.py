@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.functions import semantics as S
+from leadlake.functions.reliability import bounded
 from leadlake.operators.facts import lead_cells, merge_spellings, name_by, revenue_cells
 from leadlake.operators.views import dashboard_stats
 from leadlake.sources.tables import Tables, to_documents
@@ -49,10 +50,10 @@ def leads_by_speciality(t: Tables) -> DataFrame:
 def recent_leads(t: Tables, n: int = 10) -> DataFrame:
     """Newest leads. The first ``n`` are cut before the joins: every lead has its patient,
     as intake rejects unknown references, so no join can drop one of them."""
-    newest = F.broadcast(S.top_k(
+    newest = bounded(S.top_k(
         t.leads.select("id", "lead_stage", "lead_source", "enquiry_date", "patient_id", "speciality_id"),
         n, F.desc("enquiry_date"), F.col("id"),
-    ))
+    ), n)
     people = t.patients.select(F.col("id").alias("patient_id"), F.col("full_name").alias("patient_name"))
     fields = t.specialities.select(F.col("id").alias("speciality_id"), F.col("name").alias("speciality_name"))
     return (
@@ -70,7 +71,7 @@ def at_risk_leads(t: Tables, as_of, n: int | None = 20) -> DataFrame:
         & (F.col("followup_date").isNull() | (F.col("followup_date") <= S.moment(as_of).cast("date")))
     ).select("id", "patient_id", "speciality_id", "followup_date")
     if n is not None:
-        due = F.broadcast(S.top_k(due, n, F.asc_nulls_first("followup_date"), F.col("id")))
+        due = bounded(S.top_k(due, n, F.asc_nulls_first("followup_date"), F.col("id")), n)
     people = t.patients.select(F.col("id").alias("patient_id"), "full_name", "primary_phone")
     fields = t.specialities.select(F.col("id").alias("speciality_id"), F.col("name").alias("speciality_name"))
     return (
@@ -181,7 +182,7 @@ def speciality_trend(t: Tables, as_of, months: int = 6, top: int | None = None)
             named.groupBy("speciality").agg(F.sum("total_leads").alias("_all")),
             top, F.desc("_all"), F.col("speciality"),
         )
-        named = named.join(F.broadcast(best.select("speciality")), "speciality", "left_semi")
+        named = named.join(bounded(best.select("speciality"), top), "speciality", "left_semi")
     return named.select("month", "speciality", "total_leads").orderBy(
         "month", F.desc("total_leads"), "speciality"
     )
@@ -341,14 +342,14 @@ def revenue_by_speciality_all(t: Tables) -> DataFrame:
 def high_value_patients(t: Tables, n: int = 20) -> DataFrame:
     """Patients by revenue. The first ``n`` ids are found on the bills alone and only
     those meet the patients (every bill has its patient)."""
-    best = F.broadcast(S.top_k(
+    best = bounded(S.top_k(
         t.revenue.groupBy(F.col("patient_id").alias("id")).agg(
             S.exact_sum("total_value").alias("total_revenue"),
             F.count(F.lit(1)).alias("visit_count"),
             F.max("billed_date").alias("last_visit"),
         ),
         n, F.desc("total_revenue"), F.col("id"),
-    ))
+    ), n)
     return (
         best.join(t.patients.select("id", "full_name", "primary_phone", "city"), "id")
         .orderBy(F.desc("total_revenue"), "id")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.functions import semantics as S
-from leadlake.functions.reliability import checkpointed
+from leadlake.functions.reliability import bounded, checkpointed
 from leadlake.operators.outcome import Outcome, split_rejects
 from leadlake.operators.profiles import PART_ROWS, nested
 from leadlake.sources.tables import Tables
@@ -47,7 +47,7 @@ def _groups(patients: DataFrame, form: Column, n: int | None) -> DataFrame:
     )
     if n is None:
         return groups
-    return F.broadcast(S.top_k(groups, n, F.desc("count"), F.col("key")))
+    return bounded(S.top_k(groups, n, F.desc("count"), F.col("key")), n)
 
 
 def _members(t: Tables, kind: str, form: Column, n: int | None) -> DataFrame:
@@ -88,7 +88,7 @@ def duplicate_groups(t: Tables, n: int | None = TOP_GROUPS) -> DataFrame:
         S.ci_key(name_form()).alias("_n"), S.ci_key(phone_form()).alias("_p"),
     )
     if n is not None:
-        n_side, p_side = F.broadcast(n_side), F.broadcast(p_side)
+        n_side, p_side = bounded(n_side, n), bounded(p_side, n)
     tagged = people.join(n_side, "_n", "left").join(p_side, "_p", "left").drop("_n", "_p")
     repeated = (
         tagged.where("name_key IS NOT NULL AND phone_key IS NOT NULL")
@@ -98,7 +98,7 @@ def duplicate_groups(t: Tables, n: int | None = TOP_GROUPS) -> DataFrame:
         .select("phone_key")
     )
     if n is not None:
-        repeated = F.broadcast(repeated)  # at most one row per name group, so n rows
+        repeated = bounded(repeated, n)  # at most one row per name group
     who = ("id", "full_name", "primary_phone", "created_at")
     by_name = tagged.where("name_key IS NOT NULL").select(
         F.lit("name").alias("type"), F.col("name_key").alias("key"), F.col("name_count").alias("count"), *who

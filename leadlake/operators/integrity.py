@@ -16,22 +16,31 @@ from leadlake.sources.tables import Tables, enum_violations
 def fk_violations(t: Tables) -> DataFrame:
     """References without a row: child table and column, the missing id, how many rows name it.
 
-    Each child is counted per referenced id before the check, so a child row's
-    popularity does not matter.
+    Each table is read once for all its references. References are counted per id
+    before the check, so how many rows name an id does not matter.
     """
-    found = []
-    for child, column, parent in REFERENCES:
-        named = (
-            t[child].where(F.col(column).isNotNull())
-            .groupBy(F.col(column).alias("id")).agg(F.count(F.lit(1)).alias("rows"))
-        )
-        found.append(
-            named.join(t[parent].select("id"), "id", "left_anti").select(
-                F.lit(child).alias("table_name"), F.lit(column).alias("column_name"),
-                F.col("id").cast("string").alias("missing_id"), "rows",
+    named = []
+    for child in dict.fromkeys(c for c, _, _ in REFERENCES):
+        refs = [
+            F.struct(
+                F.lit(column).alias("column_name"), F.lit(parent).alias("parent"),
+                F.col(column).cast("string").alias("missing_id"),
             )
+            for c, column, parent in REFERENCES if c == child
+        ]
+        named.append(
+            t[child].select(F.inline(F.array(*refs))).where("missing_id IS NOT NULL")
+            .groupBy(F.lit(child).alias("table_name"), "column_name", "parent", "missing_id")
+            .agg(F.count(F.lit(1)).alias("rows"))
         )
-    return reduce(DataFrame.unionByName, found)
+    ids = [
+        t[parent].select(F.lit(parent).alias("parent"), F.col("id").cast("string").alias("missing_id"))
+        for parent in dict.fromkeys(p for _, _, p in REFERENCES)
+    ]
+    missing = reduce(DataFrame.unionByName, named).join(
+        reduce(DataFrame.unionByName, ids), ["parent", "missing_id"], "left_anti"
+    )
+    return missing.select("table_name", "column_name", "missing_id", "rows")
 
 
 def orphans(t: Tables, child: str, column: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlake.functions import semantics as S
+from leadlake.functions.reliability import bounded
 from leadlake.operators.views import join_lead_names
 from leadlake.schema import LEAD_SOURCES, LEAD_STAGES, RESTRICTED_ROLES
 from leadlake.sources.tables import Tables
@@ -111,7 +112,7 @@ def lead_page(
     order = lead_order(sort_by, direction)
     if not search and SORT_KEYS.get(sort_by, "enquiry_date") in _OWN_SORTS:
         cut = S.page(leads, page, limit, *order, cap=LEAD_PAGE_CAP)
-        return sort_leads(list_leads(t.replace(leads=F.broadcast(cut))), sort_by, direction)
+        return sort_leads(list_leads(t.replace(leads=bounded(cut, LEAD_PAGE_CAP))), sort_by, direction)
     return S.page(list_leads(t.replace(leads=leads), search), page, limit, *order, cap=LEAD_PAGE_CAP)
 
 

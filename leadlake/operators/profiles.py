@@ -20,14 +20,18 @@ from leadlake.sources.tables import Tables
 PART_ROWS = 10_000
 
 
+def _as_is(df: DataFrame) -> DataFrame:
+    return df
+
+
 def nested(
-    parents: DataFrame, key: str, children: Mapping[str, tuple[DataFrame, str]], part_rows: int,
-    newest_first: bool = True,
+    parents: DataFrame, key: str, children: Mapping[str, tuple], part_rows: int, newest_first: bool = True,
 ) -> DataFrame:
-    """Attach arrays to ``parents``. ``children`` maps an array name to (rows, time column);
-    child rows carry ``key`` and ``id``. Children never meet each other."""
+    """Attach arrays to ``parents``. ``children`` maps an array name to (rows, time column) or
+    (rows, time column, function adding names); child rows carry ``key`` and ``id``.
+    Children never meet each other; they are counted before names are added."""
     counts = None
-    for df, _ in children.values():
+    for df, *_ in children.values():
         per_parent = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
         counts = per_parent if counts is None else counts.unionByName(per_parent)
     # Only parents that need more than one part; few by definition, and checked before broadcasting.
@@ -42,12 +46,13 @@ def nested(
         .withColumn("parts", parts)
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     )
-    for name, (df, when) in children.items():
-        body = [c for c in df.columns if c not in (when, "id", key)]
+    for name, (df, when, *rest) in children.items():
+        add_names = rest[0] if rest else _as_is
         part = F.pmod(F.xxhash64("id"), parts).cast("int")
+        rows = add_names(df.join(split, key, "left").withColumn("part", part).drop("parts"))
+        body = [c for c in rows.columns if c not in (when, "id", key, "part")]
         arrays = (
-            df.join(split, key, "left")
-            .withColumn("part", part)
+            rows.repartition(key, "part")  # by both, so that a split parent's parts spread out
             .groupBy(key, "part")
             .agg(F.sort_array(F.collect_list(F.struct(when, "id", *body)), asc=not newest_first).alias(name))
         )
@@ -71,13 +76,18 @@ def lead_360(t: Tables, part_rows: int = PART_ROWS) -> DataFrame:
     head = _named(head, t.specialities, "speciality_id", "speciality_name", "inner")
     head = _named(head, t.doctors, "doctor_id", "doctor_name")
     head = _named(head, t.users, "assigned_to", "agent_name")
-    visits = _named(t.appointments, t.doctors, "doctor_id", "doctor_name")
+
+    def visit_names(df: DataFrame) -> DataFrame:
+        df = _named(df, t.doctors, "doctor_id", "doctor_name")
+        return _named(df, t.facilities, "facility_id", "facility_name")
+
     return nested(
         head,
         "lead_id",
         {
-            "interactions": (_named(t.interactions, t.users, "agent_id", "agent_name"), "interaction_date"),
-            "appointments": (_named(visits, t.facilities, "facility_id", "facility_name"), "appointment_date"),
+            "interactions": (
+                t.interactions, "interaction_date", lambda df: _named(df, t.users, "agent_id", "agent_name")),
+            "appointments": (t.appointments, "appointment_date", visit_names),
             "revenue": (t.revenue, "billed_date"),
         },
         part_rows,
@@ -89,18 +99,24 @@ def patient_360(t: Tables, variant: str = "history", part_rows: int = PART_ROWS)
 
     ``history``: with facility, by creation time; ``enquiry``: without facility, by enquiry date.
     """
-    leads = _named(t.leads, t.specialities, "speciality_id", "speciality", "inner")
-    leads = _named(leads, t.doctors, "doctor_id", "doctor")
     if variant == "history":
-        leads = _named(leads, t.facilities, "facility_id", "facility", "inner")
-        when = "created_at"
+        when, places = "created_at", ["facility_id"]
         cols = ["lead_stage", "lead_substage", "enquiry_date", "lead_source", "speciality", "doctor", "facility"]
     elif variant == "enquiry":
-        when = "enquiry_date"
+        when, places = "enquiry_date", []
         cols = ["lead_stage", "enquiry_type", "speciality", "doctor"]
     else:
         raise ValueError(f"unknown variant: {variant}")
-    children = leads.select("patient_id", "id", when, *cols)
+
+    def names(df: DataFrame) -> DataFrame:
+        df = _named(df, t.specialities, "speciality_id", "speciality", "inner")
+        df = _named(df, t.doctors, "doctor_id", "doctor")
+        if places:
+            df = _named(df, t.facilities, "facility_id", "facility", "inner")
+        return df.select("patient_id", "part", "id", when, *cols)
+
+    own = [c for c in cols if c in t.leads.columns]
+    leads = t.leads.select("patient_id", "id", when, *own, "speciality_id", "doctor_id", *places)
     return nested(
-        t.patients.withColumnRenamed("id", "patient_id"), "patient_id", {"leads": (children, when)}, part_rows
+        t.patients.withColumnRenamed("id", "patient_id"), "patient_id", {"leads": (leads, when, names)}, part_rows
     )

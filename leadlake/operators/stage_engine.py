@@ -110,6 +110,7 @@ def summarise(events: DataFrame, width: int = SLICE_WIDTH) -> DataFrame:
     slices = (
         events.where((F.col("attempt") == 1) | changed | promised)
         .withColumn("_slice", slice_of("seq", width))
+        .repartition("lead_id", "_slice")  # never by lead alone, however the events arrive
         .withColumn("_run", F.sum("attempt").over(run))
         .groupBy("lead_id", "_slice")
         .agg(

@@ -112,15 +112,22 @@ def stored(df: DataFrame, table: str) -> DataFrame:
 
 
 def enum_violations(t: Tables) -> DataFrame:
-    """Values outside their domain, with row counts: one row per (table, column, value)."""
+    """Values outside their domain, with row counts: one row per (table, column, value).
+    Each table is read once for all its columns."""
     out = None
-    for (table, column), domain in ENUMS.items():
+    for table in dict.fromkeys(table for table, _ in ENUMS):
+        faults = [
+            F.when(
+                ~F.col(column).isin(*domain),
+                F.struct(F.lit(column).alias("column_name"), F.col(column).alias("value")),
+            )
+            for (name, column), domain in ENUMS.items() if name == table
+        ]
         bad = (
             t[table]
-            .where(~F.col(column).isin(*domain))
-            .groupBy(F.col(column).alias("value"))
+            .select(F.inline(F.array_compact(F.array(*faults))))
+            .groupBy(F.lit(table).alias("table_name"), "column_name", "value")
             .agg(F.count(F.lit(1)).alias("rows"))
-            .select(F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), "value", "rows")
         )
         out = bad if out is None else out.unionByName(bad)
     return out

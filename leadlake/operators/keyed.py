@@ -68,7 +68,9 @@ def check_batch(
     """Intake checks in the order: required fields, further rules, domains, references."""
     order = batch.columns
     tagged, refs, helpers = reference_rules(t, table, batch)
-    ok, bad = split_rejects(tagged, (S.any_blank(required), text), *more, *enum_rules(table, batch), *refs)
+    ok, bad = split_rejects(
+        tagged, (S.any_blank(required), text), *more, *enum_rules(table, batch), *refs, once=True
+    )
     return ok.select(*order), bad.drop(*helpers)
 
 

@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadlake.functions.reliability import checkpointed
 from leadlake.sources.tables import Tables
 
 
@@ -18,10 +19,18 @@ class Outcome(NamedTuple):
     accepted: DataFrame
 
 
-def split_rejects(batch: DataFrame, *rules: tuple[Column, str]) -> tuple[DataFrame, DataFrame]:
-    """Split a batch by its first broken rule; returns (accepted, rejects with ``reason``)."""
+def split_rejects(
+    batch: DataFrame, *rules: tuple[Column, str], once: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Split a batch by its first broken rule; returns (accepted, rejects with ``reason``).
+
+    With ``once`` the judged batch is checkpointed, so that the joins behind the rules run
+    once however often a job reads the two parts.
+    """
     reason = F.lit(None).cast("string")
     for cond, text in reversed(rules):
         reason = F.when(cond, F.lit(text)).otherwise(reason)
     judged = batch.withColumn("reason", reason)
+    if once:
+        judged = checkpointed(judged)
     return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from leadlake.functions import semantics as S
 from leadlake.functions.numbering import running_number
+from leadlake.functions.reliability import checkpointed
 from leadlake.operators import stage_engine as G
 from leadlake.operators.keyed import (
     MakeId, check_batch, enum_rules, join_rejects, last_per_key, require_row, stable_ids, typed,
@@ -90,7 +91,7 @@ def patch_rows(
             wide = wide.join(ids, c, "left")
             rules.append((~S.is_blank(c) & F.col(f"_known_{c}").isNull(), f"unknown {c}"))
     wide, not_found = require_row(target, wide, missing)
-    ok, bad = split_rejects(wide, *rules)
+    ok, bad = split_rejects(wide, *rules, once=True)
     latest = ok.groupBy("id").agg(
         *[
             F.max_by(F.struct(F.col(c).alias("v")), F.when(F.map_contains_key("fields", c), F.col("seq"))).alias(f"_{c}")
@@ -118,7 +119,7 @@ def ingest_leads(t: Tables, batch: DataFrame, as_of, make_id: MakeId | None = No
         more.append((~S.is_blank("stage") & ~S.lower_value("stage").isin(*LEAD_STAGES), "invalid stage"))
     ok, rejects = check_batch(t, "leads", batch, required, ", ".join(required) + " required", *more)
     phone = ok.withColumn("_phone", S.ci_key("primary_phone"))
-    met = phone.join(_by_phone(t, phone), "_phone", "left")
+    met = checkpointed(phone.join(_by_phone(t, phone), "_phone", "left"))
     fresh = S.first_per_key(met.where("_old IS NULL"), ["_phone"], F.col("seq")).drop("_old", "_phone")
     patients = _new_patients(t, fresh, as_of, make_id)
     created = patients.select(S.ci_key("primary_phone").alias("_phone"), F.col("id").alias("_new"))
@@ -312,7 +313,7 @@ def create_patients(t: Tables, batch: DataFrame, as_of, make_id: MakeId | None =
     make_id = make_id or stable_ids(as_of)
     ok, bad = check_batch(t, "patients", batch, ("full_name", "primary_phone"), "Name and phone required")
     ok = ok.withColumn("_phone", S.ci_key("primary_phone"))
-    met = ok.join(_by_phone(t, ok), "_phone", "left")
+    met = checkpointed(ok.join(_by_phone(t, ok), "_phone", "left"))
     first = S.first_per_key(met.where("_old IS NULL"), ["_phone"], F.col("seq"))
     accepted = first.drop("_phone", "_old")
     taken = met.join(accepted.select("seq"), "seq", "left_anti").withColumn(

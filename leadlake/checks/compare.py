@@ -45,4 +45,4 @@ def difference(df: DataFrame, con, sql: str) -> str | None:
     if got == want:
         return None
     extra, missing = list((got - want).items())[:2], list((want - got).items())[:2]
-    return f"rows {sum(got.values())} vs {sum(want.values())}; only Spark {extra}; only SQL {missing}"
+    return f"rows {sum(got.values())} vs {sum(want.values())}; only Spark {extra}; only SQL {missing}"[:1500]

@@ -242,15 +242,17 @@ def list_users(t: Tables) -> DataFrame:
     return t.users.select("id", "name", "email", "role", "is_active", "created_at").orderBy(S.ci_key("name"), "id")
 
 
-def lead_interactions(t: Tables, keep_unassigned: bool = False) -> DataFrame:
-    """Interactions with the agent's name; those without an agent are left out unless asked for."""
+def lead_interactions(t: Tables, keep_unassigned: bool = False, ordered: bool = True) -> DataFrame:
+    """Interactions with the agent's name, newest first per lead; those without an agent are
+    left out unless asked for."""
     agents = _names(t.users, "agent_id", "agent_name")
     rows = t.interactions.join(agents, "agent_id", "left" if keep_unassigned else "inner")
-    return rows.select(*t.interactions.columns, "agent_name")
+    rows = rows.select(*t.interactions.columns, "agent_name")
+    return rows.orderBy("lead_id", F.desc("interaction_date"), F.desc("id")) if ordered else rows
 
 
-def audit_trail(t: Tables, n: int = 100, entity_type: str = "lead") -> DataFrame:
-    """The newest ``n`` log rows per entity, with the user's name.
+def audit_trail(t: Tables, n: int = 100, entity_type: str = "lead", ordered: bool = True) -> DataFrame:
+    """The newest ``n`` log rows per entity, newest first, with the user's name.
 
     The rank limit is applied before the shuffle too, so an entity with very many
     rows sends at most ``n`` per input task; names are joined to what remains.
@@ -262,9 +264,10 @@ def audit_trail(t: Tables, n: int = 100, entity_type: str = "lead") -> DataFrame
         .where(F.col("_rn") <= n)
         .drop("_rn")
     )
-    return kept.join(_names(t.users, "user_id", "user_name"), "user_id", "left").select(
+    rows = kept.join(_names(t.users, "user_id", "user_name"), "user_id", "left").select(
         *t.audit_logs.columns, "user_name"
     )
+    return rows.orderBy("entity_id", F.desc("created_at"), F.desc("id")) if ordered else rows
 
 
 def ad_spend_for(t: Tables, month: str | None = None, as_of=None) -> DataFrame:

@@ -83,3 +83,13 @@ def test_insert_ignore_text_keys(spark):
 def test_documents_keep_nulls(spark):
     df = spark.createDataFrame([(1, None)], "a int, b string")
     assert S.to_documents(df).first()["value"] == '{"a":1,"b":null}'
+
+
+def test_database_id_ranges_hold_every_id_once(spark):
+    from leadlake.sources.jdbc import id_ranges
+
+    ids = ["0a", "1", "19f", "9", "a0", "ffff", "lead-001", "Z", "", "f", "c3"]
+    df = spark.createDataFrame([(i,) for i in ids], "id string")
+    hits = [df.where(p).count() for p in id_ranges()]
+    assert sum(hits) == len(ids)
+    assert df.where(" OR ".join(f"({p})" for p in id_ranges())).count() == len(ids)

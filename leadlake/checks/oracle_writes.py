@@ -260,7 +260,7 @@ UPDATE_PATIENTS = "with " + judge(
     "b_patient_patches",
     ("id not in (select id from c_patients)", "Patient not found"),
     ("not (has_city or has_age or has_name)", "No fields to update"),
-    ("has_name and " + blank("full_name"), "full_name must not be empty"),
+    ("has_age and age = 'old'", "invalid age"),
 ) + """, agg as (select id, bool_or(has_city) as hc, arg_max_null(city, seq) filter (where has_city) as vc,
  bool_or(has_age) as ha, arg_max_null(age, seq) filter (where has_age) as va,
  bool_or(has_name) as hn, arg_max_null(full_name, seq) filter (where has_name) as vn from ok group by id),
@@ -285,7 +285,7 @@ DELETE_PATIENTS = "with used as (select patient_id, lead_id from c_appointments
 )
 
 
-def directory(table: str, batch: str, required, text: str, must, text_must: str, set_sql: dict[str, str], created: list[str],
+def directory(table: str, batch: str, required, text: str, must, set_sql: dict[str, str], created: list[str],
               cols: list[str], new: int, refs: list[tuple[str, str]], mode: str, unique: str | None = None, taken: str = "",
               stamp: bool = False) -> str:
     """Creates and updates of a small table; ``set_sql`` maps each updated column to the value of a row."""
@@ -300,7 +300,11 @@ def directory(table: str, batch: str, required, text: str, must, text_must: str,
  firsts as (select * from met where not old qualify row_number() over (partition by k order by seq) = 1)"""
     u_rules = [(f"id not in (select id from c_{table})", "not found")]
     if mode == "replace":
-        u_rules.append((blanks(*must), text_must))
+        for c in set_sql:
+            if c in must:
+                u_rules.append((f"{c} is null", f"{c} must not be empty"))
+            if (table, c) in ENUMS:
+                u_rules.append((f"{c} = ''", f"invalid {c}"))
     u_rules += enums + ref_rules
     cases = " ".join(f"when {c} then '{t}'" for c, t in u_rules)
     ups = f""", uj as (select b.*, case {cases} end as reason from {batch} b where id is not null), uok as (select * from uj where reason is null)"""
@@ -330,8 +334,7 @@ def facilities(mode: str) -> str:
     sets = {"name": "{0}", "type": "lower({0})", "city": "{0}", "region": "{0}", "is_active": "{0}"}
     if mode == "replace":
         sets["address"] = "{0}"
-    return directory("facilities", "b_facility_forms", ["name"], "name required", ["name", "type", "is_active"],
-                     "name, type, is_active must not be empty", sets,
+    return directory("facilities", "b_facility_forms", ["name"], "name required", ["name", "type", "is_active"], sets,
                      ["name", low("type", "clinic"), nb("city"), nb("region"), nb("address"), "true"], cols, 1_000_000, [], mode)
 
 
@@ -341,7 +344,7 @@ def doctors(mode: str) -> str:
     sets = {c: "{0}" for c in (["name", "speciality_id", "facility_id", "consult_type", "is_active"] if mode == "replace"
                               else ["name", "availability", "is_active"])}
     must = ["name", "speciality_id", "facility_id", "consult_type", "is_active"]
-    return directory("doctors", "b_doctor_forms", req, ", ".join(req) + " required", must, ", ".join(must) + " must not be empty", sets,
+    return directory("doctors", "b_doctor_forms", req, ", ".join(req) + " required", must, sets,
                      ["name", "speciality_id", "facility_id", "coalesce(consult_type, 'opd')", low("availability", "available"), "true"],
                      cols, NEW, [("speciality_id", "specialities"), ("facility_id", "facilities")], mode)
 
@@ -349,7 +352,7 @@ def doctors(mode: str) -> str:
 def users(mode: str) -> str:
     sets = {"name": "{0}", "role": "lower({0})", "is_active": "{0}"}
     return directory("users", "b_user_forms", ["name", "email", "password_hash"], "Name, email and password required",
-                     ["name", "role", "is_active"], "name, role, is_active must not be empty", sets,
+                     ["name", "role", "is_active"], sets,
                      ["name", "email", low("role", "agent"), "true", AS_OF], ["name", "email", "role", "is_active", "updated_at"],
                      NEW, [], mode, unique="email", taken="Email already registered", stamp=True)
 

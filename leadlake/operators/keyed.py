@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from leadlake.functions import semantics as S
 from leadlake.operators.outcome import split_rejects
-from leadlake.schema import ENUMS, REFERENCES, TABLES, columns
+from leadlake.schema import ENUMS, REFERENCES, TABLES, columns, not_null
 from leadlake.sources.tables import Tables
 
 MakeId = Callable[[str, Column], Column]
@@ -48,6 +48,22 @@ def known_ids(target: DataFrame, batch: DataFrame, key: str, large: bool = True)
     return ids.withColumn("_known", F.lit(True))
 
 
+def empty_rules(table: str, batch: DataFrame, fields: Sequence[str]) -> list[Rule]:
+    """Refuse what an update must not set: NULL where a value is required, and the empty
+    text where a value list or a reference stands. Plain texts may be emptied."""
+    needed, rules = not_null(table), []
+    parents = {column for child, column, _ in REFERENCES if child == table}
+    for c in fields:
+        value = F.col(c).cast("string")
+        if c in needed:
+            rules.append((value.isNull(), f"{c} must not be empty"))
+        if (table, c) in ENUMS:
+            rules.append((value == "", f"invalid {c}"))
+        if c in parents:
+            rules.append((value == "", f"unknown {c}"))
+    return rules
+
+
 def reference_rules(t: Tables, table: str, batch: DataFrame) -> tuple[DataFrame, list[Rule], list[str]]:
     """Refuse references to rows that do not exist. Returns the batch with helper columns,
     the rules, and the helper columns to drop."""

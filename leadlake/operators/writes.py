@@ -17,11 +17,11 @@ from leadlake.functions.numbering import running_number
 from leadlake.functions.reliability import checkpointed
 from leadlake.operators import stage_engine as G
 from leadlake.operators.keyed import (
-    MakeId, check_batch, enum_rules, join_rejects, last_per_key, require_row, stable_ids, typed,
+    MakeId, check_batch, column_kinds, empty_rules, enum_rules, join_rejects, last_per_key, require_row, stable_ids, typed,
     update_rows, upsert, with_changes, without_ids,
 )
 from leadlake.operators.outcome import Outcome, split_rejects
-from leadlake.schema import LEAD_STAGES, REFERENCES, not_null
+from leadlake.schema import LEAD_STAGES, REFERENCES
 from leadlake.sources.tables import Tables, apply_defaults, finish
 
 # --- fixed values: fields an update may set ---
@@ -78,12 +78,15 @@ def patch_rows(
     target = t[table]
     given = F.array_intersect(F.map_keys("fields"), F.array(*[F.lit(c) for c in allowed]))
     wide = patch.select("*", *[F.col("fields")[c].alias(c) for c in allowed])
-    required = not_null(table)
     parents = {c: p for child, c, p in REFERENCES if child == table}
     rules = [(F.size(given) == 0, empty)]
+    kinds = column_kinds(table)
     for c in allowed:
-        if c in required:
-            rules.append((F.map_contains_key("fields", c) & S.is_blank(c), f"{c} must not be empty"))
+        present = F.map_contains_key("fields", c)
+        rules += [(present & cond, text) for cond, text in empty_rules(table, wide, [c])]
+        if kinds[c] in ("int", "date", "ts", "money", "bool"):
+            readable = F.col(c).try_cast(target.schema[c].dataType).isNotNull()
+            rules.append((F.col(c).isNotNull() & ~readable, f"invalid {c}"))
     rules += enum_rules(table, wide.select(*allowed))
     for c in allowed:
         if c in parents:
@@ -381,11 +384,8 @@ def _upsert_directory(
 
     updates = batch.where(F.col("id").isNotNull())
     updates, missing = require_row(target, updates, "not found")
-    must = [c for c in fields if c in not_null(table)]
     if mode == "replace":
-        changes, broken = check_batch(
-            t, table, updates, must, ", ".join(must) + " must not be empty"
-        )
+        changes, broken = check_batch(t, table, updates, (), "", *empty_rules(table, updates, fields))
         latest = last_per_key(changes, ["id"])
         new = {c: typed(F.col(f"b_{c}"), table, c, target) for c in fields}
     else:

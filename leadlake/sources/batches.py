@@ -119,7 +119,7 @@ select id as seq, case when id % 25 = 0 then '' else concat('Walk-in ', cast(id
 from c_patients""",
     "patient_patches": """
 select id, id * 2 as seq, true as has_city, case when id % 3 = 0 then null else 'Pune' end as city, id % 2 = 0 as has_age,
- cast(id % 90 as string) as age, id % 5 = 0 as has_name, case when id % 10 = 0 then '' else 'Renamed' end as full_name
+ case when id % 22 = 0 then 'old' else cast(id % 90 as string) end as age, id % 5 = 0 as has_name, case when id % 10 = 0 then '' else 'Renamed' end as full_name
 from c_patients
 union all
 select id, id * 2 + 1, false, null, id % 4 = 0, null, false, null from c_patients where patient_type = 'new'""",

@@ -44,18 +44,24 @@ def append_files(stream: DataFrame, path: str, checkpoint: str, available_now: b
 
 
 def _batches(spark: SparkSession, folder: str, before: int | None = None) -> list[str]:
-    """Folders of finished micro-batches."""
+    """Finished folders that hold the changes: the newest summary and the micro-batches after it."""
     fs, root = file_system(spark, folder)
     if not fs.exists(root):
         return []
-    found = []
+    found: dict[str, list[int]] = {"batch": [], "upto": []}
     for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        number = int(name.removeprefix("batch=")) if name.startswith("batch=") else -1
+        kind, _, number = status.getPath().getName().partition("=")
         done = fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
-        if number >= 0 and done and (before is None or number < before):
-            found.append(f"{folder}/{name}")
-    return found
+        if kind in found and done and (before is None or int(number) < before):
+            found[kind].append(int(number))
+    summary = max(found["upto"], default=-1)
+    later = [f"{folder}/batch={n}" for n in sorted(found["batch"]) if n > summary]
+    return ([f"{folder}/upto={summary}"] if summary >= 0 else []) + later
+
+
+def _newest_changes(spark: SparkSession, base: DataFrame, folders: list[str]) -> DataFrame:
+    schema = base.select(*STATE_COLUMNS).withColumn("batch", F.lit(0).cast("bigint")).schema
+    return spark.read.schema(schema).parquet(*folders)
 
 
 def lead_state(spark: SparkSession, leads: DataFrame, folder: str, before: int | None = None, among: DataFrame | None = None) -> DataFrame:
@@ -69,8 +75,7 @@ def lead_state(spark: SparkSession, leads: DataFrame, folder: str, before: int |
         base = base.join(among, "id", "left_semi")
     if not written:
         return base
-    schema = base.withColumn("batch", F.lit(0).cast("bigint")).schema
-    changes = spark.read.schema(schema).parquet(*written)
+    changes = _newest_changes(spark, base, written)
     if among is not None:
         changes = changes.join(among, "id", "left_semi")
     newest = changes.groupBy("id").agg(F.max_by(F.struct(*G.STATE), "batch").alias("_s"))
@@ -82,14 +87,17 @@ def lead_state(spark: SparkSession, leads: DataFrame, folder: str, before: int |
 
 
 def stage_stream(
-    events: DataFrame, leads: DataFrame, folder: str, checkpoint: str, available_now: bool = True
+    events: DataFrame, leads: DataFrame, folder: str, checkpoint: str, available_now: bool = True,
+    summary_every: int = 20,
 ) -> StreamingQuery:
     """Advance lead stages from a stream of log events (see :func:`stage_engine.log_events`).
 
     Each micro-batch looks up the state of the leads it names, applies the same sums
     and maxima as the batch job, and writes only the leads it named to
     ``folder/batch=<n>``. A lead with very many events in a micro-batch is split by
-    sequence there as in the batch job. Read the result with :func:`lead_state`.
+    sequence there as in the batch job. Every ``summary_every`` batches the changes so far
+    are written as one folder, so that a look-up reads few folders however long the
+    stream runs. Read the result with :func:`lead_state`.
     """
 
     def step(batch: DataFrame, number: int) -> None:
@@ -100,6 +108,10 @@ def stage_stream(
             state = lead_state(spark, leads, folder, number, named)
             after = G.advance(state, rows).withColumn("batch", F.lit(number).cast("bigint"))
             after.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+            if (number + 1) % summary_every == 0:
+                changes = _newest_changes(spark, leads, _batches(spark, folder))
+                last = changes.groupBy("id").agg(F.max_by(F.struct(*G.STATE, "batch"), "batch").alias("_s"))
+                last.select("id", "_s.*").write.mode("overwrite").parquet(f"{folder}/upto={number}")
         finally:
             rows.unpersist()
 

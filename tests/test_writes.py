@@ -50,12 +50,17 @@ def test_absent_null_and_later_fields(spark, t):
         (lead["id"], 4, {"doctor_id": "none"}),
         (lead["id"], 5, {"facility_id": None}),
         (-1, 6, {"urgency": "low"}),
+        (lead["id"], 7, {"urgency": ""}),
+        (lead["id"], 8, {"followup_date": "soon"}),
+        (lead["id"], 9, {"lead_medium": ""}),
     ]), CLOCK)
     after = done.tables.leads.where(F.col("id") == lead["id"]).first()
     assert (after["campaign_name"], after["urgency"], after["doctor_id"]) == (None, "low", lead["doctor_id"])
     assert after["lead_stage"] == lead["lead_stage"]
     reasons = {r["seq"]: r["reason"] for r in done.rejects.collect()}
-    assert reasons == {3: "No valid fields to update", 4: "unknown doctor_id", 5: "facility_id must not be empty", 6: "Lead not found"}
+    assert reasons == {3: "No valid fields to update", 4: "unknown doctor_id", 5: "facility_id must not be empty", 6: "Lead not found",
+                       7: "invalid urgency", 8: "invalid followup_date"}
+    assert after["lead_medium"] == ""
 
 
 def test_clock_moves_only_on_real_changes(spark, t):

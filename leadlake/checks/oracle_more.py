@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadlake.schema import LEAD_SOURCES, LEAD_STAGES, columns
+from leadlake.schema import LEAD_STAGES, columns
 
 LEAD_LIST = """l.id, l.lead_stage, l.lead_substage, l.lead_source, l.lead_medium, l.campaign_name, l.enquiry_type,
  l.medical_concern, l.urgency, l.followup_date, l.ai_score, l.ai_priority, l.ai_reason, l.ai_next_action,
@@ -45,7 +45,7 @@ LISTS = {
  or contains(p.primary_phone, 'patient 12') or contains(coalesce(p.email, ''), 'patient 12')""",
     "page_info": """select count(*) as total, 1 as page, 500 as limit, ((count(*) + 499) // 500)::bigint as pages
  from c_leads where lead_stage = 'customer'""",
-    "sort_leads": f"""select {LEAD_LIST} from {JOINS} order by {rank('l.lead_source', LEAD_SOURCES)}, l.id limit 200""",
+    "sort_leads": f"select {LEAD_LIST} from {JOINS}",
     "lead_page": f"""select {LEAD_LIST} from {JOINS} order by {rank('l.lead_stage', LEAD_STAGES)} desc, l.id
  limit 50 offset 100""",
     "lead_page_by_facility": f"""select {LEAD_LIST} from {JOINS} order by lower(f.name), l.id limit 500 offset 500""",

@@ -69,7 +69,7 @@ def touched(*pairs: tuple[str, str]) -> str:
 REQ_LEAD = ("full_name", "primary_phone", "facility_id", "speciality_id", "lead_source")
 STAGES = ", ".join(f"'{s}'" for s in LEAD_STAGES)
 
-INGEST = "with " + ", ".join([
+INGEST_STEPS = "with " + ", ".join([
     judge(
         "b_lead_intake",
         (blanks(*REQ_LEAD), ", ".join(REQ_LEAD) + " required"),
@@ -89,7 +89,8 @@ INGEST = "with " + ", ".join([
     f"""fresh as (select *, {NEW} + seq as pid, 'PAT-' || lpad((row_number() over (order by seq)
  + (select max(regexp_extract(unique_pid, '([0-9]+)$', 1)::bigint) from c_patients))::varchar, 5, '0') as upid from firsts)""",
     "placed as (select m.*, coalesce(m.old_id, f.pid) as patient_id from met m left join fresh f on f.k = m.k)",
-]) + " " + union(
+])
+INGEST = INGEST_STEPS + " " + union(
     rejected(),
     rep("patients", "id", ["unique_pid", "full_name", "primary_phone", "email", "city", "patient_type"], "c_patients"),
     rep("patients", "pid", ["upid", "full_name", "primary_phone", nb("email"), nb("city"), low("patient_type", "new")], "fresh"),
@@ -270,21 +271,23 @@ UPDATE_PATIENTS = "with " + judge(
     rep("patients", "id", ["nn", "nc", "na", touched(("nn", "full_name"), ("nc", "city"), ("na", "age"))], "n l"),
 )
 
-DELETE_PATIENTS = "with used as (select patient_id, lead_id from c_appointments where appointment_date < timestamp '1995-01-20'" \
-    " union select patient_id, lead_id from c_revenue where billed_date < timestamp '1995-01-20'), " + judge(
-    "(select distinct id from b_patient_deletes)",
-    ("id not in (select id from c_patients)", "Patient not found"),
-    ("""id in (select patient_id from used) or id in (select patient_id from c_leads where id in (select lead_id from used))""",
-     "patient has appointments or revenue"),
-) + " " + union(
-    rejected(key="id"),
-    rep("patients", "id", ["patient_type"], "c_patients where id not in (select id from ok)"),
-    rep("leads", "id", ["patient_id"], "c_leads where patient_id not in (select id from ok)"),
+DELETE_PATIENTS = INGEST_STEPS + f""",
+ allp as (select id, patient_type from c_patients union all select pid, {low("patient_type", "new")} from fresh),
+ alll as (select id, patient_id from c_leads union all select seq + {NEW}, patient_id from placed),
+ used as (select patient_id, lead_id from c_appointments union select patient_id, lead_id from c_revenue),
+ dj as (select b.id, case when b.id not in (select id from allp) then 'Patient not found'
+  when b.id in (select patient_id from used) or b.id in (select patient_id from alll where id in (select lead_id from used))
+  then 'patient has appointments or revenue' end as reason from (select distinct id from b_patient_deletes) b),
+ gone as (select id from dj where reason is null) """ + union(
+    rejected("dj", "id"),
+    rep("patients", "id", ["patient_type"], "allp where id not in (select id from gone)"),
+    rep("leads", "id", ["patient_id"], "alll where patient_id not in (select id from gone)"),
     rep("interactions", "id", ["lead_id"], """c_interactions where lead_id not in
- (select id from c_leads where patient_id in (select id from ok))"""),
+ (select id from alll where patient_id in (select id from gone))"""),
 )
 
 
+
 def directory(table: str, batch: str, required, text: str, must, set_sql: dict[str, str], created: list[str],
               cols: list[str], new: int, refs: list[tuple[str, str]], mode: str, unique: str | None = None, taken: str = "",
               stamp: bool = False) -> str:

@@ -118,7 +118,7 @@ _TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         t, stage="Interested ", source="organic", date_from="1997-01-01", date_to="1999-12-31"),
     "search_leads": lambda t: L.list_leads(t, search="PATIENT 12"),
     "page_info": lambda t: L.page_info(L.filter_leads(t.leads, stage="customer"), 1, 2000),
-    "sort_leads": lambda t: L.sort_leads(L.list_leads(t), "source", "asc").limit(200),
+    "sort_leads": lambda t: L.sort_leads(L.list_leads(t), "source", "asc"),
     "lead_page": lambda t: L.lead_page(t, 3, 50, "stage"),
     "lead_page_by_facility": lambda t: L.lead_page(t, 2, 900, "facility", "ASC"),
     "appointments_in_range": lambda t: L.list_appointments(
@@ -219,9 +219,6 @@ _WRITE_QUERIES = {
     "update_patients": ("patient_patches", lambda t, b: _report(
         W.update_patients(t, _patch(b, city="has_city", age="has_age", full_name="has_name"), CLOCK), "seq",
         {"patients": ["id", "full_name", "city", "age", "updated_at"]})),
-    "delete_patients": ("patient_deletes", lambda t, b: _report(
-        W.delete_patients(_early(t), b), "id",
-        {"patients": ["id", "patient_type"], "leads": ["id", "patient_id"], "interactions": ["id", "lead_id"]})),
     "upsert_facilities": ("facility_forms", lambda t, b: _report(
         W.upsert_facilities(t, b, "replace", CLOCK, lambda table, seq: seq + F.lit(1_000_000)), "seq",
         {"facilities": ["id", "name", "type", "city", "region", "address", "is_active"]})),
@@ -270,14 +267,6 @@ _WRITE_QUERIES = {
 }
 
 
-def _early(t: Tables) -> Tables:
-    """The tables as they were before most visits, so that some patients can be deleted."""
-    return t.replace(
-        appointments=t.appointments.where(F.col("appointment_date") < S.moment("1995-01-20")),
-        revenue=t.revenue.where(F.col("billed_date") < S.moment("1995-01-20")),
-    )
-
-
 def _outbox(t: Tables, changes: DataFrame) -> DataFrame:
     done = W.change_stage(t, changes, CLOCK)
     sent = O.event_outbox(t, O.stage_changed_events(done.accepted, "7"), CLOCK)
@@ -401,7 +390,17 @@ def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(bills.agg((F.sum("total_value") * 100).cast("bigint").alias("rows")))
 
 
+def _delete_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Take in new leads first: their new patients have no visits yet and can be deleted."""
+    t = load_fixture(spark, sf_dir)
+    ids = load_batch(spark, sf_dir, t, "patient_deletes")
+    done = W.delete_patients(W.ingest_leads(t, load_batch(spark, sf_dir, t, "lead_intake"), CLOCK, numbered_ids).tables, ids)
+    return _report(done, "id", {
+        "patients": ["id", "patient_type"], "leads": ["id", "patient_id"], "interactions": ["id", "lead_id"]})
+
+
 _SESSION_QUERIES: dict[str, Query] = {
+    "delete_patients": _delete_patients,
     "stage_stream": _stage_stream,
     "outbox_stream": _outbox_stream,
     "audit_stream": _audit_stream,

@@ -90,10 +90,12 @@ def check_batch(
     return ok.select(*order), bad.drop(*helpers)
 
 
-def require_row(target: DataFrame, batch: DataFrame, text: str, key: str = "id") -> tuple[DataFrame, DataFrame]:
+def require_row(
+    target: DataFrame, batch: DataFrame, text: str, key: str = "id", once: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Refuse batch rows whose ``key`` is not in the target."""
     joined = batch.join(known_ids(target, batch, key), key, "left")
-    ok, bad = split_rejects(joined, (F.col("_known").isNull(), text))
+    ok, bad = split_rejects(joined, (F.col("_known").isNull(), text), once=once)
     return ok.drop("_known").select(*batch.columns), bad.drop("_known")
 
 

@@ -188,10 +188,10 @@ def _by_phone(t: Tables, batch: DataFrame) -> DataFrame:
 def delete_leads(t: Tables, ids: DataFrame) -> Outcome:
     """Delete leads with their interactions; leads with appointments or bills are refused."""
     wanted = ids.select("id").distinct()
-    known, missing = require_row(t.leads, wanted, "Lead not found")
+    known, missing = require_row(t.leads, wanted, "Lead not found", once=True)
     ok, blocked = split_rejects(
         known.join(_referenced(t, "lead_id", known), "id", "left"),
-        (F.col("_used").isNotNull(), "lead has appointments or revenue"),
+        (F.col("_used").isNotNull(), "lead has appointments or revenue"), once=True,
     )
     ok = ok.select("id")
     tables = t.replace(
@@ -339,14 +339,15 @@ def update_patients(t: Tables, patch: DataFrame, as_of) -> Outcome:
 def delete_patients(t: Tables, ids: DataFrame) -> Outcome:
     """Delete patients with their leads and those leads' interactions; refused while
     appointments or bills point to the patient or to one of the leads."""
-    wanted, missing = require_row(t.patients, ids.select("id").distinct(), "Patient not found")
+    wanted, missing = require_row(t.patients, ids.select("id").distinct(), "Patient not found", once=True)
     own = t.leads.select("id", "patient_id").join(
         wanted.select(F.col("id").alias("patient_id")), "patient_id", "left_semi"
     )
     by_lead = own.join(_referenced(t, "lead_id", own), "id", "left_semi").select(F.col("patient_id").alias("id"))
     used = by_lead.unionByName(_referenced(t, "patient_id", wanted).select("id")).distinct().withColumn("_used", F.lit(True))
     ok, blocked = split_rejects(
-        wanted.join(used, "id", "left"), (F.col("_used").isNotNull(), "patient has appointments or revenue")
+        wanted.join(used, "id", "left"), (F.col("_used").isNotNull(), "patient has appointments or revenue"),
+        once=True,
     )
     ok = ok.select("id")
     gone = own.join(ok.select(F.col("id").alias("patient_id")), "patient_id", "left_semi")

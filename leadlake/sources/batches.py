@@ -123,8 +123,9 @@ select id, id * 2 as seq, true as has_city, case when id % 3 = 0 then null else
 from c_patients
 union all
 select id, id * 2 + 1, false, null, id % 4 = 0, null, false, null from c_patients where patient_type = 'new'""",
-    "patient_deletes": """
-select id from c_patients union all select id + 100000000 from c_patients where patient_type = 'new'""",
+    # All patients before an intake, and those the intake may have created.
+    "patient_deletes": f"""
+select seq as id from b_lead_intake union all select seq + {NEW_ID} from b_lead_intake""",
     "facility_forms": """
 select id as seq, cast(null as int) as id, case when id % 10 = 0 then '' else concat('Clinic ', cast(id as string)) end as name,
  case id % 4 when 0 then null when 1 then 'Hospital' when 2 then 'spa' else 'clinic' end as type, 'Pune' as city, '' as region,

@@ -171,6 +171,51 @@ DASHBOARD_SQL = {
 }
 
 
+def sections(parts: dict[str, str]) -> str:
+    """Results of several statements as (section, value) JSON lines; moments as Spark writes them."""
+    lines = []
+    for name, sql in parts.items():
+        for c in ("enquiry_date", "last_visit"):
+            if name in ("recentLeads", "highValue") and c in sql:
+                sql = f"select * replace (strftime({c}, '%Y-%m-%dT%H:%M:%S.000') as {c}) from ({sql})"
+                break
+        lines.append(f"select '{name}' as section, to_json(s)::varchar as value from ({sql}) s")
+    return " union all ".join(lines)
+
+
+def _pick(**names: str) -> str:
+    return sections({k: {**VIEW_SQL, **DASHBOARD_SQL}[v] for k, v in names.items()})
+
+
+DOCUMENT_SQL = {
+    "to_documents": """select to_json(s)::varchar as value from
+ (select id, lead_stage, doctor_id, attempt_count from c_leads) s""",
+    "exec_summary": sections({
+        "stats": STATS,
+        "revenue": f"select {total('total_value')} as total from c_revenue",
+        "bySource": DASHBOARD_SQL["leads_by_source"],
+        "byFacility": DASHBOARD_SQL["facility_leads"],
+    }),
+    "dashboard_summary": _pick(
+        stats="dashboard_stats", bySource="leads_by_source", bySpeciality="leads_by_speciality", revenue="revenue_total",
+        recentLeads="recent_leads", atRisk="at_risk_leads"),
+    "dashboard_marketing": sections({
+        "stats": STATS,
+        "bySource": f"select channel as lead_source, total_leads, customers, conversion_rate from ({DASHBOARD_SQL['channel_conversion']})",
+        "byCampaign": DASHBOARD_SQL["top_campaigns"],
+    }),
+    "dashboard_cxo": _pick(
+        stats="dashboard_stats", revenue="revenue_total", byChannel="channel_conversion", funnel="funnel",
+        bySpeciality="speciality_conversion", byDoctor="top_doctors", byFacility="facility_conversion",
+        revBySpeciality="revenue_by_speciality_all", noShow="no_show_rate", leadsByMonth="leads_by_month",
+        specTrend="speciality_trend", channelTrend="channel_trend"),
+    "dashboard_finance": _pick(
+        summary="revenue_breakdown", byMonth="revenue_by_month", byChannel="revenue_by_channel",
+        bySpeciality="revenue_by_speciality", byFacility="revenue_by_facility", highValue="high_value_patients",
+        byPaymentStatus="revenue_by_payment_status"),
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    every = {**VIEW_SQL, **DASHBOARD_SQL, **MORE_SQL, **WRITES_SQL}
+    every = {**VIEW_SQL, **DASHBOARD_SQL, **MORE_SQL, **WRITES_SQL, **DOCUMENT_SQL}
     return {k: with_fixtures(v) for k, v in every.items()}

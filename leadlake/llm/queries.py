@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlake.llm import bpe_codec, secret_scan, token_counts
@@ -31,10 +31,14 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.secret_spans(docs, out="secrets")
-    counts = {f"n_{k}": F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long") for k in secret_scan.KINDS}
+    counts = {f"n_{k}": _count("secrets", k) for k in secret_scan.KINDS}
     base = F.filter("secrets", lambda s: s["kind"] != "novel")
     return found.select(
         "doc_id",

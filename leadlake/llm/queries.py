@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlake.llm import bpe_codec, secret_scan, token_counts
+from leadlake.llm import bpe_codec, secret_scan, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,5 +48,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs, width=4, radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_token_counts, op5_bpe_codec)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_token_counts, op5_bpe_codec, op8_simhash_near_dedup)}

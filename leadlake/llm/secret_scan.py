@@ -84,7 +84,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         at = max(near.end(), seen)
         while (m := _CANDIDATE.search(text, at)) and m.start() <= near.end() + REACH:
             at = seen = m.end()
-            if any(a < m.end() and m.start() < b for a, b in taken) or m.group().isalpha():
+            if any(a < m.end() and m.start() < b for a, b in taken) or m.group().isalpha() or m.group().isdigit():
                 continue
             if _novelty(text, m.start(), m.end()) >= NOVELTY:
                 novel.append((m.start(), 3, m.end()))

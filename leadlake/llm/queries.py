@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlake.llm import bpe_codec, secret_scan, simhash, token_counts
+from leadlake.functions.reliability import checkpointed
+from leadlake.llm import bpe_codec, quality, secret_scan, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,5 +55,13 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    stats = checkpointed(quality.with_statistics(docs).drop("text"))
+    return quality.judged(stats, quality.estimates(stats)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_token_counts, op5_bpe_codec, op8_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_token_counts, op5_bpe_codec, op8_simhash_near_dedup, op9_quality_rules)}

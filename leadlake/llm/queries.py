@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlake.functions.reliability import checkpointed
-from leadlake.llm import bpe_codec, quality, secret_scan, simhash, token_counts
+from leadlake.llm import bpe_codec, decontaminate, quality, secret_scan, sharding, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,5 +63,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"), width=13, share=20)
+    ids = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", ids, "contaminated")
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard_documents(docs, shards=40).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_token_counts, op5_bpe_codec, op8_simhash_near_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_token_counts, op5_bpe_codec, op7_decontamination, op8_simhash_near_dedup, op9_quality_rules)}

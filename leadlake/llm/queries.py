@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlake.functions.reliability import checkpointed
-from leadlake.llm import bpe_codec, decontaminate, quality, secret_scan, sharding, simhash, token_counts
+from leadlake.llm import bpe_codec, decontaminate, quality, secret_scan, sharding, simhash, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,5 +77,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), warc.shared_folder(spark))
+    return warc.read_archives(manifest, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_token_counts, op5_bpe_codec, op7_decontamination, op8_simhash_near_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_token_counts, op4_warc, op5_bpe_codec, op7_decontamination, op8_simhash_near_dedup, op9_quality_rules)}

@@ -81,9 +81,9 @@ def rebalanced(current: DataFrame, loads: DataFrame, shards: int, tolerance: flo
     Also the way to grow or shrink: shards beyond ``shards`` give up all their slots. One
     small task, on one row per slot.
     """
-    mean = loads.agg((F.sum("bytes") / shards * (1 + tolerance)).alias("mean"))
+    mean = F.sum("bytes").over(Window.partitionBy("version")) / shards * (1 + tolerance)
     heaviest = Window.partitionBy("shard").orderBy(F.desc("bytes"), "slot").rowsBetween(Window.unboundedPreceding, 0)
-    filled = current.join(loads, "slot").join(F.broadcast(mean)).withColumn("_upto", F.sum("bytes").over(heaviest))
+    filled = current.join(loads, "slot").withColumns({"_upto": F.sum("bytes").over(heaviest), "mean": mean})
     marked = filled.withColumn("_kept", (F.col("_upto") <= F.col("mean")) & (F.col("shard") < shards))
     kept = F.when(F.col("_kept"), F.struct("shard", "slot", "bytes"))
     told = marked.agg(

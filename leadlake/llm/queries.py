@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlake.functions.reliability import checkpointed
-from leadlake.llm import bpe_codec, decontaminate, quality, secret_scan, sharding, simhash, token_counts, warc
+from leadlake.llm import bpe_codec, decontaminate, pii, quality, secret_scan, sharding, simhash, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,5 +82,16 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(_table(spark, sf_dir, "documents"), ["doc_id"])
+    counts = [_kind_count("pii", k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    base = F.filter("pii", lambda s: s["kind"] < len(pii.BASE_KINDS))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
+
+
+def _kind_count(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_token_counts, op4_warc, op5_bpe_codec, op7_decontamination, op8_simhash_near_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_token_counts, op4_warc, op5_bpe_codec, op6_pii, op7_decontamination, op8_simhash_near_dedup, op9_quality_rules)}

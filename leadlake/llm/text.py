@@ -58,23 +58,36 @@ def running_totals(lengths: Column) -> Column:
     return let(lengths, lambda v: F.when(F.size(v) <= CHUNK, prefix(v, F.lit(0))).otherwise(chunked(v)))
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """Matches of a pattern with their place: array of (start, end, match), in code points, end exclusive.
+SPAN = "struct<start: int, end: int, match: string, left: string>"
+#: Characters of the text before a match that are kept with it.
+LEFT = 64
+
+
+def spans(text: Column | str, pattern: str) -> Column:
+    """Matches of a pattern with their place: array of (start, end, match, left), in code points, end exclusive.
 
     The gaps between matches come from a split by the same pattern, so the place of a
-    match is the length of all gaps and matches before it.
+    match is the length of all gaps and matches before it. ``left`` is the end of the gap
+    before the match.
     """
+    text = F.col(text) if isinstance(text, str) else text
+
+    def placed(found: Column, gaps: Column) -> Column:
+        before = running_totals(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m)))
+
+        def one(at: Column, k: Column) -> Column:
+            start, match = at + F.length(F.get(gaps, k)), F.get(found, k)
+            return F.struct(
+                start.cast("int").alias("start"), (start + F.length(match)).cast("int").alias("end"), match.alias("match"), F.right(F.get(gaps, k), F.lit(LEFT)).alias("left")
+            )
+
+        return F.transform(before, one)
 
-    def placed(found: Column) -> Column:
-        gaps = F.transform(F.split(text, pattern, -1), F.length)
-        sizes = F.transform(found, F.length)
-        before = running_totals(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), sizes, lambda g, m: g + m))
+    def some(found: Column) -> Column:
+        return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), lambda gaps: placed(found, gaps))).otherwise(no_spans())
 
-        def one(at: Column, k: Column, gs: Column) -> Column:
-            start = at + F.get(gs, k)
-            return F.struct(start.alias("start"), (start + F.length(F.get(found, k))).alias("end"), F.get(found, k).alias("match"))
+    return let(matches(text, pattern), some)
 
-        return let(gaps, lambda gs: F.transform(before, lambda at, k: one(at, k, gs)))
 
-    none = F.array().cast("array<struct<start: int, end: int, match: string>>")
-    return let(matches(text, pattern), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(none))
+def no_spans() -> Column:
+    return F.array().cast(f"array<{SPAN}>")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlake.functions.reliability import checkpointed
-from leadlake.llm import bpe_codec, decontaminate, pii, quality, secret_scan, sharding, simhash, token_counts, warc
+from leadlake.llm import bpe_codec, decontaminate, langid, pii, quality, secret_scan, sharding, simhash, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,5 +93,11 @@ def _kind_count(spans: str, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    told = langid.identify(docs.select("doc_id", "text"), langid.learn(docs))
+    return told.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_token_counts, op4_warc, op5_bpe_codec, op6_pii, op7_decontamination, op8_simhash_near_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_token_counts, op4_warc, op5_bpe_codec, op6_pii, op7_decontamination, op8_simhash_near_dedup, op9_quality_rules, op10_language_id)}

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.functions.reliability import checkpointed
+from leadlake.functions.reliability import checkpointed, small_side
 from leadlake.llm.graph import components
 from leadlake.llm.ship import ship_code
 
@@ -150,10 +150,33 @@ def linked_fingerprints(prints: DataFrame, fp: str = "fp", radius: int = 4) -> D
     return components(edges).withColumnRenamed("node", "fp")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """One row (key, fp, component_id) per row of ``docs``; component_id is the smallest key reachable."""
-    prints = checkpointed(with_fingerprints(docs.select(key, text), text, width).select(key, "fp"))
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row (key, keep…, fp, root, component_id) per row of ``docs``.
+
+    component_id is the smallest key reachable, root the smallest fingerprint reachable.
+    """
+    prints = checkpointed(with_fingerprints(docs.select(key, text, *keep), text, width).select(key, *keep, "fp"))
     roots = linked_fingerprints(prints, radius=radius)
     least = prints.groupBy("fp").agg(F.min(key).alias("_least")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = least.groupBy("root").agg(F.min("_least").alias("component_id")).join(least.select("fp", "root"), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(key, "fp", "component_id")
+    named = least.groupBy("root").agg(F.min("_least").alias("component_id")).join(least.select("fp", "root"), "root")
+    return prints.join(named, "fp").select(key, *keep, "fp", "root", "component_id")
+
+
+def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of ``docs`` less all but one of each component: that of smallest key (null last), then smallest text digest.
+
+    Only keys and digests are grouped. Rows to leave out are looked up by both, so texts
+    are not shuffled while there are few of them; of rows that are equal in both, one stays.
+    """
+    tagged = docs.withColumn("_d", F.md5(F.coalesce(text, F.lit(""))))
+    found = near_duplicates(tagged, key, text, width, radius, ("_d",))
+    each = checkpointed(found.groupBy("root", F.col(key).alias("_k"), F.col("_d").alias("_e")).agg(F.count("*").alias("_n")))
+    place = F.struct(F.col("_k").isNull().alias("none"), F.col("_k").alias("k"), F.col("_e").alias("e"))
+    best = each.groupBy("root").agg(F.min(place).alias("best"), F.count("*").alias("_rows"))
+    told = each.join(best.where("_rows > 1"), "root", "left")
+    first = F.col("best").isNull() | ((F.col("best")["e"] == F.col("_e")) & F.col("best")["k"].eqNullSafe(F.col("_k")))
+    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_d") == F.col("_e"))
+    rest = tagged.join(small_side(told.where(~first).select("_k", "_e")), same, "left_anti")
+    repeated = small_side(told.where(first & (F.col("_n") > 1)).select("_k", "_e"))
+    once = rest.join(repeated, same, "left_semi").dropDuplicates([key, "_d"])
+    return rest.join(repeated, same, "left_anti").union(once).select(*docs.columns)

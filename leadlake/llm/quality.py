@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadlake.functions.reliability import checkpointed
+from leadlake.functions.reliability import BROADCAST_ROWS, checkpointed
 from leadlake.llm.text import let, places, words_of
 
 WINDOW = 8
@@ -91,6 +91,7 @@ LEAST_ROWS = 50
 #: Rows beyond this squared distance are rejected.
 CUTOFF = 45.0
 ALL = "*"
+SALTS = 64
 BINS = 8
 
 
@@ -136,6 +137,19 @@ def _distance(center: str = "center", factor: str = "factor") -> Column:
     return solve(F.array().cast("array<double>"), 0)
 
 
+def _per_row(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """Join rows with a table of one row per group.
+
+    The table is broadcast if it is counted to be small. Otherwise rows are dealt by group
+    and salt, as a group may hold any share of them.
+    """
+    kept = checkpointed(table)
+    if kept.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(kept), "g", how)
+    spread = kept.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(spread, ["g", "_salt"], how).drop("_salt")
+
+
 def _with_factor(moments: DataFrame) -> DataFrame:
     """Turn covariances c<i>_<j> into ``factor``, the rows of the lower Cholesky factor."""
     cell: dict[tuple[int, int], Column] = {}
@@ -157,16 +171,16 @@ def estimates(stats: DataFrame) -> DataFrame:
     """
     rows = checkpointed(stats.where(~base_failed()).select(F.explode(F.array(_group(), F.lit(ALL))).alias("g"), _vector().alias("x")))
     medians = checkpointed(_medians(rows))
-    away = rows.join(medians, "g").select("g", F.zip_with("x", "center", lambda v, m: F.abs(v - m)).alias("x"))
+    away = _per_row(rows, medians).select("g", F.zip_with("x", "center", lambda v, m: F.abs(v - m)).alias("x"))
     spread = _medians(away).select("g", F.col("center").alias("mad"))
     first = medians.join(spread, "g").select("g", F.lit(0).cast("long").alias("n"), "center", *[
         (F.when(F.lit(i != j), 0.0).otherwise(F.pow(1.4826 * F.get("mad", i), 2) + F.lit(FLOORS[i] ** 2))).alias(f"c{i}_{j}") for i in range(P) for j in range(i + 1)
     ])
-    found = checkpointed(_with_factor(first))
+    found = _with_factor(first)
     for _ in range(STEPS):
-        far = rows.join(found, "g").select("g", "x", F.col("center").alias("old"), F.floor(F.log1p(_distance()) * 64).alias("bin"))
+        far = _per_row(rows, found).select("g", "x", F.col("center").alias("old"), F.floor(F.log1p(_distance()) * 64).alias("bin"))
         edge = _quantile(far, ["g"], "bin", COVERED).select("g", "n", F.col("bin").alias("edge"))
-        near = far.join(edge, "g").where("bin <= edge")
+        near = _per_row(far, edge).where("bin <= edge")
         off = [F.get("x", i) - F.get("old", i) for i in range(P)]
         sums = near.groupBy("g").agg(
             F.max("n").alias("n"), F.max("old").alias("old"), *[F.avg(off[i]).alias(f"m{i}") for i in range(P)],
@@ -177,8 +191,8 @@ def estimates(stats: DataFrame) -> DataFrame:
             for i in range(P) for j in range(i + 1)
         ]
         center = F.array(*[F.get("old", i) + F.col(f"m{i}") for i in range(P)]).alias("center")
-        found = checkpointed(_with_factor(sums.select("g", "n", center, *covariances)))
-    return found
+        found = _with_factor(sums.select("g", "n", center, *covariances))
+    return checkpointed(found)
 
 
 def judged(stats: DataFrame, found: DataFrame) -> DataFrame:
@@ -187,10 +201,10 @@ def judged(stats: DataFrame, found: DataFrame) -> DataFrame:
     A row whose group has fewer than ``LEAST_ROWS`` rows is held against all rows.
     """
     large = found.where((F.col("n") >= LEAST_ROWS) | (F.col("g") == ALL))
-    named = large.select(F.col("g").alias("_g"))
-    marked = stats.withColumns({"base_failed": base_failed(), "x": _vector(), "_own": _group()})
-    marked = marked.join(named, F.col("_own") == F.col("_g"), "left").withColumn("g", F.coalesce("_g", F.lit(ALL))).drop("_g", "_own")
-    scored = marked.join(large.drop("n"), "g", "left").withColumn("distance", _distance())
+    marked = stats.withColumns({"base_failed": base_failed(), "x": _vector(), "g": _group()})
+    named = _per_row(marked, large.select("g", F.lit(True).alias("_large")), "left")
+    marked = named.withColumn("g", F.when(F.col("_large"), F.col("g")).otherwise(ALL)).drop("_large")
+    scored = _per_row(marked, large.drop("n"), "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
     return scored.withColumn("kept", kept).drop("g", "x", "center", "factor")
 

@@ -80,25 +80,31 @@ def postings(docs: DataFrame, anchors: DataFrame, text: str) -> DataFrame:
 
 
 def alignments(index: DataFrame, anchors: DataFrame, slack: int = 0) -> DataFrame:
-    """(digest, item, words, long, shift): where both rare terms of a window stand right.
+    """(digest, told, shift): where both rare terms of a window of the item ``told`` stand right.
 
     Each list is shifted by its term's place in the item; ``shift`` is the text's place of
     the item's first word. With ``slack``, the second term may be that many places off.
+    Items and places go by hashes here, so that rows are short; two with one hash would
+    only be compared in vain.
     """
-    rows = anchors.withColumn("pair", F.xxhash64("item", "words", "p1", "p2"))
-    one = lambda p: rows.select(F.get("words", F.col(p)).alias("term"), "item", "words", "long", "pair", F.col(p).alias("p"), F.lit(p == "p2").alias("second"))
+    rows = anchors.withColumn("told", _told()).withColumn("pair", F.xxhash64("told", "p1", "p2"))
+    one = lambda p: rows.select(F.get("words", F.col(p)).alias("term"), "pair", F.col(p).alias("p"), F.lit(p == "p2").alias("second"))
     hit = index.join(small_side(one("p1").union(one("p2"))), "term").withColumn("shift", F.col("at") - F.col("p"))
     if slack:
         hit = hit.withColumn("shift", F.explode(F.when(F.col("second"), F.sequence(F.col("shift") - slack, F.col("shift") + slack)).otherwise(F.array("shift"))))
-    key = ["digest", "item", "words", "long", "pair", "shift"]
-    both = hit.groupBy(*key).agg(F.max("second").alias("b"), F.min("second").alias("a")).where("b and not a")
-    return both.select("digest", "item", "words", "long", "shift").distinct()
+    both = hit.groupBy("digest", "pair", "shift").agg(F.max("second").alias("b"), F.min("second").alias("a")).where("b and not a")
+    return both.join(small_side(rows.select("pair", "told").distinct()), "pair").select("digest", "told", "shift").distinct()
+
+
+def _told() -> Column:
+    return F.xxhash64("item", "words")
 
 
 def proximity(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 13, slack: int = 3) -> DataFrame:
     """(digest, item, shift): alignments whose rare terms stand at most ``slack`` places off."""
     anchors = checkpointed(rare_places(item_windows(items, item, item_text, width), docs, text))
-    return alignments(postings(docs, anchors, text), anchors, slack).select("digest", "item", "shift").distinct()
+    named = small_side(anchors.select(_told().alias("told"), "item").distinct())
+    return alignments(postings(docs, anchors, text), anchors, slack).join(named, "told").select("digest", "item", "shift").distinct()
 
 
 def _runs(own: Column, words: Column, shift: Column, long: Column) -> Column:
@@ -108,11 +114,12 @@ def _runs(own: Column, words: Column, shift: Column, long: Column) -> Column:
     return F.transform(found, lambda s: F.struct((shift + s["start"]).alias("start"), (shift + s["end"]).alias("end")))
 
 
-def exact_hits(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
+def exact_hits(docs: DataFrame, found: DataFrame, anchors: DataFrame, text: str) -> DataFrame:
     """(digest, item, start, end): stretches of words of texts that occurrences of an item's windows cover."""
     near = docs.select(_digest(text).alias("digest"), text).join(small_side(found.select("digest").distinct()), "digest", "left_semi")
     own = near.dropDuplicates(["digest"]).select("digest", terms(text).alias("own"))
-    compared = own.join(found, "digest").select("digest", "item", F.explode(_runs(F.col("own"), F.col("words"), F.col("shift"), F.col("long"))).alias("r"))
+    items = small_side(anchors.select(_told().alias("told"), "item", "words", "long").distinct())
+    compared = own.join(found.join(items, "told"), "digest").select("digest", "item", F.explode(_runs(F.col("own"), F.col("words"), F.col("shift"), F.col("long"))).alias("r"))
     return compared.select("digest", "item", "r.start", "r.end").distinct()
 
 
@@ -125,7 +132,7 @@ def contamination(
     """
     anchors = checkpointed(rare_places(item_windows(items, item, item_text, width), docs, text))
     found = checkpointed(alignments(postings(docs, anchors, text), anchors))
-    hits = checkpointed(exact_hits(docs, found, text))
+    hits = checkpointed(exact_hits(docs, found, anchors, text))
     earlier = Window.partitionBy("digest").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     stretches = hits.select("digest", "start", "end").distinct().withColumn("upto", F.coalesce(F.max("end").over(earlier), F.lit(0)))
     covered = stretches.groupBy("digest").agg(F.sum(F.greatest(F.col("end") - F.greatest("start", "upto"), F.lit(0))).alias("n_hit"))

@@ -63,11 +63,13 @@ def rare_places(windows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """
     asked = small_side(windows.select(F.explode("words").alias("term")).distinct())
     told = docs.select(F.explode(terms(text)).alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    items = windows.select("item", "words", "long").distinct()
-    ranked = items.select("item", "words", "long", F.posexplode("words").alias("at", "term")).join(told, "term", "left")
-    counts = ranked.groupBy("item", "words", "long").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("counts"))
+    windows = windows.withColumn("told", _told())
+    items = windows.select("told", "words").distinct()
+    ranked = items.select("told", "words", F.posexplode("words").alias("at", "term")).join(told, "term", "left")
+    counts = ranked.groupBy("told", "words").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("counts"))
     inside = F.transform(F.slice("counts", F.col("first") + 1, F.col("long")), lambda c: F.struct(c["n"], c["at"]))
-    two = windows.join(counts, ["item", "words", "long"]).withColumn("rarest", F.slice(F.sort_array(inside), 1, 2))
+    two = windows.join(counts, ["told", "words"])  # the item itself may be null
+    two = two.withColumn("rarest", F.slice(F.sort_array(inside), 1, 2))
     p1, p2 = F.get("rarest", F.lit(0))["at"], F.get("rarest", F.size("rarest") - 1)["at"]
     return two.select("item", "words", "long", F.least(p1, p2).alias("p1"), F.greatest(p1, p2).alias("p2")).distinct()
 

@@ -74,14 +74,14 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 #: Rates of a text's vector, and the standard deviation that is always allowed for: a group
 #: in which a rate never varies must not reject the first text in which it does a little.
 RATES = {
-    "chars": (F.log(F.greatest("word_chars", F.lit(1)) / F.greatest("n_words", F.lit(1))), 0.12),
-    "symbols": (F.log1p(F.col("n_symbols") / F.greatest("n_words", F.lit(1))), 0.04),
-    "dup_lines": (F.log1p(F.col("n_dup_lines") / F.sqrt(F.greatest("n_words", F.lit(1)))), 0.08),
-    "repeats": (F.col("n_repeat_words") / F.greatest("n_words", F.lit(1)), 0.08),
-    "upper": (F.col("n_upper") / F.greatest("word_chars", F.lit(1)), 0.03),
+    "ln(word_chars / n_words)": 0.12,
+    "ln(1 + n_symbols / n_words)": 0.04,
+    "ln(1 + n_dup_lines / sqrt(n_words))": 0.08,
+    "n_repeat_words / n_words": 0.08,
+    "n_upper / word_chars": 0.03,
 }
 P = len(RATES)
-FLOORS = [floor for _, floor in RATES.values()]
+FLOORS = list(RATES.values())
 #: Share of a group's rows that the estimate covers, and the factor that makes its scatter that of
 #: all rows of a normal group: COVERED over the chance of a chi-square of P + 2 degrees up to the
 #: COVERED quantile of one of P degrees.
@@ -104,7 +104,9 @@ def _group() -> Column:
 
 
 def _vector() -> Column:
-    return F.array(*[rate.cast("double") for rate, _ in RATES.values()])
+    words, chars = (F.greatest(c, F.lit(1)) for c in ("n_words", "word_chars"))
+    rates = [F.log(chars / words), F.log1p(F.col("n_symbols") / words), F.log1p(F.col("n_dup_lines") / F.sqrt(words)), F.col("n_repeat_words") / words, F.col("n_upper") / chars]
+    return F.array(*[r.cast("double") for r in rates])
 
 
 def _quantile(rows: DataFrame, keys: list[str], bin_: str, share: float) -> DataFrame:

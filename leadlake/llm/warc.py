@@ -145,7 +145,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2001-08-01T00:00:
 
         def close(records: list[bytes]) -> None:
             data, name = archive(records), f"{stem}-{len(done):04d}.warc.zst"
-            with store.open_output_stream(f"{root}/{name}") as f:
+            with store.open_output_stream(f"{root}/{name}", compression=None) as f:
                 f.write(data)
             done.append((f"{folder}/{name}", len(records), len(data)))
 
@@ -196,7 +196,7 @@ def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
             for path in batch.column("path"):
                 store, at = _open(path.as_py())
                 rows, size = [], 0
-                with store.open_input_stream(at) as source:
+                with store.open_input_stream(at, compression=None) as source:
                     for fields, block in records_of(source):
                         rows.append(row(fields, block))
                         size += len(block)

@@ -22,7 +22,7 @@ from leadlake.operators import profiles as P
 from leadlake.operators import stage_engine as G
 from leadlake.operators import views as V
 from leadlake.operators import writes as W
-from leadlake.plans.bundles import dashboard, prepare, release, run_frames
+from leadlake.plans.bundles import dashboard, run_frames, shared_cubes
 from leadlake.sources.batches import NEW_ID, load_batch
 from leadlake.sources.fixtures import CLOCK, load_fixture, spark_schema
 from leadlake.sources.tables import Tables, finish, stored
@@ -80,9 +80,8 @@ def main() -> None:
         return seq + NEW_ID
 
     def bundle(name: str) -> None:
-        ready = prepare(t, name, CLOCK)
-        run_frames(dashboard(ready, name, CLOCK, cubes=False), lambda _, df: consume(df))
-        release(ready)
+        with shared_cubes(t, name, CLOCK) as ready:
+            run_frames(dashboard(ready, name, CLOCK), lambda _, df: consume(df))
 
     def write_all(done) -> None:
         for name in ("patients", "leads", "appointments", "revenue"):

@@ -415,10 +415,10 @@ AUDIT = "with " + state_sql(LOG_TALKS, LOG_CHANGES, "select lead_id, seq, follow
   l.followup_date is distinct from s.followup_date as moved, s.followup_date as f1,
   l.attempt_count is distinct from s.attempt_count as counted, s.attempt_count as c1
   from c_leads l join state s on s.id = l.id)
- select 7 as user_id, 'lead' as entity_type, id::varchar as entity_id, case when staged then 'STAGE_CHANGE' else 'UPDATE' end as action,
-  {AS_OF} as created_at, s0 as old_stage, case when staged then s1 end as new_stage,
-  case when not staged and moved then f1::varchar end as new_followup, case when not staged and counted then c1::varchar end as new_count
- from d where staged or moved or counted"""
+ select 7 as user_id, 'lead' as entity_type, id::varchar as entity_id, 'STAGE_CHANGE' as action, {AS_OF} as created_at,
+  s0 as old_stage, s1 as new_stage, null::varchar as new_followup, null::varchar as new_count from d where staged
+ union all select 7, 'lead', id::varchar, 'UPDATE', {AS_OF}, s0, null, case when moved then f1::varchar end,
+  case when counted then c1::varchar end from d where moved or counted"""
 
 BROKEN = """bp as (select * replace (lower(city) as gender) from c_patients where patient_type = 'existing'),
  bu as (select * replace (case role when 'admin' then 'Admin' when 'cxo' then 'Cxo' when 'marketing' then 'Marketing'

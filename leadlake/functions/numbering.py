@@ -1,10 +1,12 @@
 """Running numbers that no single task has to compute alone.
 
 A plain ``row_number()`` sends all rows of a key (or, with no key, all rows) to
-one task. Here the sequence is cut into slices of fixed width: rows are numbered
+one task. Here the sequence is cut into slices of equal width: rows are numbered
 inside their (key, slice), slice totals are added up per key, and both are
 joined. A (key, slice) pair holds at most ``width`` rows as the sequence is
-unique, whatever share of the data one key has.
+unique, whatever share of the data one key has. Unless given, the width follows
+from the number of rows and the range of the sequence, so that there is one slice
+for every ``SLICE_ROWS`` rows, however sparse the sequence is.
 """
 
 from __future__ import annotations
@@ -14,21 +16,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE_WIDTH = 1_000_000
+#: Rows per slice if the sequence is evenly spread.
+SLICE_ROWS = 1_000_000
 
 
-def slice_of(seq: str, width: int = SLICE_WIDTH) -> Column:
+def slice_width(df: DataFrame, seq: str, rows: int = SLICE_ROWS) -> int:
+    """Width of slices that hold about ``rows`` rows each; one small job."""
+    n, low, high = df.agg(F.count(seq), F.min(seq), F.max(seq)).first()
+    return max(1, -(-(int(high) - int(low) + 1) // -(-n // rows))) if n else 1
+
+
+def slice_of(seq: str, width: int) -> Column:
     """Slice number of a whole-number sequence column."""
     return F.expr(f"`{seq}` div {int(width)}L")
 
 
 def running_number(
-    df: DataFrame, seq: str, keys: Sequence[str] = (), out: str = "n", width: int = SLICE_WIDTH
+    df: DataFrame, seq: str, keys: Sequence[str] = (), out: str = "n", width: int | None = None
 ) -> DataFrame:
     """Add ``out`` = 1, 2, 3, … in ``seq`` order, per key combination (or over all rows)."""
     # Stated outright: rows that arrive partitioned by the keys alone would otherwise stay so,
     # and a key with very many rows would stay in one task.
-    cut = df.withColumn("_slice", slice_of(seq, width)).repartition(*keys, "_slice")
+    cut = df.withColumn("_slice", slice_of(seq, width or slice_width(df, seq))).repartition(*keys, "_slice")
     inside = Window.partitionBy(*keys, "_slice").orderBy(seq)
     numbered = cut.withColumn("_inside", F.row_number().over(inside))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,6 +9,7 @@ from leadlake.functions import semantics as S
 from leadlake.schema import columns
 
 CLOCK_COLUMNS = ("created_at", "updated_at")
+STAGE_COLUMNS = ("lead_stage", "lead_substage")
 
 
 def _json(fields: Column) -> Column:
@@ -16,49 +17,52 @@ def _json(fields: Column) -> Column:
 
 
 def audit_rows(before: DataFrame, after: DataFrame, as_of, actor=None, entity: str = "lead", ip: str | None = None) -> DataFrame:
-    """One audit row per entity that differs between two states.
+    """Audit rows of the entities that differ between two states.
 
-    CREATE (new row), DELETE (old id), STAGE_CHANGE (old and new stage, if stage or
-    substage moved), UPDATE (old row and the changed fields).
+    CREATE (new row), DELETE (old id), STAGE_CHANGE (old stage, new stage and substage, if
+    either moved) and UPDATE (old row and the other changed fields). An entity whose stage
+    and other fields changed has one row of each of the last two.
     """
     names = [c for c in before.columns if c not in ("id", *CLOCK_COLUMNS)]
     old = before.select("id", F.struct(*before.columns).alias("old"))
     new = after.select("id", F.struct(*after.columns).alias("new"))
     both = old.join(new, "id", "full_outer")
     differs = {c: ~F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")) for c in names}
-    any_change = F.lit(False)
-    for cond in differs.values():
-        any_change = any_change | cond
+    other_change = F.lit(False)
+    for c, cond in differs.items():
+        if c not in STAGE_COLUMNS:
+            other_change = other_change | cond
     created, deleted = F.col("old").isNull(), F.col("new").isNull()
     staged = F.lit(False)
-    for c in ("lead_stage", "lead_substage"):
+    for c in STAGE_COLUMNS:
         if c in differs:
             staged = staged | differs[c]
-    action = (
-        F.when(created, "CREATE").when(deleted, "DELETE").when(staged, "STAGE_CHANGE").otherwise("UPDATE")
+    actions = (
+        F.when(created, F.array(F.lit("CREATE")))
+        .when(deleted, F.array(F.lit("DELETE")))
+        .otherwise(F.array_compact(F.array(F.when(staged, "STAGE_CHANGE"), F.when(other_change, "UPDATE"))))
     )
+    both = both.select("*", F.explode(actions).alias("_action"))
+    action = F.col("_action")
     changed = F.map_filter(
         F.map_from_arrays(
             F.array(*[F.lit(c) for c in names]),
             F.array(*[F.struct(d.alias("hit"), F.col(f"new.{c}").cast("string").alias("v")) for c, d in differs.items()]),
         ),
-        lambda _, v: v["hit"],
+        lambda c, v: v["hit"] & ~c.isin(*STAGE_COLUMNS),
     )
     changed = F.transform_values(changed, lambda _, v: v["v"])
 
-    def stage(side: str) -> Column:
-        return _json(F.struct(F.col(f"{side}.lead_stage"), F.col(f"{side}.lead_substage")))
-
     has_stage = "lead_stage" in names
     old_values = F.when(action == "DELETE", _json(F.struct("id"))).when(action == "UPDATE", _json(F.col("old")))
     new_values = F.when(action == "CREATE", _json(F.col("new"))).when(action == "UPDATE", _json(changed))
     if has_stage:
-        old_values = old_values.when(action == "STAGE_CHANGE", stage("old"))
-        new_values = new_values.when(action == "STAGE_CHANGE", stage("new"))
-    rows = both.where(created | deleted | any_change).select(
+        old_values = old_values.when(action == "STAGE_CHANGE", _json(F.struct("old.lead_stage")))
+        new_values = new_values.when(action == "STAGE_CHANGE", _json(F.struct("new.lead_stage", "new.lead_substage")))
+    rows = both.select(
         F.lit(actor).alias("user_id"), F.lit(entity).alias("entity_type"), F.col("id").cast("string").alias("entity_id"),
         action.alias("action"), old_values.alias("old_values"), new_values.alias("new_values"),
         F.lit(ip).cast("string").alias("ip_address"), S.moment(as_of).alias("created_at"),
     )
-    key = F.md5(F.concat_ws("|", "entity_type", "entity_id", "action", F.col("created_at").cast("string")))
+    key = F.md5(F.concat_ws("|", "entity_type", "entity_id", "action", F.col("created_at").cast("string"), "old_values", "new_values"))
     return rows.withColumn("id", key).select(*columns("audit_logs"))

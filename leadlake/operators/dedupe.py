@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.functions import semantics as S
-from leadlake.functions.reliability import bounded, checkpointed
+from leadlake.functions.reliability import bounded, checkpointed, small_side
 from leadlake.operators.outcome import Outcome, split_rejects
 from leadlake.operators.profiles import PART_ROWS, nested
 from leadlake.sources.tables import Tables
@@ -166,7 +166,7 @@ def merge_patients(t: Tables, mapping: DataFrame) -> Outcome:
     usable, refused = usable.drop("_known"), refused.drop("_known")
     moves, cyclic = resolve_mapping(usable)
     cycles = usable.join(cyclic, "secondary_id", "left_semi").withColumn("reason", F.lit("merge cycle"))
-    moves = moves.select(F.col("secondary_id").alias("patient_id"), F.col("primary_id").alias("_to"))
+    moves = small_side(moves.select(F.col("secondary_id").alias("patient_id"), F.col("primary_id").alias("_to")))
 
     def moved(df: DataFrame) -> DataFrame:
         return df.join(moves, "patient_id", "left").withColumn(

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadlake.functions import semantics as S
+from leadlake.functions.reliability import small_side
 from leadlake.operators.outcome import split_rejects
-from leadlake.schema import ENUMS, REFERENCES, TABLES, columns, not_null
+from leadlake.schema import ENUMS, REFERENCES, SETS, TABLES, not_null
 from leadlake.sources.tables import Tables
 
 MakeId = Callable[[str, Column], Column]
@@ -33,6 +34,11 @@ def enum_rules(table: str, batch: DataFrame) -> list[Rule]:
         if name == table and column in batch.columns:
             bad = ~S.is_blank(column) & ~S.lower_value(F.col(column).cast("string")).isin(*domain)
             rules.append((bad, f"invalid {column}"))
+    for (name, column), domain in SETS.items():
+        if name == table and column in batch.columns:
+            text = isinstance(batch.schema[column].dataType, T.StringType)
+            items = F.split(F.col(column), ",") if text else F.col(column)
+            rules.append((F.exists(items, lambda x: (x != "") & ~S.lower_value(x).isin(*domain)), f"invalid {column}"))
     return rules
 
 
@@ -44,7 +50,7 @@ def known_ids(target: DataFrame, batch: DataFrame, key: str, large: bool = True)
     batch's ids go to the target (broadcast while small), not the target to the batch."""
     ids = target.select(F.col("id").alias(key))
     if large:
-        ids = ids.join(batch.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi")
+        ids = ids.join(small_side(batch.select(key).where(F.col(key).isNotNull()).distinct()), key, "left_semi")
     return ids.withColumn("_known", F.lit(True))
 
 
@@ -79,11 +85,20 @@ def reference_rules(t: Tables, table: str, batch: DataFrame) -> tuple[DataFrame,
 
 
 def check_batch(
-    t: Tables, table: str, batch: DataFrame, required: Sequence[str], text: str, *more: Rule
+    t: Tables, table: str, batch: DataFrame, required: Sequence[str], text: str, *more: Rule, fresh: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Intake checks in the order: required fields, further rules, domains, references."""
+    """Intake checks in the order: required fields, further rules, domains, references.
+
+    With ``fresh``, given ids must be new: not in the table, nor in an earlier row of the batch.
+    """
     order = batch.columns
     tagged, refs, helpers = reference_rules(t, table, batch)
+    if fresh and "id" in batch.columns:
+        first = batch.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("seq").alias("_first"))
+        taken = known_ids(t[table], batch, "id").withColumnRenamed("_known", "_taken")
+        tagged = tagged.join(small_side(first), "id", "left").join(taken, "id", "left")
+        more = (*more, (F.col("_taken").isNotNull() | (F.col("seq") > F.col("_first")), "id is taken"))
+        helpers = [*helpers, "_first", "_taken"]
     ok, bad = split_rejects(
         tagged, (S.any_blank(required), text), *more, *enum_rules(table, batch), *refs, once=True
     )
@@ -141,7 +156,7 @@ def update_rows(target: DataFrame, batch: DataFrame, new: Mapping[str, Column],
         F.col(key), F.lit(True).alias("_hit"), *[F.col(c).alias(f"b_{c}") for c in batch.columns if c != key]
     )
     values = {c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in new.items()}
-    return with_changes(target.join(side, key, "left"), target.columns, values, as_of)
+    return with_changes(target.join(small_side(side), key, "left"), target.columns, values, as_of)
 
 
 def last_per_key(batch: DataFrame, keys: Sequence[Column | str], seq: str = "seq") -> DataFrame:
@@ -182,11 +197,8 @@ def upsert(
 
 def without_ids(target: DataFrame, ids: DataFrame, key: str = "id", column: str = "id") -> DataFrame:
     """Rows whose ``column`` is not among ``ids[key]``."""
-    return target.join(ids.select(F.col(key).alias(column)).distinct(), column, "left_anti").select(*target.columns)
-
-
-def table_columns(table: str) -> list[str]:
-    return columns(table)
+    gone = small_side(ids.select(F.col(key).alias(column)).distinct())
+    return target.join(gone, column, "left_anti").select(*target.columns)
 
 
 def column_kinds(table: str) -> dict[str, str]:

@@ -136,6 +136,8 @@ def list_appointments(
     a = t.appointments
     for column, value in {"visit_status": status, "facility_id": facility_id, "doctor_id": doctor_id}.items():
         if value not in (None, ""):
+            if column == "visit_status":
+                value = str(value).rstrip().lower()
             a = a.where(F.col(column) == value)
     if date_from or date_to:
         a = a.where(S.day_range("appointment_date", date_from, date_to, whole_last_day=False))

@@ -53,8 +53,8 @@ def route(events: DataFrame, hooks: DataFrame, moment: Column, source: str = SOU
 
     The hook table has one row per event type, so Spark broadcasts it by its size.
     """
-    targets = hooks.select("event_type", "url")
-    return events.join(targets, "event_type").select(
+    targets = hooks.select(S.ci_key("event_type").alias("_event"), "url")  # as the hooks' key compares
+    return events.withColumn("_event", S.ci_key("event_type")).join(targets, "_event").select(
         "event_type", "entity_id", "url",
         envelope(F.col("event_type"), F.col("data"), moment, source, test).alias("body"),
     )

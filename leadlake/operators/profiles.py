@@ -3,15 +3,15 @@
 A row holds one array per child table, so a parent with very many children
 cannot be one row. Its document is written in parts of about ``part_rows``
 children each: part 0, 1, …, ``parts`` in total, every child in exactly one
-part, each array newest first. Nearly every parent has one part, which is the
-whole document.
+part, each array newest first, and the parts put together in their order are newest
+first too. Nearly every parent has one part, which is the whole document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlake.functions.reliability import small_side
@@ -48,8 +48,7 @@ def nested(
     )
     for name, (df, when, *rest) in children.items():
         add_names = rest[0] if rest else _as_is
-        part = F.pmod(F.xxhash64("id"), parts).cast("int")
-        rows = add_names(df.join(split, key, "left").withColumn("part", part).drop("parts"))
+        rows = add_names(_with_part(df, split, key, when, part_rows, newest_first))
         body = [c for c in rows.columns if c not in (when, "id", key, "part")]
         arrays = (
             rows.repartition(key, "part")  # by both, so that a split parent's parts spread out
@@ -61,6 +60,26 @@ def nested(
     return out.withColumns(empty)
 
 
+def _with_part(df: DataFrame, split: DataFrame, key: str, when: str, part_rows: int, newest_first: bool) -> DataFrame:
+    """Add ``part``: 0, or for children of split parents their rank by part_rows.
+
+    A split parent has many children, so ranks are taken inside its days and days are
+    added up: no task sees more of it than a day.
+    """
+    marked = df.join(split.withColumnRenamed("parts", "_parts"), key, "left")
+    whole = marked.where("_parts is null").drop("_parts").withColumn("part", F.lit(0))
+    many = marked.where("_parts is not null").drop("_parts").withColumn("_day", F.to_date(when)).repartition(key, "_day")
+    turn = F.desc_nulls_last if newest_first else F.asc_nulls_first
+    inside = Window.partitionBy(key, "_day").orderBy(turn(when), turn("id"))
+    earlier = Window.partitionBy(key).orderBy(turn("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = many.groupBy(key, "_day").agg(F.count(F.lit(1)).alias("_n"))
+    before = days.select(F.col(key).alias("_key"), F.col("_day").alias("_on"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    ranked = many.withColumn("_rank", F.row_number().over(inside) - 1)
+    placed = ranked.join(before, (F.col(key) == F.col("_key")) & F.col("_day").eqNullSafe(F.col("_on")))
+    part = F.floor((F.col("_before") + F.col("_rank")) / part_rows).cast("int")
+    return whole.unionByName(placed.withColumn("part", part).select(*df.columns, "part"))
+
+
 def _named(df: DataFrame, dim: DataFrame, key: str, out: str, how: str = "left") -> DataFrame:
     return df.join(dim.select(F.col("id").alias(key), F.col("name").alias(out)), key, how)
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlake.functions import semantics as S
-from leadlake.functions.numbering import SLICE_WIDTH, running_number, slice_of
+from leadlake.functions.numbering import SLICE_ROWS, running_number, slice_of, slice_width
 from leadlake.sources.tables import Tables
 
 # --- fixed values: event vocabulary and stage texts ---
@@ -49,7 +49,7 @@ def classify(df: DataFrame) -> DataFrame:
     )
 
 
-def attempt_numbers(t: Tables, seq: str = "id", width: int = SLICE_WIDTH) -> DataFrame:
+def attempt_numbers(t: Tables, seq: str = "seq", width: int | None = None) -> DataFrame:
     """Each contact attempt with its number on the lead, counting on from ``attempt_count``."""
     attempts = classify(t.interactions).where("is_attempt")
     cols = dict.fromkeys(["lead_id", "id", seq])
@@ -61,7 +61,7 @@ def attempt_numbers(t: Tables, seq: str = "id", width: int = SLICE_WIDTH) -> Dat
     )
 
 
-def interaction_events(df: DataFrame, seq: str = "id") -> DataFrame:
+def interaction_events(df: DataFrame, seq: str = "seq") -> DataFrame:
     """Interactions as events of the log."""
     return classify(df).select(
         "lead_id", F.col(seq).cast("bigint").alias("seq"),
@@ -102,8 +102,9 @@ def log_events(log: DataFrame) -> DataFrame:
     )
 
 
-def summarise(events: DataFrame, width: int = SLICE_WIDTH) -> DataFrame:
+def summarise(events: DataFrame, width: int | None = None) -> DataFrame:
     """The five facts per lead: attempts, change, attempts_at_change, attempts_at_miss, followup."""
+    width = width or slice_width(events, "seq")
     seq = F.col("seq")
     run = Window.partitionBy("lead_id", "_slice").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     changed, promised = F.col("change").isNotNull(), F.col("followup_date").isNotNull()
@@ -160,7 +161,7 @@ def new_state(
     )
 
 
-def advance(leads: DataFrame, events: DataFrame, as_of=None, width: int = SLICE_WIDTH) -> DataFrame:
+def advance(leads: DataFrame, events: DataFrame, as_of=None, width: int | None = None) -> DataFrame:
     """Leads after the events; all other columns and leads without events stay as they are."""
     facts = summarise(events, width).withColumnRenamed("lead_id", "id")
     zero = F.lit(0)
@@ -185,18 +186,18 @@ def advance(leads: DataFrame, events: DataFrame, as_of=None, width: int = SLICE_
     return after.withColumns(new).select(*leads.columns)
 
 
-def apply_interactions(t: Tables, seq: str = "id", width: int = SLICE_WIDTH) -> DataFrame:
+def apply_interactions(t: Tables, seq: str = "seq", width: int | None = None) -> DataFrame:
     """State of every lead after its interactions."""
     events = interaction_events(t.interactions, seq)
     return advance(t.leads.select("id", *STATE), events, width=width)
 
 
-def apply_events(t: Tables, log: DataFrame, width: int = SLICE_WIDTH) -> DataFrame:
+def apply_events(t: Tables, log: DataFrame, width: int | None = None) -> DataFrame:
     """State of every lead after a mixed log."""
     return advance(t.leads.select("id", *STATE), log_events(log), width=width)
 
 
-def latest_followup(t: Tables, seq: str = "id") -> DataFrame:
+def latest_followup(t: Tables, seq: str = "seq") -> DataFrame:
     """Follow-up date of every lead: the last one an interaction gave, else the lead's own."""
     given = F.col("followup_date").isNotNull()
     last = t.interactions.groupBy(F.col("lead_id").alias("id")).agg(

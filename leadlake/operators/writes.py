@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from leadlake.functions import semantics as S
 from leadlake.functions.numbering import running_number
-from leadlake.functions.reliability import checkpointed
+from leadlake.functions.reliability import checkpointed, small_side
 from leadlake.operators import stage_engine as G
 from leadlake.operators.keyed import (
     MakeId, check_batch, column_kinds, empty_rules, enum_rules, join_rejects, last_per_key, require_row, stable_ids, typed,
@@ -105,7 +105,7 @@ def patch_rows(
         c: F.when(F.col(f"_{c}").isNotNull(), typed(F.col(f"_{c}.v"), table, c, target)).otherwise(F.col(c))
         for c in allowed
     }
-    after = with_changes(target.join(latest, "id", "left"), target.columns, new, as_of)
+    after = with_changes(target.join(small_side(latest), "id", "left"), target.columns, new, as_of)
     rejects = join_rejects(not_found.select(*patch.columns, "reason"), bad.select(*patch.columns, "reason"))
     return after, rejects, ok.select(*patch.columns)
 
@@ -120,7 +120,7 @@ def ingest_leads(t: Tables, batch: DataFrame, as_of, make_id: MakeId | None = No
     more = enum_rules("patients", batch)
     if "stage" in batch.columns:
         more.append((~S.is_blank("stage") & ~S.lower_value("stage").isin(*LEAD_STAGES), "invalid stage"))
-    ok, rejects = check_batch(t, "leads", batch, required, ", ".join(required) + " required", *more)
+    ok, rejects = check_batch(t, "leads", batch, required, ", ".join(required) + " required", *more, fresh=True)
     phone = ok.withColumn("_phone", S.ci_key("primary_phone"))
     met = checkpointed(phone.join(_by_phone(t, phone), "_phone", "left"))
     fresh = S.first_per_key(met.where("_old IS NULL"), ["_phone"], F.col("seq")).drop("_old", "_phone")
@@ -213,7 +213,7 @@ def ingest_interactions(
         own = F.col("agent_id") if "agent_id" in batch.columns else F.lit(None)
         batch = batch.withColumn("agent_id", F.coalesce(S.blank_to_null(own), F.lit(actor)).cast(
             t.interactions.schema["agent_id"].dataType))
-    ok, rejects = check_batch(t, "interactions", batch, ("lead_id", "outcome"), "outcome is required")
+    ok, rejects = check_batch(t, "interactions", batch, ("lead_id", "outcome"), "outcome is required", fresh=True)
     rows = _complete(ok, "interactions", as_of, make_id)
     kept = ok.select("lead_id", "seq", "interaction_type", "outcome",
                      F.col("followup_date").cast("date").alias("followup_date"))
@@ -235,7 +235,7 @@ def log_emails(t: Tables, deliveries: DataFrame, as_of, make_id: MakeId | None =
         (S.is_blank("lead_id"), "no lead"),
         (F.coalesce(F.col("status") >= 300, F.lit(True)), "not delivered"),
     )
-    ok, unknown = check_batch(t, "interactions", sent, ("lead_id",), "no lead")
+    ok, unknown = check_batch(t, "interactions", sent, ("lead_id",), "no lead", fresh=True)
     rows = _complete(
         ok.withColumns({
             "interaction_type": F.lit("email"),
@@ -261,7 +261,7 @@ def _to_customers(t: Tables, rows: DataFrame, state: tuple[str, str], as_of) ->
 def book_appointments(t: Tables, batch: DataFrame, as_of, make_id: MakeId | None = None) -> Outcome:
     make_id = make_id or stable_ids(as_of)
     required = ("lead_id", "patient_id", "facility_id", "appointment_date")
-    ok, rejects = check_batch(t, "appointments", batch, required, ", ".join(required) + " required")
+    ok, rejects = check_batch(t, "appointments", batch, required, ", ".join(required) + " required", fresh=True)
     rows = _complete(ok.drop("visit_status"), "appointments", as_of, make_id)
     tables = t.replace(
         appointments=_append(t.appointments, rows), leads=_to_customers(t, rows, G.BOOKED, as_of)
@@ -300,8 +300,7 @@ def post_revenue(t: Tables, batch: DataFrame, as_of, make_id: MakeId | None = No
     for c in amounts:
         unreadable = unreadable | (~S.is_blank(c) & F.col(c).cast("string").try_cast("decimal(12,2)").isNull())
     ok, rejects = check_batch(
-        t, "revenue", batch, required, ", ".join(required) + " required", (unreadable, "amount is not a number")
-    )
+        t, "revenue", batch, required, ", ".join(required) + " required", (unreadable, "amount is not a number"), fresh=True)
     ok = ok.withColumns({c: F.col(c).cast("string").try_cast("decimal(12,2)") for c in amounts})
     rows = _complete(ok, "revenue", as_of, make_id)
     tables = t.replace(revenue=_append(t.revenue, rows), leads=_to_customers(t, rows, G.BILLED, as_of))

@@ -7,7 +7,8 @@ checkpointed: after losing an executor Spark rebuilds them from the tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
@@ -90,9 +91,21 @@ def run_frames(frames: dict[str, DataFrame], action: Callable[[str, DataFrame],
         return {name: job.result() for name, job in jobs.items()}
 
 
-def dashboard(t: Tables, name: str, as_of, cubes: bool = True) -> dict[str, DataFrame]:
-    """The frames of one dashboard: summary, marketing, cxo or finance."""
-    c = prepare(t, name, as_of) if cubes else t
+@contextmanager
+def shared_cubes(t: Tables, name: str, as_of) -> Iterator[Tables]:
+    """The tables with a bundle's cubes, released at the end: run the frames inside."""
+    ready = prepare(t, name, as_of)
+    try:
+        yield ready
+    finally:
+        release(ready)
+
+
+def dashboard(c: Tables, name: str, as_of) -> dict[str, DataFrame]:
+    """The frames of one dashboard: summary, marketing, cxo or finance.
+
+    Nothing is cached here; with tables from ``shared_cubes`` the frames share its cubes.
+    """
     if name == "summary":
         return {
             "stats": dashboard_stats(c),

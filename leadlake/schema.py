@@ -45,6 +45,7 @@ _SPARK_TYPES = {
     "id": T.StringType(),
     "string": T.StringType(),
     "int": T.IntegerType(),
+    "long": T.LongType(),
     "bool": T.BooleanType(),
     "date": T.DateType(),
     "ts": T.TimestampNTZType(),
@@ -145,6 +146,7 @@ TABLES: dict[str, list[Col]] = {
         Col("notes", "string"),
         Col("followup_date", "date"),
         Col("duration_mins", "int"),
+        Col("seq", "long"),  # order of arrival over all batches
         Col("interaction_date", "ts", AS_OF),
         *_created(updated=False),
     ],
@@ -257,6 +259,10 @@ UNIQUE_KEYS: dict[str, list[tuple[str, ...]]] = {
 NULLABLE_DEFAULTS = {("leads", "urgency"), ("leads", "ai_score"), ("leads", "ai_priority"), ("system_settings", "setting_value")}
 
 
+# several values of a list in one column
+SETS: dict[tuple[str, str], tuple[str, ...]] = {("doctors", "consult_type"): CONSULT_TYPES}
+
+
 def not_null(table: str) -> set[str]:
     """Columns that must not be emptied by an update."""
     return {

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from leadlake.functions import semantics as S
 from leadlake.functions.reliability import checkpointed
-from leadlake.schema import AS_OF, ENUMS, TABLES, columns, has_id, spark_type, struct_type
+from leadlake.schema import AS_OF, ENUMS, SETS, TABLES, columns, has_id, spark_type, struct_type
 
 
 class Tables(Mapping):
@@ -122,6 +122,13 @@ def enum_violations(t: Tables) -> DataFrame:
                 F.struct(F.lit(column).alias("column_name"), F.col(column).alias("value")),
             )
             for (name, column), domain in ENUMS.items() if name == table
+        ] + [
+            F.when(
+                F.exists(column, lambda x: ~x.isin(*domain)  # noqa: B023
+                ),
+                F.struct(F.lit(column).alias("column_name"), F.array_join(column, ",").alias("value")),
+            )
+            for (name, column), domain in SETS.items() if name == table
         ]
         bad = (
             t[table]

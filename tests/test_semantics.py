@@ -9,7 +9,7 @@ from leadlake.functions.numbering import running_number
 from leadlake.operators import dashboards as D
 from leadlake.operators import listing as L
 from leadlake.operators import views as V
-from leadlake.plans.bundles import dashboard, release
+from leadlake.plans.bundles import dashboard, release, shared_cubes
 from leadlake.sources.fixtures import CLOCK
 
 
@@ -107,12 +107,14 @@ def test_campaign_spellings_are_one_campaign(spark, t):
 
 def test_bundles_equal_the_single_frames(t):
     singles = {
-        name: {k: sorted(map(str, df.collect())) for k, df in dashboard(t, name, CLOCK, cubes=False).items()}
+        name: {k: sorted(map(str, df.collect())) for k, df in dashboard(t, name, CLOCK).items()}
         for name in ("summary", "marketing", "cxo", "finance")
     }
     for name, frames in singles.items():
-        made = dashboard(t, name, CLOCK)
-        assert {k: sorted(map(str, df.collect())) for k, df in made.items()} == frames, name
+        with shared_cubes(t, name, CLOCK) as ready:
+            made = dashboard(ready, name, CLOCK)
+            assert {k: sorted(map(str, df.collect())) for k, df in made.items()} == frames, name
+        assert not any(ready[c].is_cached for c in ("lead_cube", "revenue_cube", "bill_cube") if c in ready)
 
 
 def test_release_drops_cached_cubes(spark, t):
@@ -171,3 +173,19 @@ def test_last_months_option(t):
 
 def test_top_specialities_of_a_trend(t):
     assert D.speciality_trend(t, CLOCK, 6, top=2).select("speciality").distinct().count() == 2
+
+
+def test_parts_in_order_are_newest_first(t):
+    from leadlake.operators.profiles import lead_360, patient_360
+
+    for small, whole, key, name, when in (
+        (lead_360(t, part_rows=2), lead_360(t), "lead_id", "appointments", "appointment_date"),
+        (patient_360(t, part_rows=2), patient_360(t), "patient_id", "leads", "created_at"),
+    ):
+        parts = {}
+        for r in small.select(key, "part", "parts", name).collect():
+            assert len(r[name]) <= 2 and r["part"] < r["parts"]
+            parts.setdefault(r[key], {})[r["part"]] = r[name]
+        for r in whole.select(key, name).collect():
+            joined = [x for _, rows in sorted(parts[r[key]].items()) for x in rows]
+            assert joined == r[name] == sorted(r[name], key=lambda x: (x[when], x["id"]), reverse=True)

@@ -84,7 +84,7 @@ def test_closed_form_equals_fold_on_random_logs(spark):
     ids = list(range(400))
     starts = {i: (rng.choice(LEAD_STAGES), "Start", rng.randint(0, 4), rng.choice([None, "2001-09-01"])) for i in ids}
     log = random_log(rng, ids, [rng.randint(0, 14) for _ in ids])
-    for width in (3, 50, G.SLICE_WIDTH):
+    for width in (3, 50, G.SLICE_ROWS, None):
         check(spark, log, starts, width)
 
 
@@ -119,3 +119,45 @@ def test_native_fold_twin(spark, t):
 def test_attempt_numbers_do_not_depend_on_the_slices(t):
     small = sorted(map(tuple, G.attempt_numbers(t, width=7).collect()))
     assert small == sorted(map(tuple, G.attempt_numbers(t).collect()))
+
+
+def test_stored_tables_with_hashed_ids(spark, t, tmp_path):
+    """The engine goes by the stored order of arrival, whatever the ids look like."""
+    from pyspark.sql import functions as F
+
+    from leadlake.sources.tables import commit_snapshot, load_tables
+
+    named = lambda c: F.md5(F.col(c).cast("string"))
+    hashed = t.replace(
+        leads=t.leads.withColumn("id", named("id")),
+        interactions=t.interactions.withColumns({"id": named("id"), "lead_id": named("lead_id")}),
+    )
+    commit_snapshot(spark, str(tmp_path), 0, hashed, ["leads", "interactions"])
+    stored = load_tables(spark, str(tmp_path))
+    for job, key in ((G.latest_followup, "id"), (G.apply_interactions, "id"), (G.attempt_numbers, "id")):
+        plain, got = job(t), job(stored)
+        for c in {"id", "lead_id"} & set(plain.columns):
+            plain = plain.withColumn(c, named(c))
+        assert sorted(map(str, plain.collect())) == sorted(map(str, got.collect())), job.__name__
+
+
+def test_sparse_sequences_have_few_slices(spark):
+    from pyspark.sql import functions as F
+
+    from leadlake.functions.numbering import running_number, slice_of, slice_width
+
+    df = spark.range(3000).select((F.col("id") * 1_500_000).alias("s"), (F.col("id") % 3).alias("k"))
+    assert df.select(slice_of("s", slice_width(df, "s", 500))).distinct().count() <= 7
+    assert sorted(r["n"] for r in running_number(df, "s").collect()) == list(range(1, 3001))
+
+
+def test_given_ids_must_be_new(spark, t):
+    from leadlake.operators import writes as W
+
+    lead = t.leads.select("id").first()["id"]
+    batch = spark.createDataFrame([(1, 5, lead), (2, 10**9, lead), (3, 10**9, lead), (4, None, lead)], "seq long, id long, lead_id long")
+    from pyspark.sql import functions as F
+
+    batch = batch.withColumns({"outcome": F.lit("ok"), "interaction_type": F.lit("call"), "followup_date": F.lit(None).cast("date"), "agent_id": F.lit(None).cast("long")})
+    done = W.ingest_interactions(t, batch, "2001-08-01 00:00:00", make_id=lambda _, seq: seq + 10**10)
+    assert sorted((r["seq"], r["reason"]) for r in done.rejects.collect()) == [(1, "id is taken"), (3, "id is taken")]

@@ -136,11 +136,16 @@ def test_audit_actions(spark, t):
     after = t.leads.where(F.col("id").isin(b, c, d)).withColumn(
         "lead_stage", F.when(F.col("id") == b, "potential").otherwise(F.col("lead_stage"))
     ).withColumn("campaign_name", F.when(F.col("id") == c, F.lit(None)).otherwise(F.lit("Z")))
-    rows = {int(r["entity_id"]): r for r in A.audit_rows(before, after.where(F.col("id") != -1), CLOCK, 1).collect()}
-    assert {k: r["action"] for k, r in rows.items()} == {a: "DELETE", b: "STAGE_CHANGE", c: "UPDATE", d: "CREATE"}
-    assert rows[c]["new_values"] == '{"campaign_name":null}'
-    assert rows[a]["old_values"] == '{"id":%d}' % a and rows[a]["new_values"] is None
-    assert rows[d]["old_values"] is None
+    found = A.audit_rows(before, after.where(F.col("id") != -1), CLOCK, 1).collect()
+    rows = {(int(r["entity_id"]), r["action"]): r for r in found}
+    # b changed its stage and its campaign: one row for each
+    assert set(rows) == {(a, "DELETE"), (b, "STAGE_CHANGE"), (b, "UPDATE"), (c, "UPDATE"), (d, "CREATE")}
+    assert len({r["id"] for r in found}) == len(found)
+    assert rows[b, "UPDATE"]["new_values"] == '{"campaign_name":"Z"}'
+    assert '"lead_stage":"potential"' in rows[b, "STAGE_CHANGE"]["new_values"]
+    assert rows[c, "UPDATE"]["new_values"] == '{"campaign_name":null}'
+    assert rows[a, "DELETE"]["old_values"] == '{"id":%d}' % a and rows[a, "DELETE"]["new_values"] is None
+    assert rows[d, "CREATE"]["old_values"] is None
 
 
 def test_messages(spark, t):
@@ -151,3 +156,26 @@ def test_messages(spark, t):
     assert all(r["test"] for r in body.collect())
     silent = O.event_outbox(t.replace(webhooks=t.webhooks.limit(0)), O.lead_created_events(leads), CLOCK)
     assert silent.count() == 0
+
+
+def test_hooks_compare_event_names_as_their_key_does(spark):
+    hooks = spark.createDataFrame([("Lead_Score_Changed ", "http://x")], "event_type string, url string")
+    events = spark.createDataFrame([("lead_score_changed", "1", "{}")], "event_type string, entity_id string, data string")
+    sent = O.route(events, hooks, F.to_timestamp(F.lit(CLOCK))).collect()
+    assert [(r["event_type"], r["url"]) for r in sent] == [("lead_score_changed", "http://x")]
+
+
+def test_set_values_are_checked_one_by_one(spark, t):
+    doctor = t.doctors.select("id", "name", "speciality_id", "facility_id").first().asDict()
+    rows = [(1, "opd,foo"), (2, "opd"), (3, "bar")]
+    batch = spark.createDataFrame([{**doctor, "seq": s, "consult_type": c} for s, c in rows])
+    from leadlake.operators.keyed import enum_rules
+
+    (bad, _), *rest = enum_rules("doctors", batch)
+    assert not rest and [r["seq"] for r in batch.where(bad).collect()] == [1, 3]
+
+
+def test_status_filter_ignores_case(t):
+    from leadlake.operators.listing import list_appointments
+
+    assert list_appointments(t, status="No_Show").count() == list_appointments(t, status="no_show").count() > 0

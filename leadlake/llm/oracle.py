@@ -2,6 +2,23 @@
 
 from __future__ import annotations
 
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+DECONTAMINATION = rf"""
+with d as (select doc_id, {_TERMS} as w from documents),
+ b as (select item_id, w, least(13, len(w)) as n from (select item_id, {_TERMS} as w from benchmark) where len(w) > 0),
+ windows as (select distinct item_id, n, w[i : i + n - 1] as x from (select *, unnest(range(1, len(w) - n + 2)) as i from b)),
+ starts as (select doc_id, n, i, w[i : i + n - 1] as x
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from windows))),
+ hits as (select doc_id, s.n, i, item_id from starts s join windows v on v.n = s.n and v.x = s.x),
+ covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by 1),
+ listed as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids
+  from (select distinct doc_id, item_id::varchar as item from hits) group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+ sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join covered using (doc_id) left join listed using (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontamination": DECONTAMINATION}

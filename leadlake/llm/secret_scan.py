@@ -18,6 +18,9 @@ replaced by it.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -70,6 +73,25 @@ def _novelty(text: str, start: int, end: int) -> float:
     return (len(packer.compress(before + own.encode())) - len(packer.compress(before))) / len(own.encode())
 
 
+def _candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Strings that start at most ``REACH`` characters behind a sensitive word, each once.
+
+    A string found too far behind one word is kept for the next one, so the text is
+    gone through about twice, however many words and strings it has.
+    """
+    seen, ahead = 0, _CANDIDATE.search(text)
+    for near in _SENSITIVE.finditer(text):
+        at = max(near.end(), seen)
+        while ahead:
+            if ahead.start() < at:
+                ahead = _CANDIDATE.search(text, at)
+            elif ahead.start() <= near.end() + REACH:
+                yield ahead.span()
+                at = seen = ahead.end()
+            else:
+                break
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """The spans of one whole text: kind, start, end."""
     if not text:
@@ -79,15 +101,14 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= _ACCESS_LENGTH]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     found.sort()
-    taken, novel, seen = [(a, b) for a, _, b in found], [], 0
-    for near in _SENSITIVE.finditer(text):
-        at = max(near.end(), seen)
-        while (m := _CANDIDATE.search(text, at)) and m.start() <= near.end() + REACH:
-            at = seen = m.end()
-            if any(a < m.end() and m.start() < b for a, b in taken) or m.group().isalpha() or m.group().isdigit():
-                continue
-            if _novelty(text, m.start(), m.end()) >= NOVELTY:
-                novel.append((m.start(), 3, m.end()))
+    starts, reached = [a for a, _, _ in found], list(accumulate((b for _, _, b in found), max))
+    novel = []
+    for start, end in _candidates(text):
+        before = bisect_left(starts, end)
+        if before and reached[before - 1] > start:  # overlaps a base span
+            continue
+        if not text[start:end].isalpha() and not text[start:end].isdigit() and _novelty(text, start, end) >= NOVELTY:
+            novel.append((start, 3, end))
     return [(KINDS[kind], start, end) for start, kind, end in sorted(found + novel)]
 
 

@@ -20,8 +20,11 @@ _UNSAFE_SPACE = re.compile("[\\s\x85᠎​⁠﻿] ")
 #: One word of plain letters, with at most one common mark behind it: no splitter is needed to see that.
 _PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([,.]?)")
 
+#: The words of an ASCII piece whose only white space is one leading space, here standing for ``{0}``.
+_ASCII_WORDS = "'(?:s|t|re|ve|m|ll|d)|{0}?[A-Za-z]+|{0}?[0-9]+|{0}?[^{0}A-Za-z0-9]+"
+
 _ID_BITS = 32
-_ID = (1 << _ID_BITS) - 1
+ID = (1 << _ID_BITS) - 1
 
 #: Pieces remembered per Python worker and generation.
 MEMORY = 250_000
@@ -66,6 +69,8 @@ class Vocabulary:
         # The file's own splitter, as its Unicode tables decide what a letter is.
         self._split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self._printable = {b: c for c, b in to_byte.items()}
+        self._space = self._printable[0x20]
+        self._ascii_words = re.compile(_ASCII_WORDS.format(self._space)).findall
 
     def parts(self, text: str) -> list[str]:
         """Text between added tokens (even places) and the added tokens (odd places)."""
@@ -73,10 +78,14 @@ class Vocabulary:
 
     def printable(self, text: str) -> str:
         """A text's bytes in the file's printable form."""
+        if text.isascii() and text.isprintable():  # of these, only the space has another form
+            return text.replace(" ", self._space)
         return "".join(map(self._printable.__getitem__, text.encode()))
 
     def words(self, piece: str) -> list[str]:
         """A piece's words in printable form."""
+        if piece.isascii() and piece.isprintable() and piece != " " and piece.rfind(" ") <= 0:
+            return self._ascii_words(piece.replace(" ", self._space))
         if found := _PLAIN.fullmatch(piece):
             return [self.printable(x) for x in found.groups() if x]
         return [word for word, _ in self._split(piece)]
@@ -109,7 +118,7 @@ class Vocabulary:
             if j >= n or get((ids[i], ids[j])) != found:
                 continue
             merges += 1
-            ids[i] = new = found & _ID
+            ids[i] = new = found & ID
             ids[j] = -1
             k = after[i] = after[j]
             if k < n:

@@ -3,8 +3,9 @@
 A merge can only join two neighbouring bytes if some vocabulary token holds them
 side by side. Where a text's neighbouring bytes never meet inside any token, a
 token boundary is certain; the fragments between such places are encoded on
-their own and their ids are put together again. Fragments are short and come
-again and again, so their ids are remembered per Python worker within a bound.
+their own and their ids are put together again. Fragments, words and pieces are
+short and come again and again, so what becomes of them is remembered per Python
+worker within a bound.
 
 Nulls encode as empty texts: no ids, decoded to the empty text. Rows are handled
 one by one; repeated rows, empty tables and very long texts need no special case
@@ -15,15 +16,24 @@ replaced by it.
 from __future__ import annotations
 
 import hashlib
-from itertools import chain
+from collections.abc import Sequence
+from itertools import chain, repeat
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.llm.bpe import Remembered, Vocabulary, pieces, vocabulary
+from leadlake.llm.bpe import ID, Remembered, Vocabulary, pieces, vocabulary
 from leadlake.llm.ship import ship_code
 
+#: Bytes up to which a fragment is merged by looking through all its ranks.
+SHORT = 48
+#: Pieces remembered by ``round_trip`` per Python worker and generation, some 300 bytes each.
+PIECES = 400_000
+#: Stands for no merge; larger than any rank and id.
+NO_MERGE = 1 << 62
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -32,24 +42,56 @@ class Codec:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.joinable = bytearray(1 << 16)
         added = set(vocab.added.values())
-        for i, token in vocab.token_bytes.items():
-            if i not in added:
-                for a, b in zip(token, token[1:], strict=False):
-                    self.joinable[a << 8 | b] = 1
-        self.to_byte = {c: vocab.token_bytes[i][0] for c, i in vocab.symbol.items()}
-        self.fragment = Remembered(lambda f: tuple(vocab.merged(vocab.symbols(f))[0]))
+        shown = {vocab.token_bytes[i]: c for c, i in vocab.symbol.items()}
+        #: Pairs of bytes, in the file's printable form, that stand side by side in some token.
+        self.joinable = {
+            (shown[t[k : k + 1]], shown[t[k + 1 : k + 2]]) for i, t in vocab.token_bytes.items() if i not in added for k in range(len(t) - 1)
+        }
+        self.fragment = Remembered(self._fragment)
+        self.word = Remembered(self._word)
         self.spaced = Remembered(lambda piece: self._piece(" " + piece))
+        self.spaced_both_ways = Remembered(lambda piece: self._both_ways(self._piece(" " + piece)), PIECES)
 
     def fragments(self, word: str) -> list[str]:
         """Cut a word (in the file's printable form) where two bytes meet that meet in no token."""
-        codes, joinable = [self.to_byte[c] for c in word], self.joinable
-        cuts = [i for i in range(1, len(codes)) if not joinable[codes[i - 1] << 8 | codes[i]]]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
+        joinable = self.joinable
+        if joinable.issuperset(zip(word, word[1:])):  # noqa: B905
+            return [word]
+        cuts = [i for i, pair in enumerate(zip(word, word[1:]), 1) if pair not in joinable]  # noqa: B905
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+
+    def _fragment(self, fragment: str) -> tuple[int, ...]:
+        """Merge the pair of lowest rank, leftmost first, until none is left.
+
+        For a short fragment, looking through all ranks is quicker than keeping a heap of them.
+        """
+        ids = self.vocab.symbols(fragment)
+        if len(ids) > SHORT:
+            return tuple(self.vocab.merged(ids)[0])
+        get = self.vocab.merge.get
+        ranks = list(map(get, zip(ids, ids[1:]), repeat(NO_MERGE)))  # noqa: B905
+        while ranks and (found := min(ranks)) != NO_MERGE:
+            i = ranks.index(found)
+            ids[i : i + 2] = [found & ID]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), NO_MERGE)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), NO_MERGE)
+        return tuple(ids)
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        cut = self.fragments(word)
+        return tuple(chain.from_iterable(map(self.fragment.__getitem__, cut))) if len(cut) > 1 else self._fragment(word)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(self.fragment[f] for word in self.vocab.words(piece) for f in self.fragments(word)))
+        words = self.vocab.words(piece)
+        return tuple(chain.from_iterable(map(self.word.__getitem__, words))) if len(words) != 1 else self.word[words[0]]
+
+    def _both_ways(self, ids: Sequence[int]) -> tuple[str, bytes]:
+        """The ids as decimals, and the bytes they decode to."""
+        return self.decimals(ids), self.bytes_of(ids)
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
@@ -62,12 +104,31 @@ class Codec:
                 ids.extend(chain.from_iterable(map(self.spaced.__getitem__, rest)))
         return ids
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.vocab.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
+    def bytes_of(self, ids: Sequence[int]) -> bytes:
+        return b"".join(map(self.vocab.token_bytes.__getitem__, ids))
+
+    def decode(self, ids: Sequence[int]) -> str:
+        return self.bytes_of(ids).decode("utf-8", "replace")
 
-    def decimals(self, ids: list[int]) -> str:
+    def decimals(self, ids: Sequence[int]) -> str:
         return ",".join(map(self.vocab.decimal.__getitem__, ids))
 
+    def both_ways(self, text: str) -> tuple[str, str]:
+        """``decimals(encode(text))`` and ``decode(encode(text))``, put together from the same of its pieces.
+
+        Bytes are put together before they are decoded, as a character may lie across tokens.
+        """
+        found: list[tuple[str, bytes]] = []
+        for k, part in enumerate(self.vocab.parts(text)):
+            if k % 2:
+                found.append(self._both_ways([self.vocab.added[part]]))
+            elif part:
+                first, *rest = pieces(part)
+                if first:
+                    found.append(self._both_ways(self._piece(first)))
+                found.extend(map(self.spaced_both_ways.__getitem__, rest))
+        return ",".join(map(itemgetter(0), found)), b"".join(map(itemgetter(1), found)).decode("utf-8", "replace")
+
 
 def codec(path: str) -> Codec:
     if path not in _codecs:
@@ -112,9 +173,9 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def digests(texts: pa.Array) -> pa.Array:
         coder, rows = codec(path), []
         for x in texts:
-            ids = coder.encode(x.as_py() or "")
-            listed, back = coder.decimals(ids).encode(), coder.decode(ids).encode()
-            rows.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(back).hexdigest()))
+            listed, back = coder.both_ways(x.as_py() or "")
+            n = listed.count(",") + 1 if listed else 0
+            rows.append((n, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
         n, listed, back = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.StructArray.from_arrays(
             [pa.array(n, pa.int64()), pa.array(listed, pa.string()), pa.array(back, pa.string())],

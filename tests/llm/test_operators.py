@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -76,6 +77,14 @@ def test_forced_cuts_lie_between_tokens():
     assert [i for f in cut for i in coder.fragment[f]] == tok.encode("naïveÿé", add_special_tokens=False).ids
 
 
+def test_short_and_long_fragments_merge_alike():
+    coder, rng = bpe_codec.codec(BPE), np.random.default_rng(3)
+    for n in (1, 2, 3, 10, 40):
+        for _ in range(100):
+            word = "".join(rng.choice(list("aehinorstu"), n))
+            assert list(coder._fragment(word)) == coder.vocab.merged(coder.vocab.symbols(word))[0]
+
+
 def plain_secrets(t):
     word = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     found = [(m.start(), 0, m.end()) for m in re.finditer(word + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[1]) >= 8]
@@ -99,6 +108,13 @@ def test_novelty():
         assert secret_scan.find(plain) == []
 
 
+def test_secrets_in_long_texts_take_linear_time():
+    started = time.process_time()
+    assert secret_scan.find("token " * 200_000) == []
+    assert len(secret_scan.find("secret=abcdefgh1 " * 60_000 + "token Zk9xQ2tRb1RtV3pLd0pYcA7 " * 3)) == 60_003
+    assert time.process_time() - started < 20
+
+
 def test_sharding(docs, odd):
     for df, shards in ((docs, 7), (odd, 3), (odd.limit(0), 3)):
         got = sharding.shard_documents(df, shards).collect()

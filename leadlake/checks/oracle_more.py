@@ -142,6 +142,11 @@ DEDUPE = {
   else 'primary patient not found' end, r.secondary_id, r.primary_id from b_merge_requests r
   where r.primary_id = r.secondary_id or r.primary_id not in (select id from c_patients)""",
 }
+#: The same over all groups instead of the largest ones.
+DEDUPE |= {
+    f"{name}_all": DEDUPE[name].replace(" order by 2 desc, 1 limit 50", "")
+    for name in ("duplicates_by_name", "duplicates_by_phone", "duplicate_groups")
+}
 
 MISSED = """(contains(lower(outcome), 'no answer') or contains(lower(outcome), 'no response')
  or contains(lower(outcome), 'not reachable') or contains(lower(outcome), 'busy')

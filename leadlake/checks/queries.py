@@ -117,7 +117,7 @@ _TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "filter_leads": lambda t: L.list_leads(
         t, stage="Interested ", source="organic", date_from="1997-01-01", date_to="1999-12-31"),
     "search_leads": lambda t: L.list_leads(t, search="PATIENT 12"),
-    "page_info": lambda t: L.page_info(L.filter_leads(t.leads, stage="customer"), 1, 2000),
+    "page_info": lambda t: L.page_info(L.filter_leads(t.leads, stage="customer"), 1, 2000, cap=L.LEAD_PAGE_CAP),
     "sort_leads": lambda t: L.sort_leads(L.list_leads(t), "source", "asc"),
     "lead_page": lambda t: L.lead_page(t, 3, 50, "stage"),
     "lead_page_by_facility": lambda t: L.lead_page(t, 2, 900, "facility", "ASC"),
@@ -134,6 +134,9 @@ _TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "patient_360": lambda t: _patient_360(t, "history", "facility", "facilities"),
     "patient_360_enquiry": lambda t: _patient_360(t, "enquiry", "enquiry_type", "types"),
     "duplicate_documents": _duplicate_documents,
+    "duplicates_by_name_all": lambda t: M.duplicates_by_name(t, n=None),
+    "duplicates_by_phone_all": lambda t: M.duplicates_by_phone(t, n=None),
+    "duplicate_groups_all": lambda t: M.duplicate_groups(t, n=None),
     "classify": lambda t: G.classify(t.interactions).select("id", "is_attempt", "is_no_response"),
 }
 

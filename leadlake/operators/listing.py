@@ -99,9 +99,9 @@ def sort_leads(df: DataFrame, sort_by: str = "date", direction: str = "DESC") ->
 
 def lead_page(
     t: Tables, page: int = 1, limit: int = DEFAULT_PAGE, sort_by: str = "date", direction: str = "DESC",
-    search: str | None = None, user: tuple | None = None, **filters,
+    search: str | None = None, user: tuple | None = None, cap: int | None = LEAD_PAGE_CAP, **filters,
 ) -> DataFrame:
-    """One page of the lead list.
+    """One page of the lead list, of ``limit`` rows but at most ``cap`` (None: no such bound).
 
     When neither search nor sort needs a joined column, the page is cut on the
     leads alone and only its rows are joined (each lead has its references).
@@ -111,13 +111,14 @@ def lead_page(
         leads = visible_to(leads, *user)
     order = lead_order(sort_by, direction)
     if not search and SORT_KEYS.get(sort_by, "enquiry_date") in _OWN_SORTS:
-        cut = S.page(leads, page, limit, *order, cap=LEAD_PAGE_CAP)
-        return sort_leads(list_leads(t.replace(leads=bounded(cut, LEAD_PAGE_CAP))), sort_by, direction)
-    return S.page(list_leads(t.replace(leads=leads), search), page, limit, *order, cap=LEAD_PAGE_CAP)
+        cut = S.page(leads, page, limit, *order, cap=cap)
+        return sort_leads(list_leads(t.replace(leads=bounded(cut, limit))), sort_by, direction)
+    return S.page(list_leads(t.replace(leads=leads), search), page, limit, *order, cap=cap)
 
 
-def page_info(df: DataFrame, page: int = 1, limit: int = DEFAULT_PAGE, cap: int | None = LEAD_PAGE_CAP) -> DataFrame:
-    """Row count of a list and its number of pages, in one row."""
+def page_info(df: DataFrame, page: int = 1, limit: int = DEFAULT_PAGE, cap: int | None = None) -> DataFrame:
+    """Row count of a list and its number of pages, in one row. ``cap`` is that of the list's pages:
+    ``LEAD_PAGE_CAP`` for the lead list, none for the others."""
     size = min(limit, cap) if cap else limit
     return df.agg(F.count(F.lit(1)).alias("total")).select(
         "total", F.lit(page).alias("page"), F.lit(size).alias("limit"),
@@ -129,11 +130,10 @@ def _names(df: DataFrame, key: str, out: str) -> DataFrame:
     return df.select(F.col("id").alias(key), F.col("name").alias(out))
 
 
-def list_appointments(
-    t: Tables, status=None, facility_id=None, doctor_id=None, date_from=None, date_to=None
+def _filter_appointments(
+    a: DataFrame, status=None, facility_id=None, doctor_id=None, date_from=None, date_to=None
 ) -> DataFrame:
-    """Appointments with names; the speciality is that of the appointment's lead."""
-    a = t.appointments
+    """Optional filters on the appointment's own columns."""
     for column, value in {"visit_status": status, "facility_id": facility_id, "doctor_id": doctor_id}.items():
         if value not in (None, ""):
             if column == "visit_status":
@@ -141,6 +141,12 @@ def list_appointments(
             a = a.where(F.col(column) == value)
     if date_from or date_to:
         a = a.where(S.day_range("appointment_date", date_from, date_to, whole_last_day=False))
+    return a
+
+
+def list_appointments(t: Tables, **filters) -> DataFrame:
+    """Appointments with names; the speciality is that of the appointment's lead."""
+    a = _filter_appointments(t.appointments, **filters)
     columns = a.columns
     people = t.patients.select(
         F.col("id").alias("patient_id"), F.col("full_name").alias("patient_name"), "primary_phone"
@@ -157,7 +163,11 @@ def list_appointments(
 
 
 def appointment_page(t: Tables, page: int = 1, limit: int = DEFAULT_PAGE, **filters) -> DataFrame:
-    return S.page(list_appointments(t, **filters), page, limit, F.desc("appointment_date"), F.col("id"))
+    """Latest appointments first. All filters are on the appointment's own columns, so the page
+    is cut before its rows are joined (each appointment has its references)."""
+    order = F.desc("appointment_date"), F.col("id")
+    cut = S.page(_filter_appointments(t.appointments, **filters), page, limit, *order)
+    return list_appointments(t.replace(appointments=bounded(cut, limit))).orderBy(*order)
 
 
 def _billed(t: Tables, facility_id=None, speciality_id=None, date_from=None, date_to=None) -> DataFrame:
@@ -183,7 +193,17 @@ def list_revenue(t: Tables, **filters) -> DataFrame:
 
 
 def revenue_page(t: Tables, page: int = 1, limit: int = DEFAULT_PAGE, **filters) -> DataFrame:
-    return S.page(list_revenue(t, **filters), page, limit, F.desc("billed_date"), F.col("id"))
+    """Latest bills first. Only a filter on the lead's columns is joined before the page is cut;
+    names are joined to the page's rows (each bill has its references)."""
+    order = F.desc("billed_date"), F.col("id")
+    dates = {k: filters.pop(k, None) for k in ("date_from", "date_to")}
+    r = t.revenue
+    if dates["date_from"] or dates["date_to"]:
+        r = r.where(S.day_range("billed_date", dates["date_from"], dates["date_to"], whole_last_day=False))
+    if any(v not in (None, "") for v in filters.values()):
+        r = r.join(filter_leads(t.leads, **filters).select(F.col("id").alias("lead_id")), "lead_id", "left_semi")
+    cut = S.page(r.select(*t.revenue.columns), page, limit, *order)
+    return list_revenue(t.replace(revenue=bounded(cut, limit))).orderBy(*order)
 
 
 def revenue_list_summary(t: Tables, **filters) -> DataFrame:

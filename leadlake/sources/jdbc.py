@@ -25,17 +25,26 @@ def id_ranges(starts: Sequence[str] = ID_STARTS, column: str = "id") -> list[str
     return [first, *inner, last]
 
 
-def read_table(spark: SparkSession, url: str, table: str, properties: Mapping[str, str]) -> DataFrame:
+def read_table(
+    spark: SparkSession, url: str, table: str, properties: Mapping[str, str], starts: Sequence[str] = ID_STARTS
+) -> DataFrame:
+    """One table, in one task per range between ``starts``: give more of them for a large table,
+    and such that fit its ids if these are no hex digests."""
     if has_id(table):
-        df = spark.read.jdbc(url, table, predicates=id_ranges(), properties=dict(properties))
+        df = spark.read.jdbc(url, table, predicates=id_ranges(starts), properties=dict(properties))
     else:
         df = spark.read.jdbc(url, table, properties=dict(properties))
     return finish(df.select(*[F.col(c.name).cast(spark_type(c.kind)).alias(c.name) for c in TABLES[table]]), table)
 
 
-def read_database(spark: SparkSession, url: str, properties: Mapping[str, str]) -> Tables:
-    """All tables, each read when first used."""
-    return Tables({name: (lambda name=name: read_table(spark, url, name, properties)) for name in TABLES})
+def read_database(
+    spark: SparkSession, url: str, properties: Mapping[str, str], starts: Mapping[str, Sequence[str]] | None = None
+) -> Tables:
+    """All tables, each read when first used; ``starts`` gives single tables their own id ranges."""
+    own = starts or {}
+    return Tables(
+        {name: (lambda name=name: read_table(spark, url, name, properties, own.get(name, ID_STARTS))) for name in TABLES}
+    )
 
 
 def append_table(df: DataFrame, table: str, url: str, properties: Mapping[str, str]) -> None:

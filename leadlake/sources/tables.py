@@ -1,8 +1,8 @@
 """Reading, completing and writing the tables.
 
-A lake is a folder ``<path>/<table>/version=<n>`` plus ``<path>/_commits/<n>``,
-a one-row-per-table list of the versions that belong together. A version folder
-is never rewritten, and the commit is written last, so readers always see one
+A lake is folders ``<path>/<table>/version=<n>`` plus ``<path>/_commits/<n>``, a
+list of each table's folders that belong together: a changed table has one new
+folder, one that rows were appended to has one more. A folder is never rewritten, and the commit is written last, so readers always see one
 whole snapshot while a job writes the next.
 """
 
@@ -159,9 +159,18 @@ def committed_versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(found)
 
 
-def _manifest(spark: SparkSession, path: str, version: int) -> dict[str, int]:
-    rows = spark.read.schema("table string, version bigint").json(f"{path}/_commits/{version}").collect()
-    return {r["table"]: r["version"] for r in rows}
+#: Columns by which committed files are clustered, so that ranges of dates skip most of them.
+CLUSTERS = {
+    "leads": ("enquiry_date",), "appointments": ("appointment_date",), "revenue": ("billed_date",), "audit_logs": ("created_at",),
+}
+
+
+def _manifest(spark: SparkSession, path: str, version: int) -> dict[str, list[int]]:
+    """The numbers of each table's folders, oldest first."""
+    found: dict[str, list[int]] = {}
+    for r in spark.read.schema("table string, version bigint").json(f"{path}/_commits/{version}").collect():
+        found.setdefault(r["table"], []).append(r["version"])
+    return {table: sorted(numbers) for table, numbers in found.items()}
 
 
 def load_tables(spark: SparkSession, path: str, version: int | None = None) -> Tables:
@@ -172,9 +181,9 @@ def load_tables(spark: SparkSession, path: str, version: int | None = None) -> T
             raise FileNotFoundError(f"no committed snapshot under {path}")
         version = known[-1]
 
-    def reader(table: str, number: int) -> Callable[[], DataFrame]:
-        folder = f"{path}/{table}/version={number}"
-        return lambda: finish(spark.read.schema(struct_type(table)).parquet(folder), table)
+    def reader(table: str, numbers: list[int]) -> Callable[[], DataFrame]:
+        folders = [f"{path}/{table}/version={n}" for n in numbers]
+        return lambda: finish(spark.read.schema(struct_type(table)).parquet(*folders), table)
 
     return Tables({name: reader(name, n) for name, n in _manifest(spark, path, version).items()})
 
@@ -196,15 +205,29 @@ def write_snapshot(
 
 
 def commit_snapshot(
-    spark: SparkSession, path: str, version: int, t: Mapping[str, DataFrame], changed: Sequence[str] | None = None
+    spark: SparkSession, path: str, version: int, t: Mapping[str, DataFrame], changed: Sequence[str] | None = None,
+    appended: Mapping[str, DataFrame] | None = None,
 ) -> Tables:
-    """Write the changed tables as ``version`` and commit; others keep their version."""
+    """Write the changed tables (all by default) as ``version`` and commit; others keep their folders.
+
+    ``appended`` holds new rows of tables: only these are written, beside the folders the
+    table has. With it, no table is changed by default.
+    """
+    appended = appended or {}
+    if changed is None:
+        changed = [] if appended else list(t)
+    if both := set(changed) & set(appended):
+        raise ValueError(f"both changed and appended to: {sorted(both)}")
     known = committed_versions(spark, path)
     manifest = _manifest(spark, path, known[-1]) if known else {}
-    for table in changed if changed is not None else list(t):
-        write_snapshot(t[table], table, path, version)
-        manifest[table] = version
-    rows = spark.createDataFrame(sorted(manifest.items()), "table string, version bigint")
+    for table in changed:
+        write_snapshot(t[table], table, path, version, CLUSTERS.get(table, ()))
+        manifest[table] = [version]
+    for table, rows in appended.items():
+        write_snapshot(rows, table, path, version, CLUSTERS.get(table, ()))
+        manifest[table] = [*manifest.get(table, []), version]
+    listed = sorted((table, n) for table, numbers in manifest.items() for n in numbers)
+    rows = spark.createDataFrame(listed, "table string, version bigint")
     rows.coalesce(1).write.mode("errorifexists").json(f"{path}/_commits/{version}")
     return load_tables(spark, path, version)
 

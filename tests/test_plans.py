@@ -13,6 +13,19 @@ def test_top_k_is_taken_per_task(t, fn):
     assert "TakeOrderedAndProject" in plan_text(fn(t))
 
 
+def test_pages_are_cut_before_names_are_joined(spark, t, tmp_path):
+    from leadlake.sources.tables import commit_snapshot
+
+    names = ["patients", "leads", "facilities", "specialities", "doctors", "appointments", "revenue"]
+    lake = commit_snapshot(spark, str(tmp_path / "lake"), 1, t, names)
+    for fn in (L.appointment_page, L.revenue_page):
+        cut = plan_text(fn(lake)).split("TakeOrderedAndProject")
+        below = cut[-1].splitlines()
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        own = [line for line in below[1:] if depth(line) > depth(cut[-2].splitlines()[-1])]
+        assert len(cut) == 2 and not any("Join" in line for line in own[:3]), below[:6]
+
+
 def test_rank_limits_are_pushed_before_the_shuffle(t):
     assert "WindowGroupLimit" in plan_text(L.audit_trail(t))
 

@@ -143,8 +143,17 @@ def test_pages_join_up_to_the_sorted_list(t):
 
 def test_page_size_is_capped(t):
     assert L.lead_page(t, 1, 5000).count() == 500
-    info = L.page_info(t.leads, 1, 5000).first()
+    info = L.page_info(t.leads, 1, 5000, cap=L.LEAD_PAGE_CAP).first()
     assert (info["limit"], info["pages"]) == (500, 3)
+    assert L.lead_page(t, 1, 5000, cap=None).count() == t.leads.count()
+    assert L.page_info(t.appointments, 1, 900).first()["limit"] == 900
+
+
+def test_appointment_and_revenue_pages_are_cut_from_the_sorted_lists(t):
+    every = L.list_appointments(t, status="no_show").orderBy(F.desc("appointment_date"), "id").collect()
+    assert L.appointment_page(t, 2, 70, status="No_Show").collect() == every[70:140]
+    every = L.list_revenue(t, facility_id=3, date_from="1997-01-01").orderBy(F.desc("billed_date"), "id").collect()
+    assert L.revenue_page(t, 2, 20, facility_id=3, date_from="1997-01-01").collect() == every[20:40]
 
 
 def test_unknown_sort_key_sorts_by_date(t):

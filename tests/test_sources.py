@@ -74,6 +74,22 @@ def test_insert_ignore_with_several_keys_follows_the_sequence(spark):
         assert sorted(map(tuple, got.collect())) == brute(target, rows, keys)
 
 
+def test_appending_writes_the_new_rows_only(spark, t, tmp_path):
+    lake = str(tmp_path / "lake")
+    S.commit_snapshot(spark, lake, 1, t, ["leads", "users"])
+    old = {p: p.stat().st_mtime_ns for p in (tmp_path / "lake").rglob("*.parquet")}
+    more = t.leads.limit(3).withColumn("id", F.concat(F.lit("new-"), F.col("id").cast("string")))
+    third = S.commit_snapshot(spark, lake, 2, t, appended={"leads": more})
+    assert third.leads.count() == t.leads.count() + 3 and third.users.count() == t.users.count()
+    assert all(p.stat().st_mtime_ns == at for p, at in old.items())
+    assert spark.read.parquet(f"{lake}/leads/version=2").count() == 3
+    assert S.load_tables(spark, lake, 1).leads.count() == t.leads.count()
+    whole = S.commit_snapshot(spark, lake, 3, t, ["leads"])
+    assert whole.leads.count() == t.leads.count()
+    with pytest.raises(ValueError):
+        S.commit_snapshot(spark, lake, 4, t, ["leads"], {"leads": more})
+
+
 def test_insert_ignore_text_keys(spark):
     target = spark.createDataFrame([(1, "Röntgen")], "id bigint, name string")
     rows = spark.createDataFrame([(2, "rontgen ", 1), (3, "New", 2), (4, "NEW", 3)], "id bigint, name string, seq bigint")

@@ -2,9 +2,11 @@
 
 Statistics of each whole text are turned into a vector of rates. For each group of
 language and source, location and scatter are estimated by minimum covariance
-determinant: from medians and median absolute deviations on, the ``COVERED`` share of
-rows nearest in Mahalanobis distance gives new means and covariances, again and again;
+determinant: from medians and median absolute deviations on, the half of the texts
+nearest in Mahalanobis distance gives new means and covariances, again and again;
 each step lowers the determinant. Rows far from their group's estimate are rejected.
+Estimates count each different text of a group once, so copies of one text weigh no
+more than the text.
 
 Everything is built-in functions. Only the statistics, a few numbers a row, are kept
 and read again. Order statistics per group come from counts over fine bins, so a group
@@ -12,7 +14,7 @@ with a third of all rows is counted map-side and no task sees all its rows; dist
 are worked out by a Cholesky factor written out in columns.
 
 Nulls and empty texts have no words and fail the fixed rules. Null languages and
-sources are groups of their own. Groups of fewer than ``LEAST_ROWS`` rows take the
+sources are groups of their own. Groups of fewer than ``LEAST_ROWS`` texts take the
 estimate of all rows. Repeated rows are judged alike. An empty table stays empty.
 Columns named like a result are replaced by it.
 """
@@ -29,6 +31,8 @@ WINDOW = 8
 #: Fixed rules: fewest words, and the highest share of repeated words in percent.
 FEWEST_WORDS, MOST_REPEATED = 20, 30
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper")
+#: What copies of a text are told by, beside the statistics.
+DIGEST = "_text_hash"
 
 
 def _repeated(hashes: Column) -> Column:
@@ -56,7 +60,7 @@ def _window_hashes(words: Column) -> Column:
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the counts of ``STATISTICS`` (long) for each whole text. One pass, no shuffle."""
+    """Add the counts of ``STATISTICS`` (long) and the ``DIGEST`` of each whole text. One pass, no shuffle."""
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = docs.withColumns({"_words": words_of(text), "_lines": lines}).withColumn("_windows", _window_hashes(F.col("_words")))
@@ -68,7 +72,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_repeat_words": _repeated(F.col("_windows")),
         "n_upper": F.regexp_count(whole, F.lit("[A-Z]")),
     }
-    return counted.withColumns({k: v.cast("long") for k, v in counts.items()}).drop("_words", "_lines", "_windows")
+    return counted.withColumns({k: v.cast("long") for k, v in counts.items()} | {DIGEST: F.xxhash64(whole)}).drop("_words", "_lines", "_windows")
 
 
 #: Rates of a text's vector, and the standard deviation that is always allowed for: a group
@@ -82,10 +86,10 @@ RATES = {
 }
 P = len(RATES)
 FLOORS = list(RATES.values())
-#: Share of a group's rows that the estimate covers, and the factor that makes its scatter that of
-#: all rows of a normal group: COVERED over the chance of a chi-square of P + 2 degrees up to the
-#: COVERED quantile of one of P degrees.
-COVERED, CONSISTENCY = 0.75, 1.41
+#: The estimate covers (n + P + 1) / 2 of a group's n texts, which breaks down last. The factor makes
+#: its scatter that of all texts of a normal group: 1/2 over the chance of a chi-square of P + 2
+#: degrees up to the median of one of P degrees.
+CONSISTENCY = 1.912
 STEPS = 4
 LEAST_ROWS = 50
 #: Rows beyond this squared distance are rejected.
@@ -109,19 +113,19 @@ def _vector() -> Column:
     return F.array(*[r.cast("double") for r in rates])
 
 
-def _quantile(rows: DataFrame, keys: list[str], bin_: str, share: float) -> DataFrame:
-    """Per keys, the first bin (as ``bin_``) up to which at least ``share`` of the rows lie, and their number ``n``."""
+def _half(rows: DataFrame, keys: list[str], bin_: str, more: int = 0) -> DataFrame:
+    """Per keys, the first bin (as ``bin_``) up to which half of the rows and ``more`` lie, and their number ``n``."""
     counts = rows.groupBy(*keys, bin_).agg(F.count("*").alias("_n"))
     upto = Window.partitionBy(*keys).orderBy(bin_).rowsBetween(Window.unboundedPreceding, 0)
     summed = counts.select(*keys, bin_, F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(Window.partitionBy(*keys)).alias("n"))
-    return summed.where(F.col("_upto") >= F.ceil(F.col("n") * share)).groupBy(*keys).agg(F.min(bin_).alias(bin_), F.max("n").alias("n"))
+    return summed.where(F.col("_upto") >= F.least("n", F.floor((F.col("n") + more + 1) / 2))).groupBy(*keys).agg(F.min(bin_).alias(bin_), F.max("n").alias("n"))
 
 
 def _medians(rows: DataFrame) -> DataFrame:
     """(g, center): the median of each place of ``x`` per group, as the middle of a bin a fraction of the floor wide."""
     width = F.get(F.array(*[F.lit(f / BINS) for f in FLOORS]), F.col("i"))
     binned = rows.select("g", F.posexplode("x").alias("i", "v")).select("g", "i", F.floor(F.col("v") / width).alias("bin"))
-    middle = _quantile(binned, ["g", "i"], "bin", 0.5).select("g", F.struct("i", ((F.col("bin") + 0.5) * width).alias("m")).alias("at"))
+    middle = _half(binned, ["g", "i"], "bin").select("g", F.struct("i", ((F.col("bin") + 0.5) * width).alias("m")).alias("at"))
     return middle.groupBy("g").agg(F.transform(F.sort_array(F.collect_list("at")), lambda a: a["m"]).alias("center"))
 
 
@@ -169,9 +173,11 @@ def estimates(stats: DataFrame) -> DataFrame:
     """(g, n, center, factor): the robust estimate of every group and of all rows together.
 
     ``stats`` has the columns of ``with_statistics`` and lang and source; rows that fail
-    the fixed rules do not count. The result has one row per group.
+    the fixed rules do not count, and copies of a text count once per group. The result
+    has one row per group.
     """
-    rows = checkpointed(stats.where(~base_failed()).select(F.explode(F.array(_group(), F.lit(ALL))).alias("g"), _vector().alias("x")))
+    texts = stats.where(~base_failed()).select(F.explode(F.array(_group(), F.lit(ALL))).alias("g"), DIGEST, *STATISTICS).distinct()
+    rows = checkpointed(texts.select("g", _vector().alias("x")))
     medians = checkpointed(_medians(rows))
     away = _per_row(rows, medians).select("g", F.zip_with("x", "center", lambda v, m: F.abs(v - m)).alias("x"))
     spread = _medians(away).select("g", F.col("center").alias("mad"))
@@ -181,7 +187,7 @@ def estimates(stats: DataFrame) -> DataFrame:
     found = _with_factor(first)
     for _ in range(STEPS):
         far = _per_row(rows, found).select("g", "x", F.col("center").alias("old"), F.floor(F.log1p(_distance()) * 64).alias("bin"))
-        edge = _quantile(far, ["g"], "bin", COVERED).select("g", "n", F.col("bin").alias("edge"))
+        edge = _half(far, ["g"], "bin", P).select("g", "n", F.col("bin").alias("edge"))
         near = _per_row(far, edge).where("bin <= edge")
         off = [F.get("x", i) - F.get("old", i) for i in range(P)]
         sums = near.groupBy("g").agg(
@@ -200,7 +206,7 @@ def estimates(stats: DataFrame) -> DataFrame:
 def judged(stats: DataFrame, found: DataFrame) -> DataFrame:
     """Add ``base_failed``, ``distance`` (squared) and ``kept`` to rows of statistics.
 
-    A row whose group has fewer than ``LEAST_ROWS`` rows is held against all rows.
+    A row whose group has fewer than ``LEAST_ROWS`` different texts is held against all rows.
     """
     large = found.where((F.col("n") >= LEAST_ROWS) | (F.col("g") == ALL))
     marked = stats.withColumns({"base_failed": base_failed(), "x": _vector(), "g": _group()})
@@ -208,11 +214,11 @@ def judged(stats: DataFrame, found: DataFrame) -> DataFrame:
     marked = named.withColumn("g", F.when(F.col("_large"), F.col("g")).otherwise(ALL)).drop("_large")
     scored = _per_row(marked, large.drop("n"), "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
-    return scored.withColumn("kept", kept).drop("g", "x", "center", "factor")
+    return scored.withColumn("kept", kept).drop("g", "x", "center", "factor", DIGEST)
 
 
 def kept_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass both the fixed rules and their group's estimate, with their columns."""
-    stats = checkpointed(with_statistics(docs.select("lang", "source", text), text).select("lang", "source", *STATISTICS))
+    stats = checkpointed(with_statistics(docs.select("lang", "source", text), text).select("lang", "source", DIGEST, *STATISTICS))
     found = estimates(stats)
     return judged(with_statistics(docs, text), found).where("kept").select(*docs.columns)

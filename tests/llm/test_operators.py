@@ -309,6 +309,17 @@ def test_quality_keeps_good_documents(spark, docs):
     assert sum(junk) <= 0.2 * len(junk)
 
 
+@pytest.mark.parametrize("alike", [True, False])
+def test_quality_rejects_a_bad_text_that_fills_a_third_of_a_group(spark, alike):
+    rng = np.random.default_rng(3)
+    plain = lambda n: " ".join("".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(n))
+    good = [(i, plain(rng.integers(60, 120)).capitalize() + ".") for i in range(400)]
+    bad = [plain(80) for _ in range(1 if alike else 200)]
+    bad = [(1000 + i, " ".join(w.upper() + " #$" for w in bad[i % len(bad)].split())) for i in range(200)]
+    made = spark.createDataFrame([(i, t, "en", "s") for i, t in good + bad], "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"] for r in quality.kept_documents(made).collect()} == {i for i, _ in good}
+
+
 def test_languages(docs, odd):
     net = langid.learn(docs)
     got = langid.identify(docs, net).withColumn("held", langid.held_out()).where("held and n_chars > 100").collect()

@@ -2,7 +2,8 @@
 
 Four kinds have a fixed form (``email``, ``ip``, ``card``, ``phone``). Their instances
 are seeds: the two words before an instance are a lexical pattern, and patterns and
-instances make a graph. Round by round a pattern's confidence is the share of its
+instances make a graph. Of a word with a digit or an @ only that counts, and the text's
+start stands for words that are missing. Round by round a pattern's confidence is the share of its
 occurrences that are trusted instances, and an instance's trust is the chance that not
 all of its patterns are wrong. Patterns that stay confident, with enough different
 trusted instances, find further identifiers (``context``): strings with several digits
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.functions.reliability import checkpointed, small_side
-from leadlake.llm.text import let, no_spans, places, spans
+from leadlake.llm.text import let, no_spans, places, running_totals, spans
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "context")
@@ -41,8 +42,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
-#: A string that may be an identifier: a word with a digit in it, and its least length and digits.
-IDENTIFIER = r"(?<!\S)\S*?[0-9]\S*+"
+#: A word with a digit or an @ in it: every instance starts in one. Such words may be identifiers; their least length and digits.
+MARKED = r"(?<!\S)\S*?[0-9@]\S*+"
 SHORTEST, LONGEST, FEWEST_DIGITS = 6, 64, 4
 
 ROUNDS = 3
@@ -77,41 +78,75 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _pattern(left: Column) -> Column:
-    """The last two words before an instance, in lower case; null if there are not two."""
-    words = F.filter(F.split(F.lower(left), r"\s+"), lambda w: w != "")
-    return let(words, lambda w: F.when(F.size(w) >= 2, F.array_join(F.slice(w, -2, 2), " ")))
+def _occurrence(s: Column, kind: int, pattern: Column) -> Column:
+    return F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["match"].alias("match"), pattern.alias("pattern"))
 
 
-def _occurrence(s: Column, kind: int) -> Column:
-    return F.struct(
-        s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["match"].alias("match"), _pattern(s["left"]).alias("pattern")
-    )
+def _marked(text: Column) -> Column:
+    """The marked words: array of (start, kind -1, end, match, pattern).
+
+    The pattern is the two words before a word, in lower case: of marked ones the class
+    ``0`` or ``@``, before the text's start an empty one. Gaps between marked words hold
+    the others, so two gaps and two marked words tell it.
+    """
+
+    def last_two(gap: Column) -> Column:
+        words = F.filter(F.split(F.lower(gap), r"\s+"), lambda w: w != "")
+        return let(words, lambda w: F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), F.lit(2)))
+
+    def told(found: Column, gaps: Column, classes: Column) -> Column:
+        def pattern(k: Column) -> Column:
+            word = lambda j: F.coalesce(F.get(classes, j), F.lit(""))
+            behind = lambda w, j: F.when(F.size(w) > 0, F.element_at(w, -1)).otherwise(word(j - 1))
+            earlier = F.when(k > 0, behind(F.get(gaps, k - 1), k - 1)).otherwise("")
+            own = F.get(gaps, k)
+            first = F.when(F.size(own) == 2, F.get(own, 0)).when(F.size(own) == 1, word(k - 1)).otherwise(earlier)
+            return F.concat_ws(" ", first, behind(own, k))
+
+        return F.transform(found, lambda s, k: _occurrence(s, -1, pattern(k)))
+
+    def placed(found: Column) -> Column:
+        gaps = F.transform(found, lambda s: last_two(s["left"]))
+        classes = F.transform(found, lambda s: F.when(F.contains(s["match"], F.lit("@")), "@").otherwise("0"))
+        return let(gaps, lambda g: let(classes, lambda c: told(found, g, c)))
+
+    return let(spans(text, MARKED), placed)
+
+
+def _with_patterns(base: Column, marked: Column) -> Column:
+    """Base instances with the pattern of the marked word in which each starts."""
+
+    def merged(both: Column) -> Column:
+        before = running_totals(F.transform(both, lambda o: (o["kind"] < 0).cast("int")))
+        named = lambda n: F.transform(both, lambda o, k: _occurrence(o, 0, F.get(marked, F.get(n, k) - 1)["pattern"]).withField("kind", o["kind"]))
+        return let(before, lambda n: F.filter(named(n), lambda o: o["kind"] >= 0))
+
+    return F.when(F.size(base) > 0, let(F.sort_array(F.concat(base, marked)), merged)).otherwise(base)
 
 
 def _base(text: Column, digit: Column) -> Column:
     def one(k: int, kind: str) -> Column:
         wanted = F.contains(text, F.lit(NEEDS[kind])) & digit if NEEDS[kind] and kind != "email" else F.contains(text, F.lit("@")) if kind == "email" else digit
         found = F.when(wanted, spans(text, PATTERNS[kind])).otherwise(no_spans())
-        return F.transform(F.filter(found, lambda s: _valid(kind, s["match"])), lambda s: _occurrence(s, k))
+        return F.transform(F.filter(found, lambda s: _valid(kind, s["match"])), lambda s: _occurrence(s, k, F.lit(None).cast("string")))
 
     return F.sort_array(F.concat(*[one(k, kind) for k, kind in enumerate(BASE_KINDS)]))
 
 
-def _candidates(text: Column, digit: Column, base: Column) -> Column:
+def _candidates(marked: Column, base: Column) -> Column:
     """Identifier-like words, without marks around them, that overlap no base span."""
 
     def trimmed(s: Column) -> Column:
         lead = F.length(F.regexp_extract(s["match"], "^[^A-Za-z0-9]*", 0))
         core = F.regexp_extract(s["match"], "^[^A-Za-z0-9]*+(.*[A-Za-z0-9])", 1)
-        return let(core, lambda c: F.struct((s["start"] + lead).alias("start"), (s["start"] + lead + F.length(c)).alias("end"), c.alias("match"), s["left"].alias("left")))
+        return let(core, lambda c: F.struct((s["start"] + lead).alias("start"), (s["start"] + lead + F.length(c)).alias("end"), c.alias("match"), s["pattern"].alias("pattern")))
 
     def wanted(s: Column) -> Column:
         size, digits = F.length(s["match"]), F.length(_digits(s["match"]))
         return size.between(SHORTEST, LONGEST) & (digits >= FEWEST_DIGITS) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
-    words = F.when(digit, spans(text, IDENTIFIER)).otherwise(no_spans())
-    return F.transform(F.filter(F.transform(words, trimmed), wanted), lambda s: _occurrence(s, len(BASE_KINDS)))
+    words = F.filter(marked, lambda s: s["match"].rlike("[0-9]"))
+    return F.transform(F.filter(F.transform(words, trimmed), wanted), lambda s: _occurrence(s, len(BASE_KINDS), s["pattern"]))
 
 
 def occurrences(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -119,7 +154,9 @@ def occurrences(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     read = docs.select(*keep, whole.alias("_text")).withColumn("_digit", F.col("_text").rlike("[0-9]"))
     read = read.withColumn("base", _base(F.col("_text"), F.col("_digit")))
-    read = read.withColumn("candidates", _candidates(F.col("_text"), F.col("_digit"), F.col("base")))
+    none = F.array().cast("array<struct<start: int, kind: int, end: int, match: string, pattern: string>>")
+    read = read.withColumn("_marked", F.when(F.col("_digit") | (F.size("base") > 0), _marked(F.col("_text"))).otherwise(none))
+    read = read.withColumns({"base": _with_patterns(F.col("base"), F.col("_marked")), "candidates": _candidates(F.col("_marked"), F.col("base"))})
     return checkpointed(read.select(*keep, F.unhex(F.md5("_text")).alias("digest"), "base", "candidates"))
 
 

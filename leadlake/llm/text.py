@@ -59,15 +59,13 @@ def running_totals(lengths: Column) -> Column:
 
 
 SPAN = "struct<start: int, end: int, match: string, left: string>"
-#: Characters of the text before a match that are kept with it.
-LEFT = 64
 
 
 def spans(text: Column | str, pattern: str) -> Column:
     """Matches of a pattern with their place: array of (start, end, match, left), in code points, end exclusive.
 
     The gaps between matches come from a split by the same pattern, so the place of a
-    match is the length of all gaps and matches before it. ``left`` is the end of the gap
+    match is the length of all gaps and matches before it. ``left`` is the gap
     before the match.
     """
     text = F.col(text) if isinstance(text, str) else text
@@ -78,7 +76,7 @@ def spans(text: Column | str, pattern: str) -> Column:
         def one(at: Column, k: Column) -> Column:
             start, match = at + F.length(F.get(gaps, k)), F.get(found, k)
             return F.struct(
-                start.cast("int").alias("start"), (start + F.length(match)).cast("int").alias("end"), match.alias("match"), F.right(F.get(gaps, k), F.lit(LEFT)).alias("left")
+                start.cast("int").alias("start"), (start + F.length(match)).cast("int").alias("end"), match.alias("match"), F.get(gaps, k).alias("left")
             )
 
         return F.transform(before, one)

@@ -189,6 +189,15 @@ def test_contexts_find_unseen_identifiers(spark):
     assert [(s["start"], s["kind"], s["end"]) for s in got[100]] == [(22, 4, 32)] and got[101] == []
 
 
+def test_words_with_digits_are_part_of_contexts(spark):
+    rows = [(i, f"order {4400 + i} account a{i}@x.com or b{i}@y.org") for i in range(9)] + [(20 + i, f"passport c{i}@z.com") for i in range(9)]
+    rows += [(100, "order 4411 account ZX-81377-Q or ZX-81378-Q"), (101, "passport ZX-81379-Q"), (102, "the passport ZX-81380-Q"), (103, "x" * 300 + " 1 account ZX-81381-Q")]
+    got = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["pii"]] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert got[100][0] == (19, 4, 29) and got[101] == [(9, 4, 19)] and got[102] == [] and got[103] == [(311, 4, 321)]
+    edges = {(r["instance"], r["pattern"]) for r in pii.graph(pii.occurrences(spark.createDataFrame(rows, "doc_id long, text string"), "text", ["doc_id"])).collect()}
+    assert {("a1@x.com", "0 account"), ("b1@y.org", "@ or"), ("c1@z.com", " passport"), ("zx-81378-q", "0 or")} <= edges
+
+
 def terms(t):
     low = (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)

@@ -140,7 +140,7 @@ def held_out(key: str = "doc_id") -> Column:
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> list[tuple[str, str]]:
     """(language, excerpt): a bounded sample of the rows that may be learnt from.
 
-    Per language the ``TEXTS`` texts of lowest hash, and of each ``WINDOWS`` stretches
+    Per language the ``TEXTS`` different texts of lowest hash, and of each ``WINDOWS`` stretches
     spread over the whole text; the ``LANGUAGES`` languages with most texts.
     """
     learnt = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
@@ -148,9 +148,10 @@ def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "
     size = F.length(text)
     starts = [F.floor(size * k / WINDOWS).cast("int") for k in range(WINDOWS)]
     cut = F.array_distinct(F.array(*[F.substring(text, s + 1, F.lit(LENGTH)) for s in starts]))
-    hashed = learnt.select(lang, F.xxhash64(text).alias("_h"), key, cut.alias("cut"))
-    lowest = Window.partitionBy(lang).orderBy("_h", key)
-    picked = hashed.withColumn("_r", F.row_number().over(lowest)).where(F.col("_r") <= TEXTS).join(F.broadcast(common), lang, "left_semi")
+    hashed = learnt.select(lang, F.xxhash64(text).alias("_h"), cut.alias("cut"))
+    different = hashed.groupBy(lang, "_h").agg(F.min("cut").alias("cut"))  # copies count once
+    lowest = Window.partitionBy(lang).orderBy("_h")
+    picked = different.withColumn("_r", F.row_number().over(lowest)).where(F.col("_r") <= TEXTS).join(F.broadcast(common), lang, "left_semi")
     rows = picked.select(lang, F.explode("cut").alias("cut")).where("cut != ''").collect()  # at most TEXTS * LANGUAGES * WINDOWS short strings
     return sorted((r[0], r[1]) for r in rows)
 

@@ -339,5 +339,14 @@ def test_languages(docs, odd):
     assert {r["lang_pred"] for r in langid.identify(odd, None).collect()} == {"und"}
 
 
+def test_copies_take_one_place_in_the_training_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TEXTS", 20)
+    rows = [(i, f"text number {i % 30} of language en", "en") for i in range(60)] + [(100 + i, "one text copied", "en") for i in range(1000)]
+    told = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string").where(~langid.held_out()))
+    lowest = sorted({t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5}, key=lambda t: xxhash.xxh64_intdigest(t, 42) - (1 << 64 if xxhash.xxh64_intdigest(t, 42) >> 63 else 0))[:20]
+    firsts = {b for _, b in told}
+    assert set(lowest) <= firsts and not [t for _, t, _ in rows if t in firsts and t not in lowest]
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries()) == list(range(1, 11))

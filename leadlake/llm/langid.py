@@ -33,8 +33,10 @@ LENGTH = 256
 #: Windows that go through the network at once.
 BATCH = 256
 
-#: Bounds of the training sample: texts per language, languages (the most frequent ones), windows per text.
-TEXTS, LANGUAGES, WINDOWS = 300, 64, 3
+#: Bounds of the training sample: texts per language, texts in all (but one per language at least), windows per text.
+TEXTS, ALL_TEXTS, WINDOWS = 300, 64 * 300, 3
+#: Probabilities that are held at once: texts times languages.
+CELLS = 1 << 20
 EPOCHS, STEP, RATE = 6, 64, 0.01
 SEED = 7
 
@@ -140,19 +142,21 @@ def held_out(key: str = "doc_id") -> Column:
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> list[tuple[str, str]]:
     """(language, excerpt): a bounded sample of the rows that may be learnt from.
 
-    Per language the ``TEXTS`` different texts of lowest hash, and of each ``WINDOWS`` stretches
-    spread over the whole text; the ``LANGUAGES`` languages with most texts.
+    Per language the ``TEXTS`` different texts of lowest hash (fewer if there are so many
+    languages that these would be more than ``ALL_TEXTS``), and of each ``WINDOWS``
+    stretches spread over the whole text. Every language is learnt.
     """
     learnt = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    common = learnt.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(LANGUAGES).select(lang)
+    n_languages = learnt.select(lang).distinct().count()
+    texts = max(1, min(TEXTS, ALL_TEXTS // max(1, n_languages)))
     size = F.length(text)
     starts = [F.floor(size * k / WINDOWS).cast("int") for k in range(WINDOWS)]
     cut = F.array_distinct(F.array(*[F.substring(text, s + 1, F.lit(LENGTH)) for s in starts]))
     hashed = learnt.select(lang, F.xxhash64(text).alias("_h"), cut.alias("cut"))
     different = hashed.groupBy(lang, "_h").agg(F.min("cut").alias("cut"))  # copies count once
     lowest = Window.partitionBy(lang).orderBy("_h")
-    picked = different.withColumn("_r", F.row_number().over(lowest)).where(F.col("_r") <= TEXTS).join(F.broadcast(common), lang, "left_semi")
-    rows = picked.select(lang, F.explode("cut").alias("cut")).where("cut != ''").collect()  # at most TEXTS * LANGUAGES * WINDOWS short strings
+    picked = different.withColumn("_r", F.row_number().over(lowest)).where(F.col("_r") <= texts)
+    rows = picked.select(lang, F.explode("cut").alias("cut")).where("cut != ''").collect()  # at most texts * WINDOWS short strings per language
     return sorted((r[0], r[1]) for r in rows)
 
 
@@ -179,6 +183,10 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFr
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def predicted(texts: pa.Array) -> pa.Array:
+        step = max(1, CELLS // len(net.languages))
+        return pa.concat_arrays([part(texts.slice(a, step)) for a in range(0, max(1, len(texts)), step)])
+
+    def part(texts: pa.Array) -> pa.Array:
         if mark not in _pairs:
             _pairs.clear()
             _pairs[mark] = net.pair_tables()

@@ -348,5 +348,10 @@ def test_copies_take_one_place_in_the_training_sample(spark, monkeypatch):
     assert set(lowest) <= firsts and not [t for _, t, _ in rows if t in firsts and t not in lowest]
 
 
+def test_every_language_is_learnt(spark):
+    rows = [(i, f"{chr(0x4E00 + 40 * (i % 70))} word {chr(0x4E00 + 40 * (i % 70) + 1)}", f"l{i % 70:02d}") for i in range(700)]
+    assert {a for a, _ in langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))} == {f"l{i:02d}" for i in range(70)}
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries()) == list(range(1, 11))

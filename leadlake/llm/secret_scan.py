@@ -6,7 +6,9 @@ secrets have none, but they tell something new: a candidate string near a sensit
 word is compressed behind the text around it, with a dictionary primed with that
 text and with common identifiers and placeholders. If its marginal compressed bytes
 are a large share of its length, nothing around it explains it, and it is reported
-(``novel``).
+(``novel``). It is compressed in pieces too short for zstandard to code their letters by
+frequency, so a small alphabet is no explanation. A string of letters alone is also
+explained if its pairs of letters are those of words.
 
 Spans are in code points, end exclusive, ordered by start, then by kind as listed
 above. Spans of one kind never overlap; a novel span overlaps no other span. Nulls
@@ -19,8 +21,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, pairwise
+from math import log
 
 import pyarrow as pa
 import zstandard
@@ -51,6 +55,8 @@ REACH = 64
 AROUND = 2048
 #: A string is novel if its marginal compressed bytes are at least this share of its length.
 NOVELTY = 0.7
+#: Characters of a piece; with the 16 before it fewer than the 64 from which literals are entropy coded.
+PIECE = 40
 #: Identifiers and placeholders that explain a string without making it a secret.
 IDENTIFIERS = (
     "0123456789abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ xxxxxxxxxxxxxxxx XXXXXXXXXXXXXXXX 0000000000000000 "
@@ -61,16 +67,53 @@ IDENTIFIERS = (
     "expected_signature content_type user_agent request_id response_body database_url connection_string "
 ).encode()
 
+#: Words whose pairs of letters are those of plain words.
+WORDS = (
+    "the and that this with from have will your which their would there about information internationalization responsibilities "
+    "administration representation communication understanding development environment organization implementation application "
+    "configuration characterization accountability straightforward notwithstanding unconstitutional recommendations acknowledgement "
+    "get set value user name service request response handler manager provider factory controller interface connection message "
+    "psychological cultural neural physical mechanism hypothesis photograph electricity temperature industrial agriculture pharmaceutical "
+    "knowledge thought working night school world public difficult society quickly complex because justice objective transfer "
+    "und der die das nicht mit sich auf werden einer auch nach durch gesellschaft verantwortung datenschutz grundverordnung "
+    "wissenschaft rechtsschutzversicherung geschwindigkeit zusammenarbeit bundesregierung unternehmen "
+    "les des une dans pour que par sur avec gouvernement environnement responsabilité développement administrativement "
+    "los las una para como desarrollo administraciones responsabilidades internacionalmente conocimiento constitucional "
+    "gli della che per con sviluppo amministrazione responsabilmente precipitevolissimevolmente "
+    "uma não para desenvolvimento constitucionalmente het een van voor verantwoordelijkheid gemeenschappelijk ontwikkeling "
+)
+
+
+def _pairs() -> dict[tuple[str, str], float]:
+    """For pairs of letters, how much more often (logarithm) the second follows the first in words than in random strings."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    seen = Counter(pair for w in (WORDS + IDENTIFIERS.decode().replace("_", " ")).lower().split() if len(set(w)) < 26 for pair in pairwise(w))
+    total = {a: sum(seen[a, b] for b in letters) for a in letters}
+    return {(a, b): log(26 * (seen[a, b] + 0.3) / (total[a] + 0.3 * 26)) for a in letters for b in letters}
+
+
+_PAIRS = _pairs()
+
+
+def _words_alone(own: str) -> bool:
+    """Whether a string has only letters and is more likely words than random."""
+    return own.isalpha() and sum(_PAIRS[pair] for pair in pairwise(own.lower())) > 0
+
 
 def _novelty(text: str, start: int, end: int) -> float:
-    """Marginal compressed bytes of a string behind its surroundings, as a share of its length."""
+    """Marginal compressed bytes of a string, piece by piece behind its surroundings, as a share of its length."""
     own = text[start:end]
     left = text[max(0, start - AROUND) : start].replace(own, " ")
     right = text[end : end + AROUND].replace(own, " ")
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + (right + left).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    packer = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
-    before = left[-16:].encode()
-    return (len(packer.compress(before + own.encode())) - len(packer.compress(before))) / len(own.encode())
+    pieces, total = -(-len(own) // PIECE), 0
+    for k in range(pieces):
+        a, b = len(own) * k // pieces, len(own) * (k + 1) // pieces
+        behind = (left + own[max(0, a - AROUND) : a])[-AROUND:]
+        primed = zstandard.ZstdCompressionDict(IDENTIFIERS + (right + behind).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packer = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
+        before = behind[-16:]
+        total += len(packer.compress((before + own[a:b]).encode())) - len(packer.compress(before.encode()))
+    return total / len(own)
 
 
 def _candidates(text: str) -> Iterator[tuple[int, int]]:
@@ -107,7 +150,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         before = bisect_left(starts, end)
         if before and reached[before - 1] > start:  # overlaps a base span
             continue
-        if not text[start:end].isalpha() and not text[start:end].isdigit() and _novelty(text, start, end) >= NOVELTY:
+        if not _words_alone(text[start:end]) and _novelty(text, start, end) >= NOVELTY:
             novel.append((start, 3, end))
     return [(KINDS[kind], start, end) for start, kind, end in sorted(found + novel)]
 

@@ -108,6 +108,20 @@ def test_novelty():
         assert secret_scan.find(plain) == []
 
 
+def test_novelty_does_not_depend_on_the_alphabet():
+    rng = np.random.default_rng(5)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for alphabet in (digits + "ABCDEF", digits + "abcdefABCDEF", digits + "-", upper, upper + upper.lower()):
+        for size in (32, 64, 80, 128, 256):
+            key = "".join(rng.choice(list(alphabet), size))
+            key = "".join("-" if "-" in alphabet and k % 9 == 4 else c for k, c in enumerate(key))  # no long run of digits
+            found = secret_scan.find(f"the private key {key} of the service")
+            assert found == [("novel", 16, 16 + size)], (alphabet, size)
+    assert secret_scan.find("bearer 84720395618347205916") == [("novel", 7, 27)]
+    for plain in ("bearer responsibilities", "private internationalization", "token Datenschutzgrundverordnung", "private getAuthenticationTokenProvider", "secret 0000000000000000"):
+        assert secret_scan.find(plain) == []
+
+
 def test_secrets_in_long_texts_take_linear_time():
     started = time.process_time()
     assert secret_scan.find("token " * 200_000) == []

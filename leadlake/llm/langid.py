@@ -35,6 +35,8 @@ BATCH = 256
 
 #: Bounds of the training sample: texts per language, texts in all (but one per language at least), windows per text.
 TEXTS, ALL_TEXTS, WINDOWS = 300, 64 * 300, 3
+#: Parts of a language in which the lowest hashes are looked for first.
+SALTS = 32
 #: Probabilities that are held at once: texts times languages.
 CELLS = 1 << 20
 EPOCHS, STEP, RATE = 6, 64, 0.01
@@ -154,8 +156,10 @@ def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "
     cut = F.array_distinct(F.array(*[F.substring(text, s + 1, F.lit(LENGTH)) for s in starts]))
     hashed = learnt.select(lang, F.xxhash64(text).alias("_h"), cut.alias("cut"))
     different = hashed.groupBy(lang, "_h").agg(F.min("cut").alias("cut"))  # copies count once
-    lowest = Window.partitionBy(lang).orderBy("_h")
-    picked = different.withColumn("_r", F.row_number().over(lowest)).where(F.col("_r") <= texts)
+    few = different.withColumn("_s", F.pmod(F.xxhash64("_h"), F.lit(SALTS)))
+    for keys in ([lang, "_s"], [lang]):  # by salt first, so that the last task of a language has SALTS * texts rows at most
+        few = few.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))).where(F.col("_r") <= texts)
+    picked = few
     rows = picked.select(lang, F.explode("cut").alias("cut")).where("cut != ''").collect()  # at most texts * WINDOWS short strings per language
     return sorted((r[0], r[1]) for r in rows)
 

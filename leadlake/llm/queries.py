@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlake.functions.reliability import checkpointed
-from leadlake.llm import bpe_codec, decontaminate, langid, pii, quality, secret_scan, sharding, simhash, token_counts, warc
+from leadlake.llm import (
+    bpe_codec, centroids, decontaminate, langid, mixing, negatives, pii, quality, secret_scan, sharding, simhash, token_counts, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,5 +101,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mixture(docs, weights=(5, 2, 1), most=3).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.clusters(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64)
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256).alias("centroid_sha256")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_token_counts, op4_warc, op5_bpe_codec, op6_pii, op7_decontamination, op8_simhash_near_dedup, op9_quality_rules, op10_language_id)}
+    found = (
+        op1_secret_scan, op2_sharding, op3_token_counts, op4_warc, op5_bpe_codec, op6_pii, op7_decontamination,
+        op8_simhash_near_dedup, op9_quality_rules, op10_language_id, op11_mixing, op12_hard_negatives, op13_centroid_clustering,
+    )
+    return {f.__name__: f for f in found}

@@ -1,9 +1,11 @@
-"""Every registered query against its SQL twin, and its plan for Python and cross joins."""
+"""Every registered query on the CRM tables against its SQL twin, and its plan for Python and cross joins."""
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+import __spark_entry__
 from leadlake.checks.compare import difference, duck_connection
+from leadlake.checks.oracle import oracle_sql
+from leadlake.checks.queries import queries
 from leadlake.plans.inspect import plan_text
 from tests.conftest import SF_DIR
 
@@ -17,6 +19,7 @@ def duck():
 
 def test_every_query_has_a_twin():
     assert set(queries()) == set(SQL)
+    assert set(queries()) <= set(__spark_entry__.queries()) and set(SQL) <= set(__spark_entry__.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(queries()))
@@ -29,4 +32,4 @@ def test_query(spark, duck, name):
 
 
 def test_entry(spark):
-    assert entry(spark).count() == 9
+    assert __spark_entry__.entry(spark).count() == 9

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlake.functions import semantics as S
-from leadlake.functions.numbering import SLICE_ROWS, running_number, slice_of, slice_width
+from leadlake.functions.numbering import cut_points, running_number, slice_of
+from leadlake.functions.reliability import small_side
 from leadlake.sources.tables import Tables
 
 # --- fixed values: event vocabulary and stage texts ---
@@ -49,11 +50,11 @@ def classify(df: DataFrame) -> DataFrame:
     )
 
 
-def attempt_numbers(t: Tables, seq: str = "seq", width: int | None = None) -> DataFrame:
+def attempt_numbers(t: Tables, seq: str = "seq", rows: int | None = None) -> DataFrame:
     """Each contact attempt with its number on the lead, counting on from ``attempt_count``."""
     attempts = classify(t.interactions).where("is_attempt")
     cols = dict.fromkeys(["lead_id", "id", seq])
-    numbered = running_number(attempts.select(*cols, "is_no_response"), seq, ["lead_id"], "_n", width)
+    numbered = running_number(attempts.select(*cols, "is_no_response"), seq, ["lead_id"], "_n", rows)
     start = t.leads.select(F.col("id").alias("lead_id"), "attempt_count")
     return numbered.join(start, "lead_id").select(
         "id", "lead_id", "is_no_response",
@@ -102,16 +103,21 @@ def log_events(log: DataFrame) -> DataFrame:
     )
 
 
-def summarise(events: DataFrame, width: int | None = None) -> DataFrame:
-    """The five facts per lead: attempts, change, attempts_at_change, attempts_at_miss, followup."""
-    width = width or slice_width(events, "seq")
+def summarise(events: DataFrame, rows: int | None = None) -> DataFrame:
+    """The five facts per lead: attempts, change, attempts_at_change, attempts_at_miss, followup.
+
+    ``rows`` is the number of events a slice of the sequence shall hold.
+    """
+    cuts = cut_points(events, "seq", rows)
+    # never by lead alone, however the events arrive, unless they are one slice
+    dealt = ["lead_id", "_slice"] if cuts else ["lead_id"]
     seq = F.col("seq")
     run = Window.partitionBy("lead_id", "_slice").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     changed, promised = F.col("change").isNotNull(), F.col("followup_date").isNotNull()
     slices = (
         events.where((F.col("attempt") == 1) | changed | promised)
-        .withColumn("_slice", slice_of("seq", width))
-        .repartition("lead_id", "_slice")  # never by lead alone, however the events arrive
+        .withColumn("_slice", slice_of("seq", cuts))
+        .repartition(*dealt)
         .withColumn("_run", F.sum("attempt").over(run))
         .groupBy("lead_id", "_slice")
         .agg(
@@ -122,6 +128,11 @@ def summarise(events: DataFrame, width: int | None = None) -> DataFrame:
             F.max_by("followup_date", F.when(promised, seq)).alias("_followup"),
         )
     )
+    return joined_slices(slices)
+
+
+def joined_slices(slices: DataFrame) -> DataFrame:
+    """The facts of leads from those of their slices (attempts counted inside a slice)."""
     earlier = Window.partitionBy("lead_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     base = F.coalesce(F.sum("_attempts").over(earlier), F.lit(0))
     return (
@@ -161,9 +172,19 @@ def new_state(
     )
 
 
-def advance(leads: DataFrame, events: DataFrame, as_of=None, width: int | None = None) -> DataFrame:
-    """Leads after the events; all other columns and leads without events stay as they are."""
-    facts = summarise(events, width).withColumnRenamed("lead_id", "id")
+def advance(leads: DataFrame, events: DataFrame, as_of=None, rows: int | None = None, batch: bool = False) -> DataFrame:
+    """Leads after the events; all other columns and leads without events stay as they are.
+
+    With ``batch`` the events are those of one batch: what they come to is broadcast while
+    it is few rows, so that the leads are not shuffled.
+    """
+    facts = summarise(events, rows)
+    return with_facts(leads, small_side(facts) if batch else facts, as_of)
+
+
+def with_facts(leads: DataFrame, facts: DataFrame, as_of=None) -> DataFrame:
+    """Leads after a log that comes to ``facts`` (see :func:`summarise`)."""
+    facts = facts.withColumnRenamed("lead_id", "id")
     zero = F.lit(0)
     stage, substage, count = new_state(
         F.col("lead_stage"), F.col("lead_substage"), F.coalesce("attempt_count", zero),
@@ -186,15 +207,15 @@ def advance(leads: DataFrame, events: DataFrame, as_of=None, width: int | None =
     return after.withColumns(new).select(*leads.columns)
 
 
-def apply_interactions(t: Tables, seq: str = "seq", width: int | None = None) -> DataFrame:
+def apply_interactions(t: Tables, seq: str = "seq", rows: int | None = None) -> DataFrame:
     """State of every lead after its interactions."""
     events = interaction_events(t.interactions, seq)
-    return advance(t.leads.select("id", *STATE), events, width=width)
+    return advance(t.leads.select("id", *STATE), events, rows=rows)
 
 
-def apply_events(t: Tables, log: DataFrame, width: int | None = None) -> DataFrame:
+def apply_events(t: Tables, log: DataFrame, rows: int | None = None) -> DataFrame:
     """State of every lead after a mixed log."""
-    return advance(t.leads.select("id", *STATE), log_events(log), width=width)
+    return advance(t.leads.select("id", *STATE), log_events(log), rows=rows)
 
 
 def latest_followup(t: Tables, seq: str = "seq") -> DataFrame:

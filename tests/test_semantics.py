@@ -73,14 +73,14 @@ def test_search_literal_and_wildcard(spark):
     assert df.where(S.search_any(cols, "_")).count() == 1
 
 
-def test_running_number_matches_row_number_for_any_slice_width(spark):
+def test_running_number_matches_row_number_for_any_slices(spark):
     df = spark.range(0, 500).select((F.col("id") * 7 % 501).alias("s"), (F.col("id") % 3).alias("k"))
-    for width in (1, 10, 10_000):
-        rows = running_number(df, "s", ["k"], width=width).collect()
+    for size in (1, 10, 10_000, None):
+        rows = running_number(df, "s", ["k"], rows=size).collect()
         for k in range(3):
             mine = sorted((r["s"], r["n"]) for r in rows if r["k"] == k)
             assert [n for _, n in mine] == list(range(1, len(mine) + 1))
-        whole = sorted((r["s"], r["n"]) for r in running_number(df, "s", width=width).collect())
+        whole = sorted((r["s"], r["n"]) for r in running_number(df, "s", rows=size).collect())
         assert [n for _, n in whole] == list(range(1, 501))
 
 

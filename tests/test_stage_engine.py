@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from leadlake.operators import stage_engine as G
@@ -61,7 +62,7 @@ SCHEMA = ("lead_id bigint, seq bigint, kind string, interaction_type string, out
           " followup_date string, stage string, substage string")
 
 
-def check(spark, log, starts, width):
+def check(spark, log, starts, rows):
     frame = spark.createDataFrame([tuple(e.values()) for e in log], SCHEMA).withColumn(
         "followup_date", F.col("followup_date").cast("date"))
     leads = spark.createDataFrame(
@@ -70,7 +71,7 @@ def check(spark, log, starts, width):
     ).withColumn("followup_date", F.col("followup_date").cast("date"))
     got = {
         r["id"]: (r["lead_stage"], r["lead_substage"], r["attempt_count"], r["followup_date"] and str(r["followup_date"]))
-        for r in G.advance(leads, G.log_events(frame), width=width).collect()
+        for r in G.advance(leads, G.log_events(frame), rows=rows).collect()
     }
     by_lead = {}
     for e in log:
@@ -84,8 +85,8 @@ def test_closed_form_equals_fold_on_random_logs(spark):
     ids = list(range(400))
     starts = {i: (rng.choice(LEAD_STAGES), "Start", rng.randint(0, 4), rng.choice([None, "2001-09-01"])) for i in ids}
     log = random_log(rng, ids, [rng.randint(0, 14) for _ in ids])
-    for width in (3, 50, G.SLICE_ROWS, None):
-        check(spark, log, starts, width)
+    for rows in (3, 50, 1_000_000, None):
+        check(spark, log, starts, rows)
 
 
 def test_one_lead_with_most_of_the_events(spark):
@@ -117,7 +118,7 @@ def test_native_fold_twin(spark, t):
 
 
 def test_attempt_numbers_do_not_depend_on_the_slices(t):
-    small = sorted(map(tuple, G.attempt_numbers(t, width=7).collect()))
+    small = sorted(map(tuple, G.attempt_numbers(t, rows=7).collect()))
     assert small == sorted(map(tuple, G.attempt_numbers(t).collect()))
 
 
@@ -141,14 +142,19 @@ def test_stored_tables_with_hashed_ids(spark, t, tmp_path):
         assert sorted(map(str, plain.collect())) == sorted(map(str, got.collect())), job.__name__
 
 
-def test_sparse_sequences_have_few_slices(spark):
-    from pyspark.sql import functions as F
-
-    from leadlake.functions.numbering import running_number, slice_of, slice_width
+@pytest.mark.parametrize("far", [0, 17 * 10**14])
+def test_slices_are_even_whatever_the_numbers(spark, far):
+    """Also with dense numbers and one, or half of them, far away."""
+    from leadlake.functions.numbering import cut_points, running_number, slice_of
 
-    df = spark.range(3000).select((F.col("id") * 1_500_000).alias("s"), (F.col("id") % 3).alias("k"))
-    assert df.select(slice_of("s", slice_width(df, "s", 500))).distinct().count() <= 7
-    assert sorted(r["n"] for r in running_number(df, "s").collect()) == list(range(1, 3001))
+    every = F.when(F.col("id") % 2 == 0, F.col("id") * 1_500_000).otherwise(F.col("id"))
+    for s in (F.col("id") * 1_500_000, F.when(F.col("id") == 7, F.lit(far)).otherwise(F.col("id") + 10), every + far):
+        df = spark.range(30_000).select(s.alias("s"), (F.col("id") % 3).alias("k"))
+        cuts = cut_points(df, "s", 1000)
+        sizes = [r["count"] for r in df.groupBy(slice_of("s", cuts).alias("x")).count().collect()]
+        assert 25 <= len(sizes) <= 30 and max(sizes) <= 2 * 1000
+        assert sorted(r["n"] for r in running_number(df, "s", rows=1000).collect()) == list(range(1, 30_001))
+    assert cut_points(df, "s") == [] and cut_points(df.limit(0), "s", 5) == []
 
 
 def test_given_ids_must_be_new(spark, t):

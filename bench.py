@@ -27,7 +27,7 @@ from leadlake.sources.batches import NEW_ID, load_batch
 from leadlake.sources.fixtures import CLOCK, load_fixture, spark_schema
 from leadlake.sources.tables import Tables, finish, stored
 from leadlake.schema import TABLES
-from leadlake.streaming.jobs import read_stream, stage_stream
+from leadlake.streaming.jobs import lead_state, read_stream, stage_stream
 
 
 def consume(df: DataFrame) -> None:
@@ -91,8 +91,9 @@ def main() -> None:
 
     def stream() -> None:
         events = G.log_events(read_stream(spark, f"{home}/log", log.schema))
-        n = next(streams)
-        stage_stream(events, t.leads, f"{home}/state{n}", f"{home}/cp{n}").awaitTermination()
+        checkpoint = f"{home}/cp{next(streams)}"
+        stage_stream(events, checkpoint).awaitTermination()
+        consume(lead_state(spark, t.leads, checkpoint))
 
     def intake_job() -> None:
         done = W.ingest_leads(t, intake, CLOCK, ids)

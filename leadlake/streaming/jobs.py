@@ -1,17 +1,19 @@
 """The event-driven parts as Structured Streaming jobs.
 
-Each job is restartable: the query's checkpoint numbers the micro-batches, and
-everything a micro-batch writes lies under its number, so a repeated batch
+Each job is restartable: Spark's checkpoint numbers the micro-batches and holds the keyed state,
+and what a micro-batch writes itself lies under its number, so a repeated batch
 replaces its own output and nothing else.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from leadlake.operators import outbox as O
 from leadlake.operators import stage_engine as G
@@ -42,80 +44,90 @@ def append_files(stream: DataFrame, path: str, checkpoint: str, available_now: b
 
 # --- stage engine ----------------------------------------------------------------------
 
-
-def _batches(spark: SparkSession, folder: str, before: int | None = None) -> list[str]:
-    """Finished folders that hold the changes: the newest summary and the micro-batches after it."""
-    fs, root = file_system(spark, folder)
-    if not fs.exists(root):
-        return []
-    found: dict[str, list[int]] = {"batch": [], "upto": []}
-    for status in fs.listStatus(root):
-        kind, _, number = status.getPath().getName().partition("=")
-        done = fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
-        if kind in found and done and (before is None or int(number) < before):
-            found[kind].append(int(number))
-    summary = max(found["upto"], default=-1)
-    later = [f"{folder}/batch={n}" for n in sorted(found["batch"]) if n > summary]
-    return ([f"{folder}/upto={summary}"] if summary >= 0 else []) + later
-
-
-def _newest_changes(spark: SparkSession, base: DataFrame, folders: list[str]) -> DataFrame:
-    schema = base.select(*STATE_COLUMNS).withColumn("batch", F.lit(0).cast("bigint")).schema
-    return spark.read.schema(schema).parquet(*folders)
-
-
-def lead_state(spark: SparkSession, leads: DataFrame, folder: str, before: int | None = None, among: DataFrame | None = None) -> DataFrame:
-    """Current state of the leads: their own columns under the changes streamed so far.
-
-    ``among`` restricts the answer to some ids before anything is shuffled.
+#: Sequence numbers of one slice: a lead's events of different slices are different keys.
+SLICE_NUMBERS = 1_000_000
+_FACTS = "attempts long, changed boolean, stage string, substage string, at_change long, at_miss long, followup int"
+_FIRST = (0, False, None, None, -1, -1, -1)  # -1: none yet
+
+
+def _folded(state: tuple, frames: Iterator[pd.DataFrame]) -> tuple:
+    """A slice's facts after some more of its events, which are taken in order of their sequence."""
+    parts = list(frames)
+    rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+    rows = rows.sort_values("seq", kind="stable", ignore_index=True)
+    attempts, changed, stage, substage, at_change, at_miss, followup = state
+    run = attempts + rows["attempt"].to_numpy().cumsum()
+    changes = rows["changed"].to_numpy().nonzero()[0]
+    if changes.size:
+        last = changes[-1]
+        changed, stage, substage, at_change = True, rows["stage"][last], rows["substage"][last], int(run[last])
+    if (missed := rows["missed"].to_numpy().nonzero()[0]).size:
+        at_miss = int(run[missed[-1]])
+    if (promised := (rows["followup"].to_numpy() >= 0).nonzero()[0]).size:
+        followup = int(rows["followup"][promised[-1]])
+    return int(run[-1]), changed, stage, substage, at_change, at_miss, followup
+
+
+def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    after = _folded(state.get if state.exists else _FIRST, frames)
+    state.update(after)
+    yield pd.DataFrame([(*key, *after)], columns=["lead_id", "slice", *[c.split()[0] for c in _FACTS.split(", ")]])
+
+
+def stage_facts(events: DataFrame, numbers: int = SLICE_NUMBERS) -> DataFrame:
+    """What a stream of log events (see :func:`stage_engine.log_events`) comes to so far, per lead
+    and slice of the sequence: keyed state that Spark keeps. Each micro-batch gives its keys' new facts.
+
+    No lead is read: the facts are sums and last values, whatever state the lead started in. A
+    lead with very many events has many slices, which are folded in different tasks.
     """
-    base = leads.select(*STATE_COLUMNS)
-    written = _batches(spark, folder, before)
-    if among is not None:
-        base = base.join(among, "id", "left_semi")
-    if not written:
-        return base
-    changes = _newest_changes(spark, base, written)
-    if among is not None:
-        changes = changes.join(among, "id", "left_semi")
-    newest = changes.groupBy("id").agg(F.max_by(F.struct(*G.STATE), "batch").alias("_s"))
-    joined = base.join(newest, "id", "left")
-    moved = F.col("_s").isNotNull()
-    return joined.select(
-        "id", *[F.when(moved, F.col(f"_s.{c}")).otherwise(F.col(c)).alias(c) for c in G.STATE]
+    first = F.lit("1970-01-01").cast("date")
+    rows = events.select(
+        "lead_id", F.expr(f"seq div {int(numbers)}L").alias("slice"), "seq", F.col("attempt").cast("long"), "missed",
+        F.col("change").isNotNull().alias("changed"), F.col("change.stage").alias("stage"),
+        F.col("change.substage").alias("substage"),
+        F.coalesce(F.date_diff("followup_date", first), F.lit(-1)).alias("followup"),
+    )
+    lead = rows.schema["lead_id"].dataType.simpleString()
+    return rows.groupBy("lead_id", "slice").applyInPandasWithState(
+        _fold, f"lead_id {lead}, slice long, {_FACTS}", _FACTS, "update", GroupStateTimeout.NoTimeout
     )
 
 
 def stage_stream(
-    events: DataFrame, leads: DataFrame, folder: str, checkpoint: str, available_now: bool = True,
-    summary_every: int = 20,
+    events: DataFrame, checkpoint: str, available_now: bool = True, numbers: int = SLICE_NUMBERS,
+    sink: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
-    """Advance lead stages from a stream of log events (see :func:`stage_engine.log_events`).
-
-    Each micro-batch looks up the state of the leads it names, applies the same sums
-    and maxima as the batch job, and writes only the leads it named to
-    ``folder/batch=<n>``. A lead with very many events in a micro-batch is split by
-    sequence there as in the batch job. Every ``summary_every`` batches the changes so far
-    are written as one folder, so that a look-up reads few folders however long the
-    stream runs. Read the result with :func:`lead_state`.
+    """Advance lead stages from a stream of log events. :func:`lead_state` reads the result.
+
+    State and progress live in the query's checkpoint, so a restarted query goes on where the last
+    finished micro-batch ended, and each event counts once. Events go by their sequence; one that
+    comes in a later micro-batch than its successors counts as the last of its slice so far.
+    ``sink`` gets each micro-batch's new facts.
     """
+    writer = stage_facts(events, numbers).writeStream.outputMode("update")
+    writer = writer.foreachBatch(sink) if sink else writer.format("noop")
+    return _start(writer, checkpoint, available_now)
 
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.persist()
-        try:
-            named = rows.select(F.col("lead_id").alias("id")).distinct()
-            state = lead_state(spark, leads, folder, number, named)
-            after = G.advance(state, rows).withColumn("batch", F.lit(number).cast("bigint"))
-            after.write.mode("overwrite").parquet(f"{folder}/batch={number}")
-            if (number + 1) % summary_every == 0:
-                changes = _newest_changes(spark, leads, _batches(spark, folder))
-                last = changes.groupBy("id").agg(F.max_by(F.struct(*G.STATE, "batch"), "batch").alias("_s"))
-                last.select("id", "_s.*").write.mode("overwrite").parquet(f"{folder}/upto={number}")
-        finally:
-            rows.unpersist()
-
-    return _start(events.writeStream.foreachBatch(step), checkpoint, available_now)
+
+def streamed_facts(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The facts per lead (as :func:`stage_engine.summarise` gives them) after the last finished micro-batch."""
+    fs, root = file_system(spark, f"{checkpoint}/state")
+    if not fs.exists(root):
+        raise FileNotFoundError(f"no finished micro-batch under {checkpoint}")
+    state = spark.read.format("statestore").load(checkpoint).select("key.*", "value.groupState.*")
+    known = lambda c: F.when(F.col(c) >= 0, F.col(c))
+    slices = state.select(
+        "lead_id", F.col("slice").alias("_slice"), F.col("attempts").alias("_attempts"),
+        F.when(F.col("changed"), F.struct("stage", "substage")).alias("_change"), known("at_change").alias("_at_change"),
+        known("at_miss").alias("_at_miss"), F.date_add(F.lit("1970-01-01").cast("date"), known("followup")).alias("_followup"),
+    )
+    return G.joined_slices(slices)
+
+
+def lead_state(spark: SparkSession, leads: DataFrame, checkpoint: str) -> DataFrame:
+    """Current state of the leads: ``leads`` as they were when the stream began, and all events since."""
+    return G.with_facts(leads.select(*STATE_COLUMNS), streamed_facts(spark, checkpoint))
 
 
 # --- events out and audit --------------------------------------------------------------
@@ -209,5 +221,5 @@ def settings_job(as_of) -> Callable[[Tables, DataFrame], Outcome]:
 
 __all__ = [
     "append_files", "audit_stream", "lead_state", "outbox_stream", "read_stream", "settings_job", "spend_job",
-    "stage_stream", "upsert_stream", "webhook_job",
+    "stage_facts", "stage_stream", "streamed_facts", "upsert_stream", "webhook_job",
 ]

@@ -26,9 +26,14 @@ def ci_key(c: Column | str) -> Column:
     return F.collate(as_col(c), TEXT_KEY_COLLATION)
 
 
-def plain(c: Column | str) -> Column:
-    """Back from a text key to an ordinary string."""
-    return F.collate(as_col(c), "UTF8_BINARY")
+def phone_key(c: Column | str) -> Column:
+    """A plain key that phones equal without case, accents and trailing spaces share.
+
+    Texts of printable ASCII are equal then if their lower-case forms are; all others share
+    one key. Rows found by the key still have to be compared.
+    """
+    text = as_col(c)
+    return F.when(text.rlike(r"^[\x20-\x7e]*$"), F.lower(F.rtrim(text))).otherwise(F.lit("?"))
 
 
 def is_blank(c: Column | str) -> Column:
@@ -179,12 +184,6 @@ def top_k(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
     return ordered if n is None else ordered.limit(n)
 
 
-def page(df: DataFrame, page_no: int, limit: int, *order: Column, cap: int | None = None) -> DataFrame:
-    """One page of a totally ordered result."""
-    size = min(limit, cap) if cap else limit
-    return df.orderBy(*order).offset((page_no - 1) * size).limit(size)
-
-
 def first_per_key(df: DataFrame, keys: Sequence[Column | str], *order: Column) -> DataFrame:
     """The first row of each key. Rank limits are applied before the shuffle too,
     so a key with very many rows sends one row per input task."""

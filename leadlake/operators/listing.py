@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadlake.functions import paging
 from leadlake.functions import semantics as S
+from leadlake.functions.paging import SortKey, order_by, rows_after
 from leadlake.functions.reliability import bounded
 from leadlake.operators.views import join_lead_names
 from leadlake.schema import LEAD_SOURCES, LEAD_STAGES, RESTRICTED_ROLES
@@ -26,12 +30,13 @@ _LEAD_LIST = (
     "u.id AS agent_id", "u.name AS agent_name",
 )
 
-# sort key of the list -> column of the list
+# --- fixed values: sort keys of the list and their columns ---
 SORT_KEYS = {
     "name": "patient_name", "phone": "primary_phone", "date": "enquiry_date", "ai_score": "ai_score",
     "stage": "lead_stage", "follow-up": "followup_date", "source": "lead_source",
     "facility": "facility_name", "speciality": "speciality_name", "doctor": "doctor_name",
 }
+# --- end of fixed values ---
 _ENUM_SORTS = {"lead_stage": LEAD_STAGES, "lead_source": LEAD_SOURCES}
 _TEXT_SORTS = {"patient_name", "primary_phone", "facility_name", "speciality_name", "doctor_name"}
 _OWN_SORTS = {"enquiry_date", "ai_score", "lead_stage", "followup_date", "lead_source"}
@@ -79,8 +84,13 @@ def list_leads(t: Tables, search: str | None = None, literal: bool = True, **fil
     return rows.selectExpr(*_LEAD_LIST)
 
 
-def lead_order(sort_by: str = "date", direction: str = "DESC") -> list[Column]:
-    """Sort columns of the lead list: unknown keys sort by enquiry date, value lists in
+def newest(column: str) -> list[SortKey]:
+    """Latest first, then by id."""
+    return [SortKey(column, F.col(column), True), SortKey("id", F.col("id"))]
+
+
+def lead_order(sort_by: str = "date", direction: str = "DESC") -> list[SortKey]:
+    """Sort keys of the lead list: unknown keys sort by enquiry date, value lists in
     their declared order, texts without case and accents; the id breaks ties."""
     column = SORT_KEYS.get(sort_by, "enquiry_date")
     if column in _ENUM_SORTS:
@@ -90,18 +100,20 @@ def lead_order(sort_by: str = "date", direction: str = "DESC") -> list[Column]:
     else:
         key = F.col(column)
     ascending = (direction or "").upper() == "ASC"
-    return [key.asc_nulls_first() if ascending else key.desc_nulls_last(), F.col("id")]
+    return [SortKey("sort_key", key, not ascending), SortKey("id", F.col("id"))]
 
 
 def sort_leads(df: DataFrame, sort_by: str = "date", direction: str = "DESC") -> DataFrame:
-    return df.orderBy(*lead_order(sort_by, direction))
+    return df.orderBy(*order_by(lead_order(sort_by, direction)))
 
 
 def lead_page(
     t: Tables, page: int = 1, limit: int = DEFAULT_PAGE, sort_by: str = "date", direction: str = "DESC",
-    search: str | None = None, user: tuple | None = None, cap: int | None = LEAD_PAGE_CAP, **filters,
+    search: str | None = None, user: tuple | None = None, cap: int | None = LEAD_PAGE_CAP, early: int = paging.EARLY,
+    **filters,
 ) -> DataFrame:
     """One page of the lead list, of ``limit`` rows but at most ``cap`` (None: no such bound).
+    Pages behind the first ``early`` leads are found by ranges (see :mod:`leadlake.functions.paging`).
 
     When neither search nor sort needs a joined column, the page is cut on the
     leads alone and only its rows are joined (each lead has its references).
@@ -111,9 +123,28 @@ def lead_page(
         leads = visible_to(leads, *user)
     order = lead_order(sort_by, direction)
     if not search and SORT_KEYS.get(sort_by, "enquiry_date") in _OWN_SORTS:
-        cut = S.page(leads, page, limit, *order, cap=cap)
+        cut = paging.page(leads, page, limit, order, cap, early)
         return sort_leads(list_leads(t.replace(leads=bounded(cut, limit))), sort_by, direction)
-    return S.page(list_leads(t.replace(leads=leads), search), page, limit, *order, cap=cap)
+    return paging.page(list_leads(t.replace(leads=leads), search), page, limit, order, cap, early)
+
+
+def leads_after(
+    t: Tables, last: Mapping | None = None, limit: int = DEFAULT_PAGE, sort_by: str = "date", direction: str = "DESC",
+    user: tuple | None = None, **filters,
+) -> DataFrame:
+    """The lead list by cursor: the ``limit`` leads behind ``last`` (``sort_key`` and ``id`` of the last
+    lead seen), with ``sort_key``. However deep the reader is, a task keeps ``limit`` leads.
+    """
+    leads = filter_leads(t.leads, **filters)
+    if user is not None:
+        leads = visible_to(leads, *user)
+    order = lead_order(sort_by, direction)
+    if SORT_KEYS.get(sort_by, "enquiry_date") in _OWN_SORTS:
+        cut = bounded(rows_after(leads, last, limit, order), limit)
+        rows = list_leads(t.replace(leads=cut)).withColumn("sort_key", order[0].value)
+    else:
+        rows = rows_after(list_leads(t.replace(leads=leads)), last, limit, order)
+    return rows.orderBy(*order_by(order))
 
 
 def page_info(df: DataFrame, page: int = 1, limit: int = DEFAULT_PAGE, cap: int | None = None) -> DataFrame:
@@ -165,9 +196,9 @@ def list_appointments(t: Tables, **filters) -> DataFrame:
 def appointment_page(t: Tables, page: int = 1, limit: int = DEFAULT_PAGE, **filters) -> DataFrame:
     """Latest appointments first. All filters are on the appointment's own columns, so the page
     is cut before its rows are joined (each appointment has its references)."""
-    order = F.desc("appointment_date"), F.col("id")
-    cut = S.page(_filter_appointments(t.appointments, **filters), page, limit, *order)
-    return list_appointments(t.replace(appointments=bounded(cut, limit))).orderBy(*order)
+    order = newest("appointment_date")
+    cut = paging.page(_filter_appointments(t.appointments, **filters), page, limit, order)
+    return list_appointments(t.replace(appointments=bounded(cut, limit))).orderBy(*order_by(order))
 
 
 def _billed(t: Tables, facility_id=None, speciality_id=None, date_from=None, date_to=None) -> DataFrame:
@@ -195,15 +226,15 @@ def list_revenue(t: Tables, **filters) -> DataFrame:
 def revenue_page(t: Tables, page: int = 1, limit: int = DEFAULT_PAGE, **filters) -> DataFrame:
     """Latest bills first. Only a filter on the lead's columns is joined before the page is cut;
     names are joined to the page's rows (each bill has its references)."""
-    order = F.desc("billed_date"), F.col("id")
+    order = newest("billed_date")
     dates = {k: filters.pop(k, None) for k in ("date_from", "date_to")}
     r = t.revenue
     if dates["date_from"] or dates["date_to"]:
         r = r.where(S.day_range("billed_date", dates["date_from"], dates["date_to"], whole_last_day=False))
     if any(v not in (None, "") for v in filters.values()):
         r = r.join(filter_leads(t.leads, **filters).select(F.col("id").alias("lead_id")), "lead_id", "left_semi")
-    cut = S.page(r.select(*t.revenue.columns), page, limit, *order)
-    return list_revenue(t.replace(revenue=bounded(cut, limit))).orderBy(*order)
+    cut = paging.page(r.select(*t.revenue.columns), page, limit, order)
+    return list_revenue(t.replace(revenue=bounded(cut, limit))).orderBy(*order_by(order))
 
 
 def revenue_list_summary(t: Tables, **filters) -> DataFrame:
@@ -233,7 +264,7 @@ def list_patients(t: Tables, search: str | None = None, literal: bool = True) ->
 
 def patient_page(t: Tables, page: int = 1, limit: int = DEFAULT_PAGE, search: str | None = None) -> DataFrame:
     """Newest patients first."""
-    return S.page(list_patients(t, search), page, limit, F.desc("created_at"), F.col("id"))
+    return paging.page(list_patients(t, search), page, limit, newest("created_at"))
 
 
 def list_doctors(t: Tables, facility_id=None, speciality_id=None) -> DataFrame:

@@ -48,6 +48,10 @@ LISTS = {
     "sort_leads": f"select {LEAD_LIST} from {JOINS}",
     "lead_page": f"""select {LEAD_LIST} from {JOINS} order by {rank('l.lead_stage', LEAD_STAGES)} desc, l.id
  limit 50 offset 100""",
+    "lead_page_late": f"""select {LEAD_LIST} from {JOINS} order by {rank('l.lead_stage', LEAD_STAGES)} desc, l.id
+ limit 50 offset 250""",
+    "leads_after": f"""select {LEAD_LIST} from {JOINS} order by {rank('l.lead_stage', LEAD_STAGES)} desc, l.id
+ limit 50 offset 150""",
     "lead_page_by_facility": f"""select {LEAD_LIST} from {JOINS} order by lower(f.name), l.id limit 500 offset 500""",
     "visible_leads": """select l.id as lead_id, u.id as user_id, u.role from c_leads l join c_users u
  on u.id = l.assigned_to where u.role in ('agent', 'calling_agent')""",

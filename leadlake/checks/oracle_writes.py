@@ -103,8 +103,8 @@ INGEST = INGEST_STEPS + " " + union(
 
 UPDATE_LEADS = "with " + judge(
     "b_lead_patches",
-    ("id not in (select id from c_leads)", "Lead not found"),
-    ("not (has_campaign or has_urgency or has_doctor or has_followup)", "No valid fields to update"),
+    ("id not in (select id from c_leads)", "unknown lead"),
+    ("not (has_campaign or has_urgency or has_doctor or has_followup)", "nothing to set"),
     ("has_urgency and not " + blank("urgency") + " and lower(urgency) not in ('low','medium','high','emergency')", "invalid urgency"),
     ("has_doctor and not " + blank("doctor_id") + " and doctor_id not in (select id::varchar from c_doctors)", "unknown doctor_id"),
 ) + """, agg as (select id, bool_or(has_campaign) as hc, arg_max_null(campaign_name, seq) filter (where has_campaign) as vc,
@@ -122,8 +122,8 @@ UPDATE_LEADS = "with " + judge(
 CHANGE_RULES = judge(
     "b_stage_changes",
     (blank("stage"), "stage required"),
-    (f"stage not in ({STAGES})", "Invalid stage"),
-    ("id not in (select id from c_leads)", "Lead not found"),
+    (f"stage not in ({STAGES})", "stage is not in the list"),
+    ("id not in (select id from c_leads)", "unknown lead"),
 )
 CHANGE = f"""with {CHANGE_RULES}, x as (select l.*, coalesce(o.stage, l.lead_stage) as ns,
  coalesce({nb('o.substage')}, o.stage, l.lead_substage) as nsub from c_leads l left join {last('ok')} o on o.id = l.id) """ + union(
@@ -140,7 +140,7 @@ def ai_sql(rules: str, source: str) -> str:
 
 
 SAVE_AI = ai_sql(judge("b_scores", (bad_enum("leads", "ai_priority"), "invalid ai_priority"),
-                       ("id not in (select id from c_leads)", "Lead not found")), "ok") + union(
+                       ("id not in (select id from c_leads)", "unknown lead")), "ok") + union(
     rejected(),
     rep("leads", "id", ["ns", "np", "nr", "na", touched(("ns", "ai_score"), ("np", "ai_priority"), ("nr", "ai_reason"),
                                                       ("na", "ai_next_action"))], "y l"),
@@ -154,7 +154,7 @@ PARSED = """parsed as (select id, seq, replace(replace(reply, '```json', ''), '`
 
 DELETE_LEADS = "with " + judge(
     "(select distinct id from b_lead_deletes)",
-    ("id not in (select id from c_leads)", "Lead not found"),
+    ("id not in (select id from c_leads)", "unknown lead"),
     ("id in (select lead_id from c_appointments union select lead_id from c_revenue)", "lead has appointments or revenue"),
 ) + " " + union(
     rejected(key="id"),
@@ -164,7 +164,7 @@ DELETE_LEADS = "with " + judge(
 
 NEW_TALKS = judge(
     "(select * replace (coalesce(agent_id, 3) as agent_id) from b_new_interactions)",
-    (blanks("lead_id", "outcome"), "outcome is required"),
+    (blanks("lead_id", "outcome"), "lead or outcome is missing"),
     (bad_enum("interactions", "interaction_type"), "invalid interaction_type"),
     (unknown("lead_id", "leads"), "unknown lead_id"),
     (unknown("agent_id", "users"), "unknown agent_id"),
@@ -211,7 +211,7 @@ VISITS = "with " + judge(
     "b_visit_changes",
     (blank("visit_status"), "visit_status required"),
     (bad_enum("appointments", "visit_status"), "invalid visit_status"),
-    ("id not in (select id from c_appointments)", "Appointment not found"),
+    ("id not in (select id from c_appointments)", "unknown appointment"),
 ) + f""", agg as (select id, arg_max(lower(visit_status), seq) as st,
  arg_max(notes, seq) filter (where coalesce(notes, '') <> '') as nt from ok group by id),
  x as (select l.*, coalesce(a.st, l.visit_status) as ns, coalesce(a.nt, l.notes) as nn from c_appointments l left join agg a on a.id = l.id) """ + union(
@@ -244,7 +244,7 @@ BILLS = "with " + judge(
 
 CREATE_PATIENTS = "with " + judge(
     "b_patient_forms",
-    (blanks("full_name", "primary_phone"), "Name and phone required"),
+    (blanks("full_name", "primary_phone"), "name or phone is missing"),
     (bad_enum("patients", "patient_type"), "invalid patient_type"),
 ) + f""", met as (select *, lower(rtrim(primary_phone)) as k,
  lower(rtrim(primary_phone)) in (select lower(rtrim(primary_phone)) from c_patients) as old from ok),
@@ -252,15 +252,15 @@ CREATE_PATIENTS = "with " + judge(
  fresh as (select *, 'PAT-' || lpad((row_number() over (order by seq)
   + (select max(regexp_extract(unique_pid, '([0-9]+)$', 1)::bigint) from c_patients))::varchar, 5, '0') as upid from firsts) """ + union(
     rejected(),
-    "select 'reject Patient with this phone already exists', seq::varchar, '' from met where seq not in (select seq from firsts)",
+    "select 'reject phone is taken', seq::varchar, '' from met where seq not in (select seq from firsts)",
     rep("patients", "id", ["unique_pid", "full_name", "primary_phone", "email", "city", "patient_type"], "c_patients"),
     rep("patients", f"seq + {NEW}", ["upid", "full_name", "primary_phone", nb("email"), nb("city"), low("patient_type", "new")], "fresh"),
 )
 
 UPDATE_PATIENTS = "with " + judge(
     "b_patient_patches",
-    ("id not in (select id from c_patients)", "Patient not found"),
-    ("not (has_city or has_age or has_name)", "No fields to update"),
+    ("id not in (select id from c_patients)", "unknown patient"),
+    ("not (has_city or has_age or has_name)", "nothing to set"),
     ("has_age and age = 'old'", "invalid age"),
 ) + """, agg as (select id, bool_or(has_city) as hc, arg_max_null(city, seq) filter (where has_city) as vc,
  bool_or(has_age) as ha, arg_max_null(age, seq) filter (where has_age) as va,
@@ -275,7 +275,7 @@ DELETE_PATIENTS = INGEST_STEPS + f""",
  allp as (select id, patient_type from c_patients union all select pid, {low("patient_type", "new")} from fresh),
  alll as (select id, patient_id from c_leads union all select seq + {NEW}, patient_id from placed),
  used as (select patient_id, lead_id from c_appointments union select patient_id, lead_id from c_revenue),
- dj as (select b.id, case when b.id not in (select id from allp) then 'Patient not found'
+ dj as (select b.id, case when b.id not in (select id from allp) then 'unknown patient'
   when b.id in (select patient_id from used) or b.id in (select patient_id from alll where id in (select lead_id from used))
   then 'patient has appointments or revenue' end as reason from (select distinct id from b_patient_deletes) b),
  gone as (select id from dj where reason is null) """ + union(
@@ -354,10 +354,10 @@ def doctors(mode: str) -> str:
 
 def users(mode: str) -> str:
     sets = {"name": "{0}", "role": "lower({0})", "is_active": "{0}"}
-    return directory("users", "b_user_forms", ["name", "email", "password_hash"], "Name, email and password required",
+    return directory("users", "b_user_forms", ["name", "email", "password_hash"], "name, e-mail or password is missing",
                      ["name", "role", "is_active"], sets,
                      ["name", "email", low("role", "agent"), "true", AS_OF], ["name", "email", "role", "is_active", "updated_at"],
-                     NEW, [], mode, unique="email", taken="Email already registered", stamp=True)
+                     NEW, [], mode, unique="email", taken="e-mail is taken", stamp=True)
 
 
 SPECIALITIES = "with " + judge("b_speciality_forms", (blank("name"), "name required")) + """,
@@ -409,6 +409,10 @@ OUTBOX = f"""with {CHANGE_RULES} select w.event_type, o.id::varchar as entity_id
  '2001-08-01T00:00:00.000Z' as timestamp, 'leadlake' as source, o.id, o.stage as lead_stage, o.substage as lead_substage,
  '7' as changed_by from ok o join c_webhooks w on w.event_type = 'lead_stage_changed' and w.is_active"""
 
+CREATED = INGEST_STEPS + f""" select 'lead_created' as event_type, (seq + {NEW})::varchar as entity_id, 'https://example.com/new' as url,
+ 'lead_created' as event, '2001-08-01T00:00:00.000Z' as timestamp, 'leadlake' as source, seq + {NEW} as id, patient_id,
+ lower(lead_source) as lead_source, {low('stage', 'untouched')} as lead_stage, facility_id, {nb('campaign_name')} as campaign_name from placed"""
+
 AUDIT = "with " + state_sql(LOG_TALKS, LOG_CHANGES, "select lead_id, seq, followup_date from b_event_log") + f""",
  d as (select l.id, l.lead_stage as s0, s.lead_stage as s1, l.lead_substage is distinct from s.lead_substage
    or l.lead_stage is distinct from s.lead_stage as staged,
@@ -420,6 +424,30 @@ AUDIT = "with " + state_sql(LOG_TALKS, LOG_CHANGES, "select lead_id, seq, follow
  union all select 7, 'lead', id::varchar, 'UPDATE', {AS_OF}, s0, null, case when moved then f1::varchar end,
   case when counted then c1::varchar end from d where moved or counted"""
 
+_RULES_OF_PATCHES = UPDATE_LEADS[len("with "):UPDATE_LEADS.index(", agg as")]
+
+#: Requests of both kinds in one sequence; what a request meets is the last value given before it.
+REQUESTS = f"""with {_RULES_OF_PATCHES.replace('j as', 'pj as').replace('from j', 'from pj').replace('ok as', 'po as')},
+ {CHANGE_RULES}, r as (
+ select id, seq * 2 as seq, 'UPDATE' as action, null as stage, null as substage, null as shown, has_campaign, campaign_name, has_urgency, urgency,
+  has_doctor, doctor_id from po
+ union all select id, seq * 2 + 1, 'STAGE_CHANGE', stage, coalesce({nb('substage')}, stage), substage, false, null, false, null, false, null from ok),
+ m as (select *, last_value(case when stage is not null then [stage, substage] end ignore nulls) over w as ms,
+  last_value(case when has_campaign then [campaign_name] end ignore nulls) over w as mc,
+  last_value(case when has_urgency then [lower(rtrim(urgency))] end ignore nulls) over w as mu,
+  last_value(case when has_doctor then [doctor_id] end ignore nulls) over w as md
+  from r window w as (partition by id order by seq rows between unbounded preceding and 1 preceding)),
+ k as (select m.*, l.patient_id, case when ms is null then l.lead_stage else ms[1] end as os,
+  case when ms is null then l.lead_substage else ms[2] end as osub, case when mc is null then l.campaign_name else mc[1] end as oc,
+  case when mu is null then l.urgency else mu[1] end as ou,
+  case when md is null then l.doctor_id::varchar else nullif(md[1], '') end as od from m join c_leads l on l.id = m.id)
+ select seq, 7 as user_id, 'lead' as entity_type, id::varchar as entity_id, action, {AS_OF} as created_at, os as old_lead_stage,
+  case when action = 'UPDATE' then patient_id::varchar end as old_patient_id,
+  case when action = 'UPDATE' then osub end as old_lead_substage, case when action = 'UPDATE' then oc end as old_campaign_name,
+  case when action = 'UPDATE' then ou end as old_urgency, case when action = 'UPDATE' then od end as old_doctor_id,
+  stage as new_lead_stage, shown as new_lead_substage, case when has_campaign then campaign_name end as new_campaign_name,
+  case when has_urgency then urgency end as new_urgency, case when has_doctor then doctor_id end as new_doctor_id from k"""
+
 BROKEN = """bp as (select * replace (lower(city) as gender) from c_patients where patient_type = 'existing'),
  bu as (select * replace (case role when 'admin' then 'Admin' when 'cxo' then 'Cxo' when 'marketing' then 'Marketing'
   when 'finance' then 'Finance' when 'agent' then 'Agent' else 'Calling_agent' end as email) from c_users),
@@ -494,6 +522,8 @@ WRITES_SQL: dict[str, str] = {
     "apply_scores": ai_sql(PARSED, "fields") + rep("leads", "id", ["ns", "np", "nr", "na"], "y"),
     "event_outbox": OUTBOX,
     "audit_rows": AUDIT,
+    "request_audit": REQUESTS,
+    "created_outbox": CREATED,
     "apply_defaults": f"""select seq as id, {low('enquiry_type', 'appointment')} as enquiry_type, {low('urgency', 'medium')} as urgency,
  lower(lead_source) as lead_source, 'untouched' as lead_stage, 'Fresh Lead' as lead_substage, 0 as attempt_count, 50 as ai_score,
  'medium' as ai_priority, {nb('campaign_name')} as campaign_name, {AS_OF} as enquiry_date from b_lead_intake""",

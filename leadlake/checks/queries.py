@@ -23,7 +23,8 @@ from leadlake.operators import views as V
 from leadlake.operators import writes as W
 from leadlake.plans.bundles import dashboard
 from leadlake.sources.batches import NEW_ID, load_batch
-from leadlake.sources.fixtures import CLOCK, FIXTURES, load_fixture
+from leadlake.sources.fixtures import CLOCK, FIXTURES, load_fixture, spark_schema
+from leadlake.sources.partitioned import PartitionedLake
 from leadlake.sources.tables import (
     Tables, apply_defaults, commit_snapshot, enum_violations, insert_ignore, load_tables, to_documents, with_total_value,
 )
@@ -82,7 +83,10 @@ def _duplicate_documents(t: Tables) -> DataFrame:
 
 
 def _merge(t: Tables, requests: DataFrame) -> DataFrame:
-    done = M.merge_patients(t, requests)
+    return _merged(M.merge_patients(t, requests))
+
+
+def _merged(done) -> DataFrame:
     out = done.rejects.select(
         F.col("reason").alias("entity"), F.col("secondary_id").alias("id"), F.col("primary_id").alias("patient_id")
     )
@@ -120,6 +124,8 @@ _TABLE_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "page_info": lambda t: L.page_info(L.filter_leads(t.leads, stage="customer"), 1, 2000, cap=L.LEAD_PAGE_CAP),
     "sort_leads": lambda t: L.sort_leads(L.list_leads(t), "source", "asc"),
     "lead_page": lambda t: L.lead_page(t, 3, 50, "stage"),
+    "lead_page_late": lambda t: L.lead_page(t, 6, 50, "stage", early=0),
+    "leads_after": lambda t: _leads_after(t),
     "lead_page_by_facility": lambda t: L.lead_page(t, 2, 900, "facility", "ASC"),
     "appointments_in_range": lambda t: L.list_appointments(
         t, status="no_show", date_from="1998-01-01", date_to="1998-12-31"),
@@ -183,26 +189,39 @@ def _patch(batch: DataFrame, **flags: str) -> DataFrame:
     return batch.select("id", "seq", fields.alias("fields"))
 
 
+PATCH_FLAGS = {
+    "campaign_name": "has_campaign", "urgency": "has_urgency", "doctor_id": "has_doctor", "followup_date": "has_followup",
+    "lead_stage": "has_stage",
+}
 LEAD_STATE = ["id", "lead_stage", "lead_substage", "updated_at"]
+#: Columns shown of the tables that a job writes.
+SHOWN: dict[str, dict[str, list[str]]] = {
+    "ingest_leads": {
+        "patients": ["id", "unique_pid", "full_name", "primary_phone", "email", "city", "patient_type"],
+        "leads": ["id", "patient_id", "facility_id", "doctor_id", "assigned_to", "lead_source", "enquiry_type", "urgency",
+                  "campaign_name", "lead_stage", "lead_substage", "ai_score", "enquiry_date"],
+    },
+    "update_leads": {"leads": ["id", "campaign_name", "urgency", "doctor_id", "followup_date", "lead_stage", "updated_at"]},
+    "change_stage": {"leads": LEAD_STATE},
+    "delete_leads": {"leads": ["id", "lead_stage"], "interactions": ["id", "lead_id"]},
+    "ingest_interactions": {
+        "interactions": ["id", "lead_id", "agent_id", "interaction_type", "outcome", "notes", "followup_date"],
+        "leads": ["id", "lead_stage", "lead_substage", "attempt_count", "followup_date"],
+    },
+    "set_visit_status": {"appointments": ["id", "visit_status", "notes", "updated_at"], "leads": LEAD_STATE},
+}
 _WRITE_QUERIES = {
     "ingest_leads": ("lead_intake", lambda t, b: _report(
-        W.ingest_leads(t, b, CLOCK, numbered_ids), "seq",
-        {"patients": ["id", "unique_pid", "full_name", "primary_phone", "email", "city", "patient_type"],
-         "leads": ["id", "patient_id", "facility_id", "doctor_id", "assigned_to", "lead_source", "enquiry_type", "urgency",
-                   "campaign_name", "lead_stage", "lead_substage", "ai_score", "enquiry_date"]})),
+        W.ingest_leads(t, b, CLOCK, numbered_ids), "seq", SHOWN["ingest_leads"])),
     "update_leads": ("lead_patches", lambda t, b: _report(
-        W.update_leads(t, _patch(b, campaign_name="has_campaign", urgency="has_urgency", doctor_id="has_doctor",
-                                 followup_date="has_followup", lead_stage="has_stage"), CLOCK), "seq",
-        {"leads": ["id", "campaign_name", "urgency", "doctor_id", "followup_date", "lead_stage", "updated_at"]})),
-    "change_stage": ("stage_changes", lambda t, b: _report(W.change_stage(t, b, CLOCK), "seq", {"leads": LEAD_STATE})),
+        W.update_leads(t, _patch(b, **PATCH_FLAGS), CLOCK), "seq", SHOWN["update_leads"])),
+    "change_stage": ("stage_changes", lambda t, b: _report(W.change_stage(t, b, CLOCK), "seq", SHOWN["change_stage"])),
     "save_ai": ("scores", lambda t, b: _report(
         W.save_ai(t, b, CLOCK), "seq", {"leads": ["id", "ai_score", "ai_priority", "ai_reason", "ai_next_action", "updated_at"]})),
     "delete_leads": ("lead_deletes", lambda t, b: _report(
-        W.delete_leads(t, b), "id", {"leads": ["id", "lead_stage"], "interactions": ["id", "lead_id"]})),
+        W.delete_leads(t, b), "id", SHOWN["delete_leads"])),
     "ingest_interactions": ("new_interactions", lambda t, b: _report(
-        W.ingest_interactions(t, b, CLOCK, 3, numbered_ids), "seq",
-        {"interactions": ["id", "lead_id", "agent_id", "interaction_type", "outcome", "notes", "followup_date"],
-         "leads": ["id", "lead_stage", "lead_substage", "attempt_count", "followup_date"]})),
+        W.ingest_interactions(t, b, CLOCK, 3, numbered_ids), "seq", SHOWN["ingest_interactions"])),
     "delete_interactions": ("interaction_deletes", lambda t, b: _report(
         W.delete_interactions(t, b), "id", {"interactions": ["id", "lead_id"]})),
     "book_appointments": ("bookings", lambda t, b: _report(
@@ -210,8 +229,7 @@ _WRITE_QUERIES = {
         {"appointments": ["id", "lead_id", "patient_id", "facility_id", "doctor_id", "appointment_date", "consult_type",
                           "visit_status", "notes"], "leads": LEAD_STATE})),
     "set_visit_status": ("visit_changes", lambda t, b: _report(
-        W.set_visit_status(t, b, CLOCK), "seq",
-        {"appointments": ["id", "visit_status", "notes", "updated_at"], "leads": LEAD_STATE})),
+        W.set_visit_status(t, b, CLOCK), "seq", SHOWN["set_visit_status"])),
     "post_revenue": ("bills", lambda t, b: _report(
         W.post_revenue(t, b, CLOCK, numbered_ids), "seq",
         {"revenue": ["id", "appointment_id", "lead_id", "consultation_value", "procedure_value", "package_value",
@@ -258,6 +276,7 @@ _WRITE_QUERIES = {
         X.apply_scores(t, b, CLOCK), "seq", {"leads": ["id", "ai_score", "ai_priority", "ai_reason", "ai_next_action"]})),
     "parse_scores": ("score_replies", lambda t, b: X.parse_scores(b).drop("seq")),
     "event_outbox": ("stage_changes", lambda t, b: _outbox(t, b)),
+    "created_outbox": ("lead_intake", lambda t, b: _created_outbox(t, b)),
     "audit_rows": ("event_log", lambda t, b: _audit(t, b)),
     "apply_defaults": ("lead_intake", lambda t, b: apply_defaults(
         b.withColumn("patient_id", F.col("seq")), "leads", CLOCK, F.col("seq"), blanks=True).select(
@@ -284,6 +303,41 @@ def _outbox(t: Tables, changes: DataFrame) -> DataFrame:
     )
 
 
+def _created_outbox(t: Tables, intake: DataFrame) -> DataFrame:
+    """Messages of new leads; a hook for them is added, whatever hooks there are."""
+    made = W.ingest_leads(t, intake, CLOCK, numbered_ids).accepted
+    hook = t.webhooks.limit(1).withColumns({"event_type": F.lit("Lead_Created"), "url": F.lit("https://example.com/new"), "is_active": F.lit(True)})
+    hooks = t.webhooks.where("lower(event_type) <> 'lead_created'").unionByName(hook)
+    sent = O.event_outbox(t.replace(webhooks=hooks), O.lead_created_events(made), CLOCK)
+    data = "id bigint, patient_id bigint, lead_source string, lead_stage string, facility_id bigint, campaign_name string"
+    body = F.from_json("body", f"event string, timestamp string, source string, data struct<{data.replace(' ', ': ').replace(',:', ',')}>")
+    return sent.select("event_type", "entity_id", "url", body.alias("b")).select(
+        "event_type", "entity_id", "url", "b.event", "b.timestamp", "b.source", "b.data.*")
+
+
+def _request_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial updates and stage changes of the same leads as one batch of requests."""
+    t = load_fixture(spark, sf_dir)
+    patches, changes = (load_batch(spark, sf_dir, t, name) for name in ("lead_patches", "stage_changes"))
+    done = W.update_leads(t, _patch(patches, **PATCH_FLAGS), CLOCK).accepted
+    moved = W.change_stage(t, changes, CLOCK).accepted
+    requests = A.update_requests(done, W.LEAD_FIELDS, F.col("seq") * 2).union(A.stage_requests(moved, F.col("seq") * 2 + 1))
+    rows = A.request_audit(t.leads, requests, W.LEAD_FIELDS, CLOCK, 7, rows=1000)
+    value = lambda side, c: F.get_json_object(f"{side}_values", f"$.{c}").alias(f"{side}_{c}")
+    fields = ("lead_stage", "lead_substage", "campaign_name", "urgency", "doctor_id")
+    return rows.select(
+        "seq", "user_id", "entity_type", "entity_id", "action", "created_at", value("old", "patient_id"),
+        *[value(side, c) for side in ("old", "new") for c in fields])
+
+
+def _leads_after(t: Tables) -> DataFrame:
+    """The fourth page of the lead list by stage, by the cursor of the third one's last lead."""
+    third = L.lead_page(t, 3, 50, "stage").collect()
+    order = L.lead_order("stage")
+    last = t.leads.where(F.col("id") == third[-1]["id"]).select(*[k.value.alias(k.name) for k in order]).first().asDict()
+    return L.leads_after(t, last, 50, "stage").drop("sort_key")
+
+
 def _audit(t: Tables, log: DataFrame) -> DataFrame:
     after = G.advance(t.leads, G.log_events(log), CLOCK)
     rows = A.audit_rows(t.leads, after, CLOCK, 7)
@@ -349,8 +403,8 @@ def _finished(query) -> None:
 def _stage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, home = load_fixture(spark, sf_dir), _workspace(spark)
     events = G.interaction_events(_event_stream(spark, sf_dir, "interactions"))
-    _finished(stage_stream(events, t.leads, f"{home}/state", f"{home}/checkpoint"))
-    return lead_state(spark, t.leads, f"{home}/state")
+    _finished(stage_stream(events, f"{home}/checkpoint"))
+    return lead_state(spark, t.leads, f"{home}/checkpoint")
 
 
 def _outbox_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,6 +447,37 @@ def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(bills.agg((F.sum("total_value") * 100).cast("bigint").alias("rows")))
 
 
+#: Jobs run on month folders: job, batch, what to do with the batch, arguments, key of refused rows.
+_LAKE_JOBS = {
+    "ingest_leads": (W.ingest_leads, "lead_intake", None, (CLOCK, numbered_ids), "seq"),
+    "update_leads": (W.update_leads, "lead_patches", lambda b: _patch(b, **PATCH_FLAGS), (CLOCK,), "seq"),
+    "change_stage": (W.change_stage, "stage_changes", None, (CLOCK,), "seq"),
+    "delete_leads": (W.delete_leads, "lead_deletes", None, (), "id"),
+    "ingest_interactions": (W.ingest_interactions, "new_interactions", None, (CLOCK, 3, numbered_ids), "seq"),
+    "set_visit_status": (W.set_visit_status, "visit_changes", None, (CLOCK,), "seq"),
+}
+
+
+def _in_months(name: str) -> Query:
+    """A write job on month folders: touched months are replaced, new rows appended, and all read back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        job, batch_name, made, args, key = _LAKE_JOBS[name]
+        t = load_fixture(spark, sf_dir)
+        batch = load_batch(spark, sf_dir, t, batch_name)
+        lake = PartitionedLake(spark, f"{_workspace(spark)}/lake", spark_schema, t).create(t, list(SHOWN[name]))
+        return _report(lake.run(job, made(batch) if made else batch, *args), key, SHOWN[name])
+
+    return run
+
+
+def _months_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = load_fixture(spark, sf_dir)
+    lake = PartitionedLake(spark, f"{_workspace(spark)}/lake", spark_schema, t)
+    lake.create(t, ["patients", "leads", "appointments", "revenue"])
+    return _merged(lake.run(M.merge_patients, load_batch(spark, sf_dir, t, "merge_requests")))
+
+
 def _delete_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Take in new leads first: their new patients have no visits yet and can be deleted."""
     t = load_fixture(spark, sf_dir)
@@ -409,6 +494,9 @@ _SESSION_QUERIES: dict[str, Query] = {
     "audit_stream": _audit_stream,
     "upsert_stream": _upsert_stream,
     "load_tables": _round_trip,
+    "request_audit": _request_audit,
+    **{f"{name}_in_months": _in_months(name) for name in _LAKE_JOBS},
+    "merge_patients_in_months": _months_merge,
 }
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from leadlake.functions import semantics as S
 from leadlake.functions.reliability import bounded, checkpointed, small_side
+from leadlake.operators.keyed import known_ids
 from leadlake.operators.outcome import Outcome, split_rejects
 from leadlake.operators.profiles import PART_ROWS, nested
 from leadlake.sources.tables import Tables
@@ -155,13 +156,12 @@ def merge_patients(t: Tables, mapping: DataFrame) -> Outcome:
     delete the secondaries. Requests without a known primary, or in a cycle, change nothing.
     """
     blank = S.is_blank("primary_id") | S.is_blank("secondary_id")
-    known = t.patients.select(F.col("id").alias("primary_id"), F.lit(True).alias("_known"))
-    judged = mapping.join(known, "primary_id", "left")
+    judged = mapping.join(known_ids(t.patients, mapping, "primary_id"), "primary_id", "left")
     usable, refused = split_rejects(
         judged,
         (blank, "primary_id and secondary_ids required"),
         (F.col("_known").isNull(), "primary patient not found"),
-        (F.col("primary_id") == F.col("secondary_id"), "primary is among the secondaries"),
+        (F.col("primary_id") == F.col("secondary_id"), "primary is among the secondaries"), once=True,
     )
     usable, refused = usable.drop("_known"), refused.drop("_known")
     moves, cyclic = resolve_mapping(usable)
@@ -180,4 +180,5 @@ def merge_patients(t: Tables, mapping: DataFrame) -> Outcome:
         revenue=moved(t.revenue),
         patients=t.patients.join(gone, "id", "left_anti"),
     )
-    return Outcome(tables, refused.unionByName(cycles, allowMissingColumns=True), usable)
+    rejects = refused.unionByName(cycles, allowMissingColumns=True)
+    return Outcome(tables, rejects, usable, changed=("leads", "appointments", "revenue", "patients"))

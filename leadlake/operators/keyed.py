@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadlake.functions import semantics as S
+from leadlake.functions.lookup import among
 from leadlake.functions.reliability import small_side
 from leadlake.operators.outcome import split_rejects
 from leadlake.schema import ENUMS, REFERENCES, SETS, TABLES, not_null
@@ -47,11 +48,11 @@ _LARGE = {"patients", "leads", "interactions", "appointments", "revenue"}
 
 def known_ids(target: DataFrame, batch: DataFrame, key: str, large: bool = True) -> DataFrame:
     """Target ids a batch names, as ``key`` with a ``_known`` mark. For a large target the
-    batch's ids go to the target (broadcast while small), not the target to the batch."""
-    ids = target.select(F.col("id").alias(key))
+    batch's ids go to the target, and those found come back broadcast while they are few."""
+    ids = target.select("id")
     if large:
-        ids = ids.join(small_side(batch.select(key).where(F.col(key).isNotNull()).distinct()), key, "left_semi")
-    return ids.withColumn("_known", F.lit(True))
+        ids = small_side(among(ids, "id", batch.select(key)))
+    return ids.select(F.col("id").alias(key), F.lit(True).alias("_known"))
 
 
 def empty_rules(table: str, batch: DataFrame, fields: Sequence[str]) -> list[Rule]:

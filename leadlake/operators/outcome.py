@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from types import MappingProxyType
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -12,11 +14,17 @@ from leadlake.sources.tables import Tables
 
 
 class Outcome(NamedTuple):
-    """New tables, refused input rows (with ``reason``) and the accepted input rows."""
+    """New tables, refused input rows (with ``reason``) and the accepted input rows.
+
+    ``appended`` holds the new rows of tables that only grew, ``changed`` names the tables with
+    updated or deleted rows: what a sink has to write.
+    """
 
     tables: Tables
     rejects: DataFrame
     accepted: DataFrame
+    appended: Mapping[str, DataFrame] = MappingProxyType({})
+    changed: tuple[str, ...] = ()
 
 
 def split_rejects(

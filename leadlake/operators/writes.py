@@ -1,8 +1,9 @@
 """Write jobs: intake, updates, upserts and deletes over whole batches.
 
 Each job takes the tables and a batch and returns an :class:`Outcome`: the new
-tables, the refused rows with their reason, and the accepted rows. Batches carry a
-unique whole number ``seq``: the order in which single requests would have come.
+tables, the refused rows with their reason, the accepted rows, and what was appended to or
+changed in which table. Batches carry a unique whole number ``seq``: the order in which
+single requests would have come.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from leadlake.functions import semantics as S
 from leadlake.functions.numbering import running_number
+from leadlake.functions.lookup import among
 from leadlake.functions.reliability import checkpointed, small_side
 from leadlake.operators import stage_engine as G
 from leadlake.operators.keyed import (
@@ -22,7 +24,7 @@ from leadlake.operators.keyed import (
 )
 from leadlake.operators.outcome import Outcome, split_rejects
 from leadlake.schema import LEAD_STAGES, REFERENCES
-from leadlake.sources.tables import Tables, apply_defaults, finish
+from leadlake.sources.tables import BY_PHONE, Tables, apply_defaults, finish
 
 # --- fixed values: fields an update may set ---
 LEAD_FIELDS = (
@@ -133,14 +135,14 @@ def ingest_leads(t: Tables, batch: DataFrame, as_of, make_id: MakeId | None = No
             placed = placed.withColumnRenamed(short, name)
     leads = _complete(placed.drop("_old", "_new", "_phone"), "leads", as_of, make_id)
     tables = t.replace(patients=_append(t.patients, patients), leads=_append(t.leads, leads))
-    return Outcome(tables, rejects, leads)
+    return Outcome(tables, rejects, leads, {"patients": patients, "leads": leads})
 
 
 def update_leads(t: Tables, patch: DataFrame, as_of) -> Outcome:
     leads, rejects, ok = patch_rows(
-        t, "leads", patch, LEAD_FIELDS, as_of, "Lead not found", "No valid fields to update"
+        t, "leads", patch, LEAD_FIELDS, as_of, "unknown lead", "nothing to set"
     )
-    return Outcome(t.replace(leads=leads), rejects, ok)
+    return Outcome(t.replace(leads=leads), rejects, ok, changed=("leads",))
 
 
 def change_stage(t: Tables, batch: DataFrame, as_of=None) -> Outcome:
@@ -148,19 +150,20 @@ def change_stage(t: Tables, batch: DataFrame, as_of=None) -> Outcome:
     ok, bad = split_rejects(
         batch,
         (S.is_blank("stage"), "stage required"),
-        (~F.col("stage").isin(*LEAD_STAGES), "Invalid stage"),
+        (~F.col("stage").isin(*LEAD_STAGES), "stage is not in the list"),
     )
-    ok, missing = require_row(t.leads, ok, "Lead not found")
+    ok, missing = require_row(t.leads, ok, "unknown lead", once=True)
     events = G.change_events(
         ok.withColumnRenamed("id", "lead_id"), F.col("stage"), F.coalesce(S.blank_to_null("substage"), F.col("stage"))
     )
-    return Outcome(t.replace(leads=G.advance(t.leads, events, as_of)), join_rejects(bad, missing), ok)
+    leads = G.advance(t.leads, events, as_of, batch=True)
+    return Outcome(t.replace(leads=leads), join_rejects(bad, missing), ok, changed=("leads",))
 
 
 def save_ai(t: Tables, batch: DataFrame, as_of) -> Outcome:
     """Store scores (``id``, ``seq``, ``ai_score``, ``ai_priority``, ``ai_reason``, ``ai_next_action``)."""
     ok, bad = split_rejects(batch, *enum_rules("leads", batch))
-    ok, missing = require_row(t.leads, ok, "Lead not found")
+    ok, missing = require_row(t.leads, ok, "unknown lead")
     new = {
         "ai_score": F.col("b_ai_score").cast("int"),
         "ai_priority": S.lower_value(F.coalesce(S.blank_to_null("b_ai_priority"), F.lit("medium"))),
@@ -168,27 +171,33 @@ def save_ai(t: Tables, batch: DataFrame, as_of) -> Outcome:
         "ai_next_action": S.blank_to_null("b_ai_next_action"),
     }
     leads = update_rows(t.leads, last_per_key(ok, ["id"]), new, as_of)
-    return Outcome(t.replace(leads=leads), join_rejects(bad, missing), ok)
+    return Outcome(t.replace(leads=leads), join_rejects(bad, missing), ok, changed=("leads",))
 
 
-def _referenced(t: Tables, column: str, among: DataFrame) -> DataFrame:
+def _referenced(t: Tables, column: str, wanted: DataFrame) -> DataFrame:
     """Those of the given ids that appointments or bills point to."""
-    used = t.appointments.select(F.col(column).alias("id")).unionByName(t.revenue.select(F.col(column).alias("id")))
-    return used.join(among.select("id"), "id", "left_semi").distinct().withColumn("_used", F.lit(True))
+    found = [among(t[table].select(column), column, wanted.select("id")) for table in ("appointments", "revenue")]
+    used = found[0].unionByName(found[1]).select(F.col(column).alias("id"))
+    return small_side(used.distinct().withColumn("_used", F.lit(True)))
 
 
 def _by_phone(t: Tables, batch: DataFrame) -> DataFrame:
-    """Ids of the patients whose phone a batch names, by phone key."""
-    asked = batch.select("_phone").distinct()
-    return t.patients.select(S.ci_key("primary_phone").alias("_phone"), F.col("id").alias("_old")).join(
-        asked, "_phone", "left_semi"
-    )
+    """Ids of the patients whose phone a batch names, by phone key.
+
+    Patients with a stored plain key are looked up by it first; then, as always, phones are compared.
+    """
+    patients = t.patients
+    if BY_PHONE in t:
+        patients = among(t[BY_PHONE], "phone_key", batch.select(S.phone_key("primary_phone").alias("phone_key")))
+    asked = small_side(batch.select("_phone").distinct())
+    met = patients.select(S.ci_key("primary_phone").alias("_phone"), F.col("id").alias("_old")).join(asked, "_phone", "left_semi")
+    return small_side(met)
 
 
 def delete_leads(t: Tables, ids: DataFrame) -> Outcome:
     """Delete leads with their interactions; leads with appointments or bills are refused."""
     wanted = ids.select("id").distinct()
-    known, missing = require_row(t.leads, wanted, "Lead not found", once=True)
+    known, missing = require_row(t.leads, wanted, "unknown lead", once=True)
     ok, blocked = split_rejects(
         known.join(_referenced(t, "lead_id", known), "id", "left"),
         (F.col("_used").isNotNull(), "lead has appointments or revenue"), once=True,
@@ -197,7 +206,7 @@ def delete_leads(t: Tables, ids: DataFrame) -> Outcome:
     tables = t.replace(
         leads=without_ids(t.leads, ok), interactions=without_ids(t.interactions, ok, column="lead_id")
     )
-    return Outcome(tables, join_rejects(missing, blocked.drop("_used")), ok)
+    return Outcome(tables, join_rejects(missing, blocked.drop("_used")), ok, changed=("leads", "interactions"))
 
 
 # --- interactions ----------------------------------------------------------------------
@@ -213,18 +222,19 @@ def ingest_interactions(
         own = F.col("agent_id") if "agent_id" in batch.columns else F.lit(None)
         batch = batch.withColumn("agent_id", F.coalesce(S.blank_to_null(own), F.lit(actor)).cast(
             t.interactions.schema["agent_id"].dataType))
-    ok, rejects = check_batch(t, "interactions", batch, ("lead_id", "outcome"), "outcome is required", fresh=True)
+    ok, rejects = check_batch(t, "interactions", batch, ("lead_id", "outcome"), "lead or outcome is missing", fresh=True)
     rows = _complete(ok, "interactions", as_of, make_id)
     kept = ok.select("lead_id", "seq", "interaction_type", "outcome",
                      F.col("followup_date").cast("date").alias("followup_date"))
-    leads = G.advance(t.leads, G.interaction_events(kept, "seq"), as_of)
-    return Outcome(t.replace(interactions=_append(t.interactions, rows), leads=leads), rejects, rows)
+    leads = G.advance(t.leads, G.interaction_events(kept, "seq"), as_of, batch=True)
+    tables = t.replace(interactions=_append(t.interactions, rows), leads=leads)
+    return Outcome(tables, rejects, rows, {"interactions": rows}, ("leads",))
 
 
 def delete_interactions(t: Tables, ids: DataFrame) -> Outcome:
     """Delete interactions; attempt counts stay as they are."""
-    ok, missing = require_row(t.interactions, ids.select("id").distinct(), "Interaction not found")
-    return Outcome(t.replace(interactions=without_ids(t.interactions, ok)), missing, ok)
+    ok, missing = require_row(t.interactions, ids.select("id").distinct(), "unknown interaction")
+    return Outcome(t.replace(interactions=without_ids(t.interactions, ok)), missing, ok, changed=("interactions",))
 
 
 def log_emails(t: Tables, deliveries: DataFrame, as_of, make_id: MakeId | None = None) -> Outcome:
@@ -245,7 +255,8 @@ def log_emails(t: Tables, deliveries: DataFrame, as_of, make_id: MakeId | None =
         }),
         "interactions", as_of, make_id,
     )
-    return Outcome(t.replace(interactions=_append(t.interactions, rows)), join_rejects(failed, unknown), rows)
+    tables = t.replace(interactions=_append(t.interactions, rows))
+    return Outcome(tables, join_rejects(failed, unknown), rows, {"interactions": rows})
 
 
 # --- appointments and revenue ----------------------------------------------------------
@@ -266,14 +277,14 @@ def book_appointments(t: Tables, batch: DataFrame, as_of, make_id: MakeId | None
     tables = t.replace(
         appointments=_append(t.appointments, rows), leads=_to_customers(t, rows, G.BOOKED, as_of)
     )
-    return Outcome(tables, rejects, rows)
+    return Outcome(tables, rejects, rows, {"appointments": rows}, ("leads",))
 
 
 def set_visit_status(t: Tables, batch: DataFrame, as_of) -> Outcome:
     """Visit status changes (``id``, ``seq``, ``visit_status``, ``notes``). The last status and the
     last non-empty note per appointment stay; a visit makes its lead a customer."""
     ok, bad = split_rejects(batch, (S.is_blank("visit_status"), "visit_status required"), *enum_rules("appointments", batch))
-    ok, missing = require_row(t.appointments, ok, "Appointment not found")
+    ok, missing = require_row(t.appointments, ok, "unknown appointment", once=True)
     seq = F.col("seq")
     latest = ok.groupBy("id").agg(
         F.max_by("visit_status", seq).alias("status"),
@@ -283,12 +294,12 @@ def set_visit_status(t: Tables, batch: DataFrame, as_of) -> Outcome:
     new = {
         "visit_status": S.lower_value("b_status"), "notes": F.coalesce(F.col("b_notes"), F.col("notes")),
     }
-    visited = t.appointments.select("id", "lead_id").join(latest.where("visited").select("id"), "id", "left_semi")
+    visited = among(t.appointments.select("id", "lead_id"), "id", latest.where("visited").select("id"))
     tables = t.replace(
         appointments=update_rows(t.appointments, latest, new, as_of),
         leads=_to_customers(t, visited, G.VISITED, as_of),
     )
-    return Outcome(tables, join_rejects(bad, missing), ok)
+    return Outcome(tables, join_rejects(bad, missing), ok, changed=("appointments", "leads"))
 
 
 def post_revenue(t: Tables, batch: DataFrame, as_of, make_id: MakeId | None = None) -> Outcome:
@@ -304,7 +315,7 @@ def post_revenue(t: Tables, batch: DataFrame, as_of, make_id: MakeId | None = No
     ok = ok.withColumns({c: F.col(c).cast("string").try_cast("decimal(12,2)") for c in amounts})
     rows = _complete(ok, "revenue", as_of, make_id)
     tables = t.replace(revenue=_append(t.revenue, rows), leads=_to_customers(t, rows, G.BILLED, as_of))
-    return Outcome(tables, rejects, rows)
+    return Outcome(tables, rejects, rows, {"revenue": rows}, ("leads",))
 
 
 # --- patients --------------------------------------------------------------------------
@@ -313,35 +324,33 @@ def post_revenue(t: Tables, batch: DataFrame, as_of, make_id: MakeId | None = No
 def create_patients(t: Tables, batch: DataFrame, as_of, make_id: MakeId | None = None) -> Outcome:
     """New patients; a phone that exists, or came earlier in the batch, is refused."""
     make_id = make_id or stable_ids(as_of)
-    ok, bad = check_batch(t, "patients", batch, ("full_name", "primary_phone"), "Name and phone required")
+    ok, bad = check_batch(t, "patients", batch, ("full_name", "primary_phone"), "name or phone is missing")
     ok = ok.withColumn("_phone", S.ci_key("primary_phone"))
     met = checkpointed(ok.join(_by_phone(t, ok), "_phone", "left"))
     first = S.first_per_key(met.where("_old IS NULL"), ["_phone"], F.col("seq"))
     accepted = first.drop("_phone", "_old")
     taken = met.join(accepted.select("seq"), "seq", "left_anti").withColumn(
-        "reason", F.lit("Patient with this phone already exists")
+        "reason", F.lit("phone is taken")
     )
     rows = _new_patients(t, accepted, as_of, make_id)
     return Outcome(
         t.replace(patients=_append(t.patients, rows)),
-        join_rejects(bad, taken.select(*batch.columns, "reason")), rows,
+        join_rejects(bad, taken.select(*batch.columns, "reason")), rows, {"patients": rows},
     )
 
 
 def update_patients(t: Tables, patch: DataFrame, as_of) -> Outcome:
     patients, rejects, ok = patch_rows(
-        t, "patients", patch, PATIENT_FIELDS, as_of, "Patient not found", "No fields to update"
+        t, "patients", patch, PATIENT_FIELDS, as_of, "unknown patient", "nothing to set"
     )
-    return Outcome(t.replace(patients=patients), rejects, ok)
+    return Outcome(t.replace(patients=patients), rejects, ok, changed=("patients",))
 
 
 def delete_patients(t: Tables, ids: DataFrame) -> Outcome:
     """Delete patients with their leads and those leads' interactions; refused while
     appointments or bills point to the patient or to one of the leads."""
-    wanted, missing = require_row(t.patients, ids.select("id").distinct(), "Patient not found", once=True)
-    own = t.leads.select("id", "patient_id").join(
-        wanted.select(F.col("id").alias("patient_id")), "patient_id", "left_semi"
-    )
+    wanted, missing = require_row(t.patients, ids.select("id").distinct(), "unknown patient", once=True)
+    own = checkpointed(among(t.leads.select("id", "patient_id"), "patient_id", wanted.select("id")))
     by_lead = own.join(_referenced(t, "lead_id", own), "id", "left_semi").select(F.col("patient_id").alias("id"))
     used = by_lead.unionByName(_referenced(t, "patient_id", wanted).select("id")).distinct().withColumn("_used", F.lit(True))
     ok, blocked = split_rejects(
@@ -355,7 +364,7 @@ def delete_patients(t: Tables, ids: DataFrame) -> Outcome:
         leads=without_ids(t.leads, ok, column="patient_id"),
         interactions=without_ids(t.interactions, gone, column="lead_id"),
     )
-    return Outcome(tables, join_rejects(missing, blocked.drop("_used")), ok)
+    return Outcome(tables, join_rejects(missing, blocked.drop("_used")), ok, changed=("patients", "leads", "interactions"))
 
 
 # --- directory -------------------------------------------------------------------------
@@ -395,7 +404,7 @@ def _upsert_directory(
         )
         new = {c: F.coalesce(typed(F.col(f"b_{c}"), table, c, target), F.col(c)) for c in fields}
     after = update_rows(target, latest.select("id", *fields), new, as_of)
-    return Outcome(t.replace(**{table: _append(after, rows)}), join_rejects(bad, missing, broken), rows)
+    return Outcome(t.replace(**{table: _append(after, rows)}), join_rejects(bad, missing, broken), rows, changed=(table,))
 
 
 def upsert_facilities(t: Tables, batch: DataFrame, mode: str, as_of, make_id: MakeId | None = None) -> Outcome:
@@ -426,8 +435,8 @@ def upsert_doctors(t: Tables, batch: DataFrame, mode: str, as_of, make_id: MakeI
 def upsert_users(t: Tables, batch: DataFrame, mode: str, as_of, make_id: MakeId | None = None) -> Outcome:
     """Users; an e-mail that exists is refused. Password hashes arrive ready-made."""
     return _upsert_directory(
-        t, "users", batch, mode, ("name", "email", "password_hash"), "Name, email and password required",
-        ("name", "role", "is_active"), as_of, make_id, unique="email", taken_text="Email already registered",
+        t, "users", batch, mode, ("name", "email", "password_hash"), "name, e-mail or password is missing",
+        ("name", "role", "is_active"), as_of, make_id, unique="email", taken_text="e-mail is taken",
     )
 
 
@@ -447,7 +456,7 @@ def upsert_ad_spend(t: Tables, batch: DataFrame, as_of, month: str | None = None
     last = last_per_key(rows, [S.ci_key("channel"), S.ci_key("month")])
     full = apply_defaults(last, "ad_spend", as_of)
     spend = upsert(t.ad_spend, full, ["channel", "month"], "ad_spend", ["monthly_spend"], as_of)
-    return Outcome(t.replace(ad_spend=spend), join_rejects(bad, overflow), rows)
+    return Outcome(t.replace(ad_spend=spend), join_rejects(bad, overflow), rows, changed=("ad_spend",))
 
 
 def upsert_webhooks(t: Tables, batch: DataFrame, as_of, actor=None) -> Outcome:
@@ -459,7 +468,7 @@ def upsert_webhooks(t: Tables, batch: DataFrame, as_of, actor=None) -> Outcome:
     })
     full = apply_defaults(rows, "webhooks", as_of)
     hooks = upsert(t.webhooks, full, ["event_type"], "webhooks", ["url", "is_active"], as_of)
-    return Outcome(t.replace(webhooks=hooks), bad, ok)
+    return Outcome(t.replace(webhooks=hooks), bad, ok, changed=("webhooks",))
 
 
 def disable_webhooks(t: Tables, events: DataFrame, as_of) -> Outcome:
@@ -469,7 +478,7 @@ def disable_webhooks(t: Tables, events: DataFrame, as_of) -> Outcome:
     new = {"is_active": F.when(F.col("_off"), F.lit(False)).otherwise(F.col("is_active"))}
     hooks = with_changes(joined, t.webhooks.columns, new, as_of)
     none = events.limit(0).withColumn("reason", F.lit("").cast("string"))
-    return Outcome(t.replace(webhooks=hooks), none, events)
+    return Outcome(t.replace(webhooks=hooks), none, events, changed=("webhooks",))
 
 
 def email_settings(batch: DataFrame, default_name: str = "CRM") -> DataFrame:
@@ -491,7 +500,7 @@ def upsert_settings(t: Tables, batch: DataFrame, as_of) -> Outcome:
     )
     full = apply_defaults(last_per_key(ok, [S.ci_key("setting_key")]), "system_settings", as_of)
     settings = upsert(t.system_settings, full, ["setting_key"], "system_settings", ["setting_value"], as_of)
-    return Outcome(t.replace(system_settings=settings), bad, ok)
+    return Outcome(t.replace(system_settings=settings), bad, ok, changed=("system_settings",))
 
 
 def read_settings(t: Tables, schema: str = "from_email string, from_name string") -> DataFrame:
@@ -499,5 +508,3 @@ def read_settings(t: Tables, schema: str = "from_email string, from_name string"
     return t.system_settings.select("setting_key", F.from_json("setting_value", schema).alias("v")).select(
         "setting_key", "v.*"
     )
-
-

@@ -19,6 +19,10 @@ from leadlake.functions.reliability import checkpointed
 from leadlake.schema import AS_OF, ENUMS, SETS, TABLES, columns, has_id, spark_type, struct_type
 
 
+#: Name under which a frame for phone look-ups may stand among the tables of a job.
+BY_PHONE = "patients_by_phone"
+
+
 class Tables(Mapping):
     """The tables of one snapshot, as DataFrames, built when first used."""
 
@@ -161,7 +165,7 @@ def committed_versions(spark: SparkSession, path: str) -> list[int]:
 
 #: Columns by which committed files are clustered, so that ranges of dates skip most of them.
 CLUSTERS = {
-    "leads": ("enquiry_date",), "appointments": ("appointment_date",), "revenue": ("billed_date",), "audit_logs": ("created_at",),
+    "leads": ("enquiry_date",), "interactions": ("interaction_date",), "appointments": ("appointment_date",), "revenue": ("billed_date",), "audit_logs": ("created_at",),
 }
 
 

@@ -58,7 +58,7 @@ def test_absent_null_and_later_fields(spark, t):
     assert (after["campaign_name"], after["urgency"], after["doctor_id"]) == (None, "low", lead["doctor_id"])
     assert after["lead_stage"] == lead["lead_stage"]
     reasons = {r["seq"]: r["reason"] for r in done.rejects.collect()}
-    assert reasons == {3: "No valid fields to update", 4: "unknown doctor_id", 5: "facility_id must not be empty", 6: "Lead not found",
+    assert reasons == {3: "nothing to set", 4: "unknown doctor_id", 5: "facility_id must not be empty", 6: "unknown lead",
                        7: "invalid urgency", 8: "invalid followup_date"}
     assert after["lead_medium"] == ""
 

@@ -3,9 +3,9 @@
 A merge can only join two neighbouring bytes if some vocabulary token holds them
 side by side. Where a text's neighbouring bytes never meet inside any token, a
 token boundary is certain; the fragments between such places are encoded on
-their own and their ids are put together again. Fragments, words and pieces are
-short and come again and again, so what becomes of them is remembered per Python
-worker within a bound.
+their own and their ids are put together again. ``round_trip`` works on whole Arrow
+batches, each different fragment once (``bpe_batch``); ``encode`` goes text by text, and
+remembers what becomes of fragments, words and pieces per Python worker within a bound.
 
 Nulls encode as empty texts: no ids, decoded to the empty text. Rows are handled
 one by one; repeated rows, empty tables and very long texts need no special case
@@ -16,24 +16,26 @@ replaced by it.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import chain, repeat
-from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadlake.llm.apart import Apart
 from leadlake.llm.bpe import ID, Remembered, Vocabulary, pieces, vocabulary
+from leadlake.llm.bpe_batch import Merger, Ragged, cut, joined, per_text
 from leadlake.llm.ship import ship_code
 
 #: Bytes up to which a fragment is merged by looking through all its ranks.
 SHORT = 48
-#: Pieces remembered by ``round_trip`` per Python worker and generation, some 300 bytes each.
-PIECES = 400_000
 #: Stands for no merge; larger than any rank and id.
 NO_MERGE = 1 << 62
 
+ROUND_TRIP = ("n_tokens", "ids_sha256", "decoded_sha256")
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -51,7 +53,10 @@ class Codec:
         self.fragment = Remembered(self._fragment)
         self.word = Remembered(self._word)
         self.spaced = Remembered(lambda piece: self._piece(" " + piece))
-        self.spaced_both_ways = Remembered(lambda piece: self._both_ways(self._piece(" " + piece)), PIECES)
+        self.merger = Merger(vocab)
+        every = range(max(vocab.token_bytes) + 1)
+        self.shown = pa.array([str(i) for i in every], pa.large_string())
+        self.held = pa.array([vocab.token_bytes.get(i, b"") for i in every], pa.large_binary())
 
     def fragments(self, word: str) -> list[str]:
         """Cut a word (in the file's printable form) where two bytes meet that meet in no token."""
@@ -89,10 +94,6 @@ class Codec:
         words = self.vocab.words(piece)
         return tuple(chain.from_iterable(map(self.word.__getitem__, words))) if len(words) != 1 else self.word[words[0]]
 
-    def _both_ways(self, ids: Sequence[int]) -> tuple[str, bytes]:
-        """The ids as decimals, and the bytes they decode to."""
-        return self.decimals(ids), self.bytes_of(ids)
-
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
         for k, part in enumerate(self.vocab.parts(text)):
@@ -113,21 +114,29 @@ class Codec:
     def decimals(self, ids: Sequence[int]) -> str:
         return ",".join(map(self.vocab.decimal.__getitem__, ids))
 
-    def both_ways(self, text: str) -> tuple[str, str]:
-        """``decimals(encode(text))`` and ``decode(encode(text))``, put together from the same of its pieces.
+    def both_ways(self, texts: pa.Array) -> list[tuple[int, str, str]]:
+        """Per text: number of ids, ids as decimals joined by commas, and the text they decode to."""
+        return per_text(texts, self.vocab, self._plain_both_ways, self._one_both_ways)
+
+    def _one_both_ways(self, text: str) -> tuple[int, str, str]:
+        ids = self.encode(text)
+        return len(ids), self.decimals(ids), self.decode(ids)
+
+    def _plain_both_ways(self, texts: pa.Array) -> Iterator[tuple[int, str, str]]:
+        """Ids of the different pieces, then decimals and bytes of these, then of the texts.
 
         Bytes are put together before they are decoded, as a character may lie across tokens.
         """
-        found: list[tuple[str, bytes]] = []
-        for k, part in enumerate(self.vocab.parts(text)):
-            if k % 2:
-                found.append(self._both_ways([self.vocab.added[part]]))
-            elif part:
-                first, *rest = pieces(part)
-                if first:
-                    found.append(self._both_ways(self._piece(first)))
-                found.extend(map(self.spaced_both_ways.__getitem__, rest))
-        return ",".join(map(itemgetter(0), found)), b"".join(map(itemgetter(1), found)).decode("utf-8", "replace")
+        pieces, index, ends = cut(texts)
+        ids = self.merger.pieces(pieces)
+        sizes = np.diff(ids.ends)
+        n = np.add.reduceat(sizes[index], ends[:-1])
+        used = sizes[index] > 0  # an empty first piece has no ids, and no comma
+        lists = Ragged(index[used], np.concatenate(([0], np.cumsum(used)))[ends])
+        listed = joined(joined(self.shown, ids, ","), lists, ",")
+        back = joined(joined(self.held, ids, b""), lists, b"")
+        for k, decimals, raw in zip(n.tolist(), listed.to_pylist(), back.to_pylist(), strict=True):
+            yield k, decimals, raw.decode("utf-8", "replace")
 
 
 def codec(path: str) -> Codec:
@@ -171,16 +180,17 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
     def digests(texts: pa.Array) -> pa.Array:
-        coder, rows = codec(path), []
-        for x in texts:
-            listed, back = coder.both_ways(x.as_py() or "")
-            n = listed.count(",") + 1 if listed else 0
-            rows.append((n, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
-        n, listed, back = zip(*rows, strict=True) if rows else ((), (), ())
+        told = codec(path).both_ways(texts)
+        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
         return pa.StructArray.from_arrays(
-            [pa.array(n, pa.int64()), pa.array(listed, pa.string()), pa.array(back, pa.string())],
+            [
+                pa.array([n for n, _, _ in told], pa.int64()),
+                pa.array([digest(ids) for _, ids, _ in told], pa.string()),
+                pa.array([digest(back) for _, _, back in told], pa.string()),
+            ],
             ["n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
-    coded = docs.withColumn("_coded", digests(F.col(text)))
-    return coded.withColumns({c: F.col(f"_coded.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("_coded")
+    held = Apart(docs)
+    told = held.df.withColumn("told", digests(F.col(held[text])))
+    return held.back(told, {c: F.col("told")[c] for c in ROUND_TRIP})

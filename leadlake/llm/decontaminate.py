@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlake.functions.reliability import checkpointed, small_side
+from leadlake.llm.apart import Apart
 from leadlake.llm.text import matches, places, spans
 
 #: Words of the index: anything but ASCII characters that are no digits or letters.
@@ -132,7 +133,10 @@ def contamination(
 
     A text is contaminated if at least one in ``share`` of its words is hit.
     """
-    anchors = checkpointed(rare_places(item_windows(items, item, item_text, width), docs, text))
+    held = Apart(docs)
+    docs, text = held.df, held[text]
+    items = items.select(F.col(item).alias("item_id"), F.col(item_text).alias("text"))
+    anchors = checkpointed(rare_places(item_windows(items, "item_id", "text", width), docs, text))
     found = checkpointed(alignments(postings(docs, anchors, text), anchors))
     hits = checkpointed(exact_hits(docs, found, anchors, text))
     earlier = Window.partitionBy("digest").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
@@ -140,11 +144,15 @@ def contamination(
     covered = stretches.groupBy("digest").agg(F.sum(F.greatest(F.col("end") - F.greatest("start", "upto"), F.lit(0))).alias("n_hit"))
     listed = hits.where("item is not null").groupBy("digest").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("item_ids"))
     told = small_side(covered.join(listed, "digest", "left").withColumnRenamed("digest", "_digest"))
-    kept = [c for c in docs.columns if c not in ("n_words", "n_hit", "n_items", "item_ids", "contaminated")]
     out = docs.withColumn("n_words", F.size(terms(text)).cast("long")).withColumn("_key", _digest(text)).join(told, F.col("_key") == F.col("_digest"), "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return out.withColumns({"n_hit": hit, "item_ids": ids}).select(
-        *kept, "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids",
-        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-    )
+    told = out.withColumns({"n_hit": hit, "item_ids": ids})
+    enough = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
+    return held.back(told, {"n_words": "n_words", "n_hit": "n_hit", "n_items": F.size("item_ids").cast("long"), "item_ids": "item_ids", "contaminated": enough})
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated (see :func:`contamination`), with all their columns as they were."""
+    held = Apart(docs)
+    return held.back(contamination(held.df, items, held[text], **options).where(~F.col("contaminated")))

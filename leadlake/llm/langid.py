@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadlake.llm.apart import Apart
 from leadlake.llm.ship import ship_code
 
 UNKNOWN = "und"
@@ -229,5 +230,6 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFr
         scores = np.where(known, np.clip(means.max(axis=1, initial=0.0), 0, 1), 0.0)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    told = docs.withColumn("_p", predicted(F.col(text)))
-    return told.withColumn("lang_pred", F.col("_p.lang_pred")).withColumn("score", F.col("_p.score")).drop("_p")
+    held = Apart(docs)
+    told = held.df.withColumn("told", predicted(F.col(held[text])))
+    return held.back(told, {c: F.col("told")[c] for c in ("lang_pred", "score")})

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.functions.reliability import checkpointed, small_side
+from leadlake.llm.apart import Apart
 from leadlake.llm.text import let, no_spans, places, running_totals, spans
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -185,14 +186,17 @@ def confident_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def personal_data(docs: DataFrame, keep: list[str], text: str = "text", out: str = "pii") -> DataFrame:
     """The ``keep`` columns of each row and its spans as ``out``, an array of (start, kind, end); kind is a place in ``KINDS``."""
-    found = occurrences(docs, text, keep)
+    held = Apart(docs.select(*dict.fromkeys([*keep, text])))
+    own = [held[c] for c in keep]
+    found = occurrences(held.df, held[text], own)
     patterns = small_side(confident_patterns(graph(found)))
     told = found.select("digest", F.explode("candidates").alias("o")).select("digest", "o.start", "o.kind", "o.end", "o.pattern")
     new = told.join(patterns, "pattern", "left_semi").groupBy("digest").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("_new"))
     base = F.transform("base", lambda o: F.struct(o["start"].alias("start"), o["kind"].alias("kind"), o["end"].alias("end")))
     none = F.array().cast("array<struct<start: int, kind: int, end: int>>")
     joined = found.join(small_side(new), "digest", "left")
-    return joined.select(*keep, F.sort_array(F.concat(base, F.coalesce("_new", none))).alias(out))
+    spans_ = F.sort_array(F.concat(base, F.coalesce("_new", none))).alias(out)
+    return joined.select(*[F.col(c).alias(name) for c, name in zip(own, keep, strict=True) if name != out], spans_)
 
 
 def listed(found: Column) -> Column:

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlake.functions.reliability import BROADCAST_ROWS, checkpointed
+from leadlake.llm.apart import Apart
 from leadlake.llm.text import let, places, words_of
 
 WINDOW = 8
@@ -219,6 +220,8 @@ def judged(stats: DataFrame, found: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass both the fixed rules and their group's estimate, with their columns."""
-    stats = checkpointed(with_statistics(docs.select("lang", "source", text), text).select("lang", "source", DIGEST, *STATISTICS))
+    held = Apart(docs)
+    rows = held.df.withColumns({c: F.col(held[c]) for c in ("lang", "source")})
+    stats = checkpointed(with_statistics(rows.select("lang", "source", held[text]), held[text]).select("lang", "source", DIGEST, *STATISTICS))
     found = estimates(stats)
-    return judged(with_statistics(docs, text), found).where("kept").select(*docs.columns)
+    return held.back(judged(with_statistics(rows, held[text]), found).where("kept"))

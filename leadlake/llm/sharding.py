@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadlake.functions.reliability import ensure_checkpoint_dir
+from leadlake.llm.apart import Apart
 from leadlake.llm.text import let
 
 SLOTS = 4096
@@ -133,8 +134,9 @@ def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str
 
     Both versions of the map are stored below ``path``.
     """
-    spark = docs.sparkSession
+    spark, held = docs.sparkSession, Apart(docs)
     store = SlotMap(spark, path or shared_folder(spark))
-    records = with_slots(docs, key, text, slots)
+    records = with_slots(held.df, held[key], held[text], slots)
     current = store.save(0, first_map(spark, shards, slots))
-    return sharded(records, store.save(1, rebalanced(current, slot_loads(records, slots), shards)), key)
+    dealt = sharded(records, store.save(1, rebalanced(current, slot_loads(records, slots), shards)), held[key])
+    return held.back(dealt, {c: c for c in ("virtual_slot", "size", "text_crc32", "shard", "slot")})

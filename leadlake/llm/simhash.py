@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.functions.reliability import checkpointed, small_side
+from leadlake.llm.apart import Apart
 from leadlake.llm.graph import components
 from leadlake.llm.ship import ship_code
 
@@ -168,7 +169,9 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     Only keys and digests are grouped. Rows to leave out are looked up by both, so texts
     are not shuffled while there are few of them; of rows that are equal in both, one stays.
     """
-    tagged = docs.withColumn("_d", F.md5(F.coalesce(text, F.lit(""))))
+    held = Apart(docs)
+    key, text = held[key], held[text]
+    tagged = held.df.withColumn("_d", F.md5(F.coalesce(text, F.lit(""))))
     found = near_duplicates(tagged, key, text, width, radius, ("_d",))
     each = checkpointed(found.groupBy("root", F.col(key).alias("_k"), F.col("_d").alias("_e")).agg(F.count("*").alias("_n")))
     place = F.struct(F.col("_k").isNull().alias("none"), F.col("_k").alias("k"), F.col("_e").alias("e"))
@@ -179,4 +182,4 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     rest = tagged.join(small_side(told.where(~first).select("_k", "_e")), same, "left_anti")
     repeated = small_side(told.where(first & (F.col("_n") > 1)).select("_k", "_e"))
     once = rest.join(repeated, same, "left_semi").dropDuplicates([key, "_d"])
-    return rest.join(repeated, same, "left_anti").union(once).select(*docs.columns)
+    return held.back(rest.join(repeated, same, "left_anti").union(once))

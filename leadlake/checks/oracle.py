@@ -224,5 +224,6 @@ IN_MONTHS = (
 def oracle_sql() -> dict[str, str]:
     every = {**VIEW_SQL, **DASHBOARD_SQL, **MORE_SQL, **WRITES_SQL, **DOCUMENT_SQL}
     # on month folders a job comes to the same rows
+    every["search_leads_indexed"] = every["search_leads"]
     every |= {f"{name}_in_months": every[name] for name in IN_MONTHS}
     return {k: with_fixtures(v) for k, v in every.items()}

@@ -63,6 +63,8 @@ LISTS = {
     "revenue_page": REVENUE + " order by r.billed_date desc, r.id limit 50",
     "revenue_list_summary": SUMMARY,
     "list_patients": "select * from c_patients",
+    "patient_search_indexed": """select * from c_patients where contains(lower(full_name), '10') or contains(primary_phone, '10')
+ or contains(coalesce(email, ''), '10')""",
     "patient_page": """select * from c_patients where contains(lower(full_name), '10') or contains(primary_phone, '10')
  or contains(coalesce(email, ''), '10') order by created_at desc, id limit 50""",
     "list_doctors": f"""select {DOCTOR_COLS}, sp.name as speciality_name, f.name as facility_name from c_doctors d

@@ -18,6 +18,7 @@ from leadlake.operators import integrity as I
 from leadlake.operators import listing as L
 from leadlake.operators import outbox as O
 from leadlake.operators import profiles as P
+from leadlake.operators import search as Q
 from leadlake.operators import stage_engine as G
 from leadlake.operators import views as V
 from leadlake.operators import writes as W
@@ -471,6 +472,14 @@ def _in_months(name: str) -> Query:
     return run
 
 
+def _indexed(spark: SparkSession, sf_dir: str, search: Callable[[Tables, Q.SearchIndex], DataFrame]) -> DataFrame:
+    """A search over patients of which half are indexed at first and the others added."""
+    t = load_fixture(spark, sf_dir)
+    early = F.col("id") % 2 == 0
+    index = Q.SearchIndex(spark, f"{_workspace(spark)}/search").build(t.patients.where(early)).add(t.patients.where(~early))
+    return search(t, index)
+
+
 def _months_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = load_fixture(spark, sf_dir)
     lake = PartitionedLake(spark, f"{_workspace(spark)}/lake", spark_schema, t)
@@ -494,6 +503,8 @@ _SESSION_QUERIES: dict[str, Query] = {
     "audit_stream": _audit_stream,
     "upsert_stream": _upsert_stream,
     "load_tables": _round_trip,
+    "search_leads_indexed": lambda spark, sf_dir: _indexed(spark, sf_dir, lambda t, i: Q.search_leads(t, i, "PATIENT 12")),
+    "patient_search_indexed": lambda spark, sf_dir: _indexed(spark, sf_dir, lambda t, i: Q.search_patients(t, i, "10")),
     "request_audit": _request_audit,
     **{f"{name}_in_months": _in_months(name) for name in _LAKE_JOBS},
     "merge_patients_in_months": _months_merge,

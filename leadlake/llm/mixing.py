@@ -40,10 +40,13 @@ from leadlake.llm.text import WORD, let, words_of
 
 WEIGHTS = (5, 2, 1)
 #: Rounds of the permutation (swap-or-not: any number of elements, no walking of cycles).
-ROUNDS = 32
-#: Rows about which a range of the hash is made to hold, and slots per exploded row.
-RANGE_ROWS = 50_000
+ROUNDS = 24
+#: Rows about which a range of the hash is made to hold.
+RANGE_ROWS = 4096
+#: Slots per exploded row and, up to ``MOST_TASKS``, per task.
 CHUNK = 4096
+TASK_SLOTS = 1 << 16
+MOST_TASKS = 10_000
 #: Pieces into which the sum of quotas is cut to find the source of a draw.
 CELLS = 4096
 
@@ -55,14 +58,17 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
     if a bit, hashed from the larger of both, says so.
     """
 
-    def turn(at: Column, r: Column) -> Column:
-        def swapped(other: Column) -> Column:
-            bit = F.xxhash64(*key, r, F.greatest(at, other)).bitwiseAND(F.lit(1).cast("long"))
-            return F.when(bit == 1, other).otherwise(at)
+    def rounds(k: Column) -> Column:
+        def turn(at: Column, r: Column) -> Column:
+            def swapped(other: Column) -> Column:
+                bit = F.xxhash64(k, r, F.greatest(at, other)).bitwiseAND(F.lit(1).cast("long"))
+                return F.when(bit == 1, other).otherwise(at)
 
-        return let(F.pmod(F.xxhash64(*key, r) % n - at, n), swapped)
+            return let(F.pmod(F.xxhash64(k, r) % n - at, n), swapped)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), turn)
+        return F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), x.cast("long"), turn)
+
+    return let(F.xxhash64(*key), rounds)
 
 
 def _upto(*parts: str, order: Sequence) -> Window:
@@ -174,7 +180,9 @@ def slots(counts: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     whole = F.sum("n").over(Window.partitionBy("shard"))
     told = counts.select("shard", "i", "n", by_source.alias("j"), by_shard.alias("p"), whole.alias("whole"))
     chunks = told.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {CHUNK}"))))
-    dealt = chunks.repartition("shard", "i", "chunk")
+    total = sources.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
+    # a number of tasks stated outright is not lowered for the few rows that become many here
+    dealt = chunks.repartition(min(MOST_TASKS, max(1, -(-total // TASK_SLOTS))), "shard", "i", "chunk")
     last = F.least(F.col("n") - 1, F.col("chunk") * CHUNK + CHUNK - 1)
     each = dealt.withColumn("t", F.explode(F.sequence(F.col("chunk") * CHUNK, last))).join(small_side(sources.select("i", "blocks")), "i")
     each = each.withColumns({"pass": F.expr("(j + t) div blocks"), "nth": F.expr("(j + t) % blocks")})

@@ -7,7 +7,7 @@ the refused rows.
 from __future__ import annotations
 
 from leadlake.checks.oracle_more import LOG_CHANGES, LOG_TALKS, MISSED, TALKS, state_sql
-from leadlake.schema import ENUMS, LEAD_STAGES
+from leadlake.schema import ENUMS, LEAD_STAGES, TABLES, columns
 
 NEW = 1_000_000_000_000
 AS_OF = "timestamp '2001-08-01'"
@@ -492,6 +492,14 @@ def line(*parts: str) -> str:
 TEXT_JOIN = """c_leads l join c_patients p on p.id = l.patient_id join c_specialities sp on sp.id = l.speciality_id
  left join c_doctors d on d.id = l.doctor_id"""
 
+def contents(table: str) -> str:
+    """Rows of a table and a digest of all their values."""
+    names = columns(table) + (["total_value"] if table == "revenue" else [])
+    line = ", ".join(f"coalesce({c}::varchar, '-')" for c in names)
+    part = f"('0x' || substr(md5(concat_ws('|', {line})), 1, 8))::bigint"
+    return f"select '{table}' as table_name, count(*) as rows, coalesce(sum({part}), 0)::bigint as digest from c_{table}"
+
+
 WRITES_SQL: dict[str, str] = {
     "ingest_leads": INGEST,
     "update_leads": UPDATE_LEADS,
@@ -539,9 +547,7 @@ WRITES_SQL: dict[str, str] = {
  select upper(interaction_type), strftime(interaction_date, '%Y-%m'), arg_max(lead_id, id)::decimal(12,2) from c_interactions
  where (lower(interaction_type), strftime(interaction_date, '%Y-%m')) not in (select (channel, month) from c_ad_spend)
  group by 1, 2""",
-    "load_tables": """select 'leads' as table_name, lead_stage as part, count(*) as rows from c_leads group by lead_stage union all
- select 'doctors', part, count(*) from (select unnest(string_split(consult_type, ',')) as part from c_doctors) group by part
- union all select 'revenue', payment_status, (sum(total_value) * 100)::bigint from c_revenue group by payment_status""",
+    "load_tables": union(*map(contents, TABLES)),
     "fk_violations": FK,
     "orphans": f"with {BROKEN} select id, patient_id from bl where patient_id not in (select id from bp)",
     "enum_violations": f"with {BROKEN} {DOMAIN}",

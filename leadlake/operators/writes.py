@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.functions import semantics as S
@@ -443,6 +443,11 @@ def upsert_users(t: Tables, batch: DataFrame, mode: str, as_of, make_id: MakeId
 # --- settings --------------------------------------------------------------------------
 
 
+def _key_id(table: str, *key: str) -> Column:
+    """The id of a new row: a hash of its key, the same on every run."""
+    return F.md5(F.concat_ws("|", F.lit(table), *[F.lower(F.rtrim(c)) for c in key]))
+
+
 def upsert_ad_spend(t: Tables, batch: DataFrame, as_of, month: str | None = None) -> Outcome:
     """Spend per channel and month (``seq``, ``channel``, ``monthly_spend`` as text, optionally
     ``month``); what is not a number counts as 0, the month defaults to the clock's."""
@@ -454,7 +459,7 @@ def upsert_ad_spend(t: Tables, batch: DataFrame, as_of, month: str | None = None
     )
     rows, overflow = split_rejects(rows, (F.col("monthly_spend").isNull(), "amount out of range"))
     last = last_per_key(rows, [S.ci_key("channel"), S.ci_key("month")])
-    full = apply_defaults(last, "ad_spend", as_of)
+    full = apply_defaults(last, "ad_spend", as_of, _key_id("ad_spend", "channel", "month"))
     spend = upsert(t.ad_spend, full, ["channel", "month"], "ad_spend", ["monthly_spend"], as_of)
     return Outcome(t.replace(ad_spend=spend), join_rejects(bad, overflow), rows, changed=("ad_spend",))
 
@@ -466,7 +471,7 @@ def upsert_webhooks(t: Tables, batch: DataFrame, as_of, actor=None) -> Outcome:
         "is_active": F.lit(True),
         "created_by": F.lit(actor).cast(t.webhooks.schema["created_by"].dataType),
     })
-    full = apply_defaults(rows, "webhooks", as_of)
+    full = apply_defaults(rows, "webhooks", as_of, _key_id("webhooks", "event_type"))
     hooks = upsert(t.webhooks, full, ["event_type"], "webhooks", ["url", "is_active"], as_of)
     return Outcome(t.replace(webhooks=hooks), bad, ok, changed=("webhooks",))
 
@@ -498,7 +503,8 @@ def upsert_settings(t: Tables, batch: DataFrame, as_of) -> Outcome:
         (S.is_blank("setting_key"), "setting_key required"),
         (F.try_parse_json("setting_value").isNull(), "setting_value is not JSON"),
     )
-    full = apply_defaults(last_per_key(ok, [S.ci_key("setting_key")]), "system_settings", as_of)
+    last = last_per_key(ok, [S.ci_key("setting_key")])
+    full = apply_defaults(last, "system_settings", as_of, _key_id("system_settings", "setting_key"))
     settings = upsert(t.system_settings, full, ["setting_key"], "system_settings", ["setting_value"], as_of)
     return Outcome(t.replace(system_settings=settings), bad, ok, changed=("system_settings",))
 

@@ -187,12 +187,14 @@ TABLES: dict[str, list[Col]] = {
         *_created(updated=False),
     ],
     "system_settings": [
+        Col("id", "id", required=True),
         Col("setting_key", "string", required=True),
         Col("setting_value", "string"),
         Col("updated_by", "id"),
         *_created(),
     ],
     "webhooks": [
+        Col("id", "id", required=True),
         Col("event_type", "string", required=True),
         Col("url", "string", required=True),
         Col("is_active", "bool", True),
@@ -200,6 +202,7 @@ TABLES: dict[str, list[Col]] = {
         *_created(),
     ],
     "ad_spend": [
+        Col("id", "id", required=True),
         Col("channel", "string", required=True),
         Col("month", "string", required=True),
         Col("monthly_spend", "money", 0),
@@ -285,4 +288,4 @@ def columns(table: str) -> list[str]:
 
 
 def has_id(table: str) -> bool:
-    return TABLES[table][0].name == "id"
+    return table in TABLES and TABLES[table][0].name == "id"

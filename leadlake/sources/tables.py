@@ -219,7 +219,7 @@ def commit_snapshot(
     """
     appended = appended or {}
     if changed is None:
-        changed = [] if appended else list(t)
+        changed = [] if appended else [table for table in t if table in TABLES]
     if both := set(changed) & set(appended):
         raise ValueError(f"both changed and appended to: {sorted(both)}")
     known = committed_versions(spark, path)

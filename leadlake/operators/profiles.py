@@ -14,6 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadlake.functions.numbering import cut_points, slice_of
 from leadlake.functions.reliability import small_side
 from leadlake.sources.tables import Tables
 
@@ -40,18 +41,20 @@ def nested(
         .agg(F.ceil(F.max("_n") / part_rows).cast("int").alias("parts"))
         .where("parts > 1")
     )
-    parts = F.coalesce("parts", F.lit(1))
-    out = (
-        parents.join(split, key, "left")
-        .withColumn("parts", parts)
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    )
+    if split.isEmpty():
+        split, out = None, parents.withColumn("parts", F.lit(1)).withColumn("part", F.lit(0))
+    else:
+        out = (
+            parents.join(split, key, "left")
+            .withColumn("parts", F.coalesce("parts", F.lit(1)))
+            .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        )
     for name, (df, when, *rest) in children.items():
         add_names = rest[0] if rest else _as_is
         rows = add_names(_with_part(df, split, key, when, part_rows, newest_first))
         body = [c for c in rows.columns if c not in (when, "id", key, "part")]
         arrays = (
-            rows.repartition(key, "part")  # by both, so that a split parent's parts spread out
+            rows.repartition(*([key, "part"] if split is not None else [key]))  # by both, so that a split parent's parts spread out
             .groupBy(key, "part")
             .agg(F.sort_array(F.collect_list(F.struct(when, "id", *body)), asc=not newest_first).alias(name))
         )
@@ -60,22 +63,29 @@ def nested(
     return out.withColumns(empty)
 
 
-def _with_part(df: DataFrame, split: DataFrame, key: str, when: str, part_rows: int, newest_first: bool) -> DataFrame:
+def _with_part(
+    df: DataFrame, split: DataFrame | None, key: str, when: str, part_rows: int, newest_first: bool, slice_rows: int | None = None,
+) -> DataFrame:
     """Add ``part``: 0, or for children of split parents their rank by part_rows.
 
-    A split parent has many children, so ranks are taken inside its days and days are
-    added up: no task sees more of it than a day.
+    A split parent has many children, so their time is cut into slices of about equally many
+    rows (quantiles); ranks are taken inside slices, and slices are added up: no task sees more of a parent than a
+    slice, however many of its children lie in one day. Without a split parent nothing is ranked.
     """
+    if split is None:
+        return df.withColumn("part", F.lit(0))
     marked = df.join(split.withColumnRenamed("parts", "_parts"), key, "left")
     whole = marked.where("_parts is null").drop("_parts").withColumn("part", F.lit(0))
-    many = marked.where("_parts is not null").drop("_parts").withColumn("_day", F.to_date(when)).repartition(key, "_day")
+    # a missing time counts as the earliest, as it sorts in both directions
+    clock = F.coalesce(F.unix_micros(F.col(when).cast("timestamp")), F.lit(-(1 << 62)))
+    many = marked.where("_parts is not null").drop("_parts").withColumn("_at", clock)
+    many = many.withColumn("_slice", slice_of("_at", cut_points(many, "_at", slice_rows))).repartition(key, "_slice")
     turn = F.desc_nulls_last if newest_first else F.asc_nulls_first
-    inside = Window.partitionBy(key, "_day").orderBy(turn(when), turn("id"))
-    earlier = Window.partitionBy(key).orderBy(turn("_day")).rowsBetween(Window.unboundedPreceding, -1)
-    days = many.groupBy(key, "_day").agg(F.count(F.lit(1)).alias("_n"))
-    before = days.select(F.col(key).alias("_key"), F.col("_day").alias("_on"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    ranked = many.withColumn("_rank", F.row_number().over(inside) - 1)
-    placed = ranked.join(before, (F.col(key) == F.col("_key")) & F.col("_day").eqNullSafe(F.col("_on")))
+    inside = Window.partitionBy(key, "_slice").orderBy(turn(when), turn("id"))
+    earlier = Window.partitionBy(key).orderBy(turn("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = many.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(key, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = many.withColumn("_rank", F.row_number().over(inside) - 1).join(before, [key, "_slice"])
     part = F.floor((F.col("_before") + F.col("_rank")) / part_rows).cast("int")
     return whole.unionByName(placed.withColumn("part", part).select(*df.columns, "part"))
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from leadlake.functions import semantics as S
@@ -184,9 +185,16 @@ def test_top_specialities_of_a_trend(t):
     assert D.speciality_trend(t, CLOCK, 6, top=2).select("speciality").distinct().count() == 2
 
 
-def test_parts_in_order_are_newest_first(t):
+@pytest.mark.parametrize("slice_rows", [None, 40])
+def test_parts_in_order_are_newest_first(t, monkeypatch, slice_rows):
+    """Whether split parents' children are ranked in one slice of time or in many."""
+    from leadlake.functions import numbering
     from leadlake.operators.profiles import lead_360, patient_360
 
+    if slice_rows:
+        monkeypatch.setattr(numbering, "SMALL_BYTES", 0)
+        monkeypatch.setattr(numbering, "SLICE_ROWS", slice_rows)
+
     for small, whole, key, name, when in (
         (lead_360(t, part_rows=2), lead_360(t), "lead_id", "appointments", "appointment_date"),
         (patient_360(t, part_rows=2), patient_360(t), "patient_id", "leads", "created_at"),
@@ -198,3 +206,15 @@ def test_parts_in_order_are_newest_first(t):
         for r in whole.select(key, name).collect():
             joined = [x for _, rows in sorted(parts[r[key]].items()) for x in rows]
             assert joined == r[name] == sorted(r[name], key=lambda x: (x[when], x["id"]), reverse=True)
+
+
+def test_many_children_in_one_day_are_spread(spark):
+    from leadlake.operators.profiles import _with_part
+
+    at = F.expr("timestamp_ntz '2001-01-01 00:00:00'") + F.expr("make_dt_interval(0, 0, 0, id)")
+    rows = spark.range(5000).select("id", F.lit(1).alias("k"), F.when(F.col("id") % 50 > 0, at).alias("at"))
+    split = spark.createDataFrame([(1, 50)], "k int, parts int")
+    for newest in (True, False):
+        got = _with_part(rows, split, "k", "at", 100, newest, slice_rows=400)
+        order = sorted(got.collect(), key=lambda r: (r["at"] is not None, r["at"], r["id"]) if r["at"] else (False, r["at"] is None, r["id"]), reverse=newest)
+        assert [r["part"] for r in order] == [k // 100 for k in range(5000)]

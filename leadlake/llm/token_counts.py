@@ -2,8 +2,9 @@
 
 The number of tokens of a word is its bytes less the merges it allows, so no
 token is ever written out: ``Vocabulary.merged`` pops the adjacent pair of lowest
-rank from a heap, joins it in a linked list and counts. Counts of pieces are
-remembered per Python worker within a bound.
+rank from a heap, joins it in a linked list and counts. The different pieces of an Arrow
+batch are looked at once (``bpe_batch``), and counts of words are remembered per Python
+worker within a bound.
 
 Nulls count as empty texts: 0 bytes, 0 tokens, not over the limit. Rows are
 handled one by one, so repeated rows get the same counts each and an empty table
@@ -12,11 +13,13 @@ gives an empty table. Columns named like a result are replaced by it.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.llm.bpe import Remembered, Vocabulary, pieces, vocabulary
+from leadlake.llm.bpe import Remembered, Vocabulary, pieces, printable_bytes, vocabulary
+from leadlake.llm.bpe_batch import cut, per_text, words
 from leadlake.llm.ship import ship_code
 
 _counters: dict[str, TokenCounter] = {}
@@ -29,6 +32,8 @@ class TokenCounter:
         self.vocab = vocab
         self.word = Remembered(self._word)
         self.spaced = Remembered(lambda piece: self._piece(" " + piece))
+        self.raw = Remembered(lambda word: len(word) - self.vocab.merged(list(map(self.symbol.__getitem__, word)))[1])
+        self.symbol = {b: vocab.symbol[c] for c, b in printable_bytes().items()}
 
     def _word(self, word: str) -> int:
         return len(word) - self.vocab.merged(self.vocab.symbols(word))[1]
@@ -47,6 +52,19 @@ class TokenCounter:
         return total
 
 
+    def counts(self, texts: pa.Array) -> list[int]:
+        """The number of tokens of each text of a batch."""
+        return per_text(texts, self.vocab, self._plain_counts, self.count)
+
+    def _plain_counts(self, texts: pa.Array) -> list[int]:
+        pieces, index, ends = cut(texts)
+        different, inside, upto = words(pieces, self.vocab)
+        sizes = np.array([self.raw[w] for w in different.to_pylist()], np.int64)
+        before = np.concatenate(([0], np.cumsum(sizes[inside])))
+        of_piece = before[upto[1:]] - before[upto[:-1]]
+        return np.add.reduceat(of_piece[index], ends[:-1]).tolist()
+
+
 def counter(path: str) -> TokenCounter:
     if path not in _counters:
         _counters[path] = TokenCounter(vocabulary(path))
@@ -63,8 +81,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 51
 
     @F.arrow_udf("long")
     def tokens(texts: pa.Array) -> pa.Array:
-        count = counter(path).count
-        return pa.array([count(x.as_py() or "") for x in texts], pa.int64())
+        return pa.array(counter(path).counts(texts), pa.int64())
 
     return (
         docs.withColumn("n_tokens", tokens(F.col(text)))

@@ -369,3 +369,20 @@ def test_every_language_is_learnt(spark):
 
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries()) == list(range(1, 11))
+
+
+def test_batches_equal_the_library():
+    """Whole batches, with odd spaces, added tokens, long runs and characters of several bytes among plain texts."""
+    import random
+
+    import pyarrow as pa
+
+    tok, draw = Tokenizer.from_file(BPE), random.Random(5)
+    parts = ["a", "b", "the", "'s", "'ll", " ", "  ", "\n", " \n", "1", "23", "é", "日本", "😀", "<|endoftext|>", ".", ",", "x" * 60, "ab" * 40, "\t", "  ", "​", "ſ", "--", "Ġ", "'"]
+    rows = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 25))) for _ in range(1500)] + ["", " ", "  ", " a", "a ", LONG, None]
+    coded = bpe_codec.codec(BPE).both_ways(pa.array(rows))
+    counts = token_counts.counter(BPE).counts(pa.array(rows))
+    for text, (n, listed, back), counted in zip(rows, coded, counts, strict=True):
+        ids = tok.encode(text or "", add_special_tokens=False).ids
+        assert (n, listed, back) == (len(ids), ",".join(map(str, ids)), tok.decode(ids, skip_special_tokens=False)) and counted == n
+    assert bpe_codec.codec(BPE).both_ways(pa.array([], pa.string())) == []

@@ -100,6 +100,11 @@ def top_campaigns(t: Tables, n: int | None = 10) -> DataFrame:
     )
 
 
+def _visits(t: Tables) -> DataFrame:
+    """Appointments as additive cells (``visit_status``, ``n``), from ``t.visit_cube`` when a bundle has prepared one."""
+    return t["visit_cube"] if "visit_cube" in t else t.appointments.select("visit_status", F.lit(1).cast("bigint").alias("n"))
+
+
 def funnel(t: Tables) -> DataFrame:
     """Leads, contacted leads, appointments and visits in one row, from one pass over both facts."""
     zero = F.lit(0).cast("bigint")
@@ -107,15 +112,15 @@ def funnel(t: Tables) -> DataFrame:
         leads, n = t["lead_cube"], F.col("n")
     else:
         leads, n = t.leads, F.lit(1).cast("bigint")
+    visits = _visits(t)
     steps = leads.select(
         n.alias("leads"),
         F.when(F.col("lead_stage") != "untouched", n).otherwise(zero).alias("contacted"),
         zero.alias("visits"), zero.alias("visited"),
     ).unionByName(
-        t.appointments.select(
-            zero.alias("leads"), F.lit(None).cast("bigint").alias("contacted"),
-            F.lit(1).cast("bigint").alias("visits"),
-            F.when(F.col("visit_status") == "visited", 1).otherwise(0).cast("bigint").alias("visited"),
+        visits.select(
+            zero.alias("leads"), F.lit(None).cast("bigint").alias("contacted"), F.col("n").alias("visits"),
+            F.when(F.col("visit_status") == "visited", F.col("n")).otherwise(zero).alias("visited"),
         )
     )
     return steps.agg(
@@ -222,10 +227,11 @@ def _since(t: Tables, as_of, months: int) -> Tables:
 
 def no_show_rate(t: Tables) -> DataFrame:
     status = F.col("visit_status")
-    sums = t.appointments.agg(
-        F.count(F.lit(1)).alias("total_appointments"),
-        S.count_where(status == "no_show").alias("no_shows"),
-        S.count_where(status == "visited").alias("visited"),
+    n = F.col("n")
+    sums = _visits(t).agg(
+        F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("total_appointments"),
+        S.count_where(status == "no_show", n).alias("no_shows"),
+        S.count_where(status == "visited", n).alias("visited"),
     )
     return sums.withColumn("no_show_rate", S.pct1(F.col("no_shows"), F.col("total_appointments")))
 
@@ -342,14 +348,16 @@ def revenue_by_speciality_all(t: Tables) -> DataFrame:
 def high_value_patients(t: Tables, n: int = 20) -> DataFrame:
     """Patients by revenue. The first ``n`` ids are found on the bills alone and only
     those meet the patients (every bill has its patient)."""
-    best = bounded(S.top_k(
-        t.revenue.groupBy(F.col("patient_id").alias("id")).agg(
+    if "patient_bills" in t:
+        sums = t["patient_bills"].select(
+            F.col("patient_id").alias("id"), F.col("total_value").alias("total_revenue"), F.col("bills").alias("visit_count"), "last_visit")
+    else:
+        sums = t.revenue.groupBy(F.col("patient_id").alias("id")).agg(
             S.exact_sum("total_value").alias("total_revenue"),
             F.count(F.lit(1)).alias("visit_count"),
             F.max("billed_date").alias("last_visit"),
-        ),
-        n, F.desc("total_revenue"), F.col("id"),
-    ), n)
+        )
+    best = bounded(S.top_k(sums, n, F.desc("total_revenue"), F.col("id")), n)
     return (
         best.join(t.patients.select("id", "full_name", "primary_phone", "city"), "id")
         .orderBy(F.desc("total_revenue"), "id")

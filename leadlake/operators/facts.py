@@ -33,7 +33,9 @@ def lead_cells(t: Tables, *keys: str | Column) -> DataFrame:
 
 
 def revenue_per_lead(t: Tables) -> DataFrame:
-    """One row per billed lead: ``revenue``, ``bills``."""
+    """One row per billed lead: ``revenue``, ``bills`` (from ``t.lead_bills`` when a bundle has prepared it)."""
+    if "lead_bills" in t:
+        return t["lead_bills"].select("lead_id", F.col("total_value").alias("revenue"), "bills")
     return t.revenue.groupBy("lead_id").agg(
         S.exact_sum("total_value").alias("revenue"), F.count(F.lit(1)).alias("bills")
     )

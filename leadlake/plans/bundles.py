@@ -1,7 +1,8 @@
 """Named dashboards: several frames over one snapshot, sharing their passes over the facts.
 
 A bundle aggregates each fact once into a cube of additive cells, keeps the cubes
-for its frames, and answers every frame from them. Cubes are cached, not
+for its frames, and answers every frame from them. Bills are added up by lead, by patient and by month
+and status in one pass (grouping sets). Cubes are cached, in memory or on the executors' disks, not
 checkpointed: after losing an executor Spark rebuilds them from the tables.
 """
 
@@ -43,15 +44,36 @@ def lead_cube(t: Tables, as_of, keys: tuple[str, ...]) -> DataFrame:
     )
 
 
+_MONEY = ("total_value", "consultation_value", "procedure_value", "package_value")
+
+
 def bill_cube(t: Tables) -> DataFrame:
     """Bills by month and payment status."""
-    money = ("total_value", "consultation_value", "procedure_value", "package_value")
     return t.revenue.groupBy(S.month_key("billed_date").alias("month"), "payment_status").agg(
-        *[F.sum(F.col(c).cast("decimal(18,2)")).alias(c) for c in money],
+        *[F.sum(F.col(c).cast("decimal(18,2)")).alias(c) for c in _MONEY],
         F.count(F.lit(1)).alias("bills"),
     )
 
 
+def bill_sets(t: Tables, *sets: tuple[str, ...]) -> DataFrame:
+    """Bills added up by several sets of keys in one pass; ``grouped`` holds a bit per key that a row is not of."""
+    bills = t.revenue.select(*BILL_KEYS[:2], S.month_key("billed_date").alias("month"), "payment_status", "billed_date", *_MONEY)
+    return bills.groupingSets([list(s) for s in sets], *BILL_KEYS).agg(
+        F.grouping_id().alias("grouped"), *[S.exact_sum(c).alias(c) for c in _MONEY],
+        F.count(F.lit(1)).alias("bills"), F.max("billed_date").alias("last_visit"),
+    )
+
+
+BILL_KEYS = ("lead_id", "patient_id", "month", "payment_status")
+BY_LEAD, BY_PATIENT, BY_MONTH = ("lead_id",), ("patient_id",), ("month", "payment_status")
+
+
+def one_set(sets: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The rows of one set of keys."""
+    mark = sum(1 << (len(BILL_KEYS) - 1 - k) for k, c in enumerate(BILL_KEYS) if c not in keys)
+    return sets.where(F.col("grouped") == mark).drop("grouped", *[c for c in BILL_KEYS if c not in keys])
+
+
 def revenue_cube(t: Tables) -> DataFrame:
     """Revenue by the source, speciality and facility of its lead."""
     keys = ("lead_source", "speciality_id", "facility_id")
@@ -61,6 +83,11 @@ def revenue_cube(t: Tables) -> DataFrame:
     )
 
 
+def visit_cube(t: Tables) -> DataFrame:
+    """Appointments by status."""
+    return t.appointments.groupBy("visit_status").agg(F.count(F.lit(1)).alias("n"))
+
+
 def prepare(t: Tables, name: str, as_of) -> Tables:
     """Add the cubes a bundle reads, cached. Call :func:`release` when its frames are written."""
     level = StorageLevel.MEMORY_AND_DISK
@@ -71,15 +98,22 @@ def prepare(t: Tables, name: str, as_of) -> Tables:
         cubes["lead_cube"] = lead_cube(t, as_of, ("lead_source", "campaign_name"))
     elif name == "cxo":
         cubes["lead_cube"] = lead_cube(t, as_of, ("lead_source", "speciality_id", "facility_id", "doctor_id"))
-    if name in ("cxo", "finance"):
-        cubes["revenue_cube"] = revenue_cube(t)
-    if name in ("summary", "cxo", "finance"):
+    if name == "cxo":
+        cubes["visit_cube"] = visit_cube(t)
+    if name == "summary":
         cubes["bill_cube"] = bill_cube(t)
-    return t.replace(**{k: df.persist(level) for k, df in cubes.items()})
+    parts = {}
+    if name in ("cxo", "finance"):
+        sets = bill_sets(t, BY_LEAD, BY_MONTH, *([BY_PATIENT] if name == "finance" else [])).persist(level)
+        parts = {"bill_sets": sets, "bill_cube": one_set(sets, BY_MONTH), "lead_bills": one_set(sets, BY_LEAD)}
+        if name == "finance":
+            parts["patient_bills"] = one_set(sets, BY_PATIENT)
+        cubes["revenue_cube"] = revenue_cube(t.replace(**parts))
+    return t.replace(**parts, **{k: df.persist(level) for k, df in cubes.items()})
 
 
 def release(t: Tables) -> None:
-    for name in ("lead_cube", "revenue_cube", "bill_cube"):
+    for name in ("lead_cube", "revenue_cube", "bill_cube", "visit_cube", "bill_sets"):
         if name in t:
             t[name].unpersist()
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadlake.functions.reliability import small_side
 from leadlake.llm.apart import Apart
 from leadlake.llm.ship import ship_code
 
@@ -152,16 +153,17 @@ def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "
     learnt = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     n_languages = learnt.select(lang).distinct().count()
     texts = max(1, min(TEXTS, ALL_TEXTS // max(1, n_languages)))
-    size = F.length(text)
+    size = F.length("text")
     starts = [F.floor(size * k / WINDOWS).cast("int") for k in range(WINDOWS)]
-    cut = F.array_distinct(F.array(*[F.substring(text, s + 1, F.lit(LENGTH)) for s in starts]))
-    hashed = learnt.select(lang, F.xxhash64(text).alias("_h"), cut.alias("cut"))
-    different = hashed.groupBy(lang, "_h").agg(F.min("cut").alias("cut"))  # copies count once
-    few = different.withColumn("_s", F.pmod(F.xxhash64("_h"), F.lit(SALTS)))
-    for keys in ([lang, "_s"], [lang]):  # by salt first, so that the last task of a language has SALTS * texts rows at most
-        few = few.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))).where(F.col("_r") <= texts)
-    picked = few
-    rows = picked.select(lang, F.explode("cut").alias("cut")).where("cut != ''").collect()  # at most texts * WINDOWS short strings per language
+    cut = F.array_distinct(F.array(*[F.substring("text", s + 1, F.lit(LENGTH)) for s in starts]))
+    hashed = learnt.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    # languages and hashes alone are ranked; excerpts are cut from the chosen texts only
+    few = hashed.select("lang", "h").distinct().withColumn("s", F.pmod(F.xxhash64("h"), F.lit(SALTS)))  # copies count once
+    for keys in (["lang", "s"], ["lang"]):  # by salt first, so that the last task of a language has SALTS * texts rows at most
+        few = few.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("r") <= texts)
+    chosen = hashed.join(small_side(few.select("lang", "h")), ["lang", "h"])  # at most ALL_TEXTS rows, or one per language
+    cuts = chosen.select("lang", "h", cut.alias("cut")).groupBy("lang", "h").agg(F.min("cut").alias("cut"))
+    rows = cuts.select("lang", F.explode("cut").alias("cut")).where("cut != ''").collect()  # at most texts * WINDOWS short strings per language
     return sorted((r[0], r[1]) for r in rows)
 
 

@@ -36,6 +36,11 @@ from leadlake.llm.ship import ship_code
 
 BITS = 64
 SEED = 42
+#: Members from which on a bucket is cut by another covering family, and how many times over.
+LARGE_BUCKET = 512
+FAMILIES = 3
+#: Members up to which those of a part are compared one by one.
+FEW = 32
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 
@@ -70,9 +75,9 @@ def with_fingerprints(docs: DataFrame, text: str = "text", width: int = 4, out:
     return docs.withColumn(out, prints(F.col(text)))
 
 
-def covering_masks(radius: int) -> list[int]:
-    """Masks of the tables, as signed 64-bit numbers. Positions get their vectors from a fixed seed."""
-    rng = np.random.default_rng(SEED)
+def covering_masks(radius: int, family: int = 0) -> list[int]:
+    """Masks of the tables, as signed 64-bit numbers. Positions get their vectors from a fixed seed, one per ``family``."""
+    rng = np.random.default_rng(SEED + family)
     size = 1 << (radius + 1)
     vectors = np.concatenate([rng.permutation(size) for _ in range(-(-BITS // size))])[:BITS]
     odd = [[bin(int(v) & table).count("1") & 1 for v in vectors] for table in range(1, size)]
@@ -83,8 +88,39 @@ def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))  # of signed numbers it would count the magnitude's bits
 
 
-def bucket_edges(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges that join the members of a bucket exactly as all links between them would."""
+def bucket_edges(prints: np.ndarray, radius: int, family: int = 1) -> list[tuple[int, int]]:
+    """Edges that join the members of a bucket exactly as all links between them would.
+
+    A large bucket is cut by the tables of another covering family: its members agree in the bucket's
+    bits, so they meet by others, and every linked pair still meets in some table.
+    """
+    if len(prints) <= LARGE_BUCKET or family > FAMILIES:
+        return _star_edges(prints, radius)
+    found = [np.empty((0, 2), np.int64)]
+    for mask in covering_masks(radius, family):
+        keys = prints & np.int64(mask)
+        order = np.argsort(keys, kind="stable")
+        group = np.concatenate(([0], np.cumsum(np.diff(keys[order]) != 0)))
+        sizes = np.bincount(group)
+        ends = np.cumsum(sizes)
+        members = prints[order]
+        # few members: each with those behind it, all groups at once
+        at = np.nonzero(sizes[group] <= FEW)[0]
+        for step in range(1, FEW):
+            at = at[at + step < len(group)]
+            at = at[group[at + step] == group[at]]
+            if not at.size:
+                break
+            near = at[_differing(members[at], members[at + step]) <= radius]
+            found.append(np.stack([members[near], members[near + step]], axis=1))
+        for k in np.nonzero(sizes > FEW)[0].tolist():
+            some = bucket_edges(members[ends[k] - sizes[k] : ends[k]], radius, family + 1)
+            found.append(np.array(some, np.int64).reshape(-1, 2))
+    return list(map(tuple, np.unique(np.concatenate(found), axis=0).tolist()))
+
+
+def _star_edges(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges by stars around pivots; quadratic only in members that are far from each other."""
     rest, stars, edges = prints, [], []
     while len(rest):
         near = _differing(rest, rest[0]) <= radius

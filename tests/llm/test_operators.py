@@ -386,3 +386,42 @@ def test_batches_equal_the_library():
         ids = tok.encode(text or "", add_special_tokens=False).ids
         assert (n, listed, back) == (len(ids), ",".join(map(str, ids)), tok.decode(ids, skip_special_tokens=False)) and counted == n
     assert bpe_codec.codec(BPE).both_ways(pa.array([], pa.string())) == []
+
+
+def test_large_buckets_are_joined_as_by_all_links(monkeypatch):
+    """Members far from each other, chains of near ones and a star, cut by further families or not."""
+    rng = np.random.default_rng(9)
+    mask = np.int64(simhash.covering_masks(4)[3])
+    free = [b for b in range(64) if not (int(mask) & (2**64 - 1)) >> b & 1]
+
+    def flipped(x, n):
+        for b in rng.choice(free, n, replace=False):
+            x = int(np.uint64((int(x) & (2**64 - 1)) ^ (1 << int(b))).astype(np.int64))
+        return x
+
+    far = (rng.integers(-(2**63), 2**63 - 1, 700, dtype=np.int64) & ~mask) | np.int64(5 & mask)
+    near = [flipped(x, n) for x in far[:200] for n in (1, 4)]
+    near += [flipped(x, 3) for x in near[:200]]
+    prints = np.unique(np.concatenate([far, np.array(near, np.int64), np.array([flipped(far[0], 2) for _ in range(120)], np.int64)]))
+
+    def groups(edges):
+        root = {int(p): int(p) for p in prints}
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+        return {p: top(p) for p in root}
+
+    links = [(int(a), int(b)) for k, a in enumerate(prints) for b in prints[k + 1 :][np.bitwise_count((prints[k + 1 :] ^ a).view(np.uint64)) <= 4]]
+    want = groups(links)
+    assert len(prints) > simhash.LARGE_BUCKET
+    for large, few in ((512, 32), (20, 3), (10**6, 32)):
+        monkeypatch.setattr(simhash, "LARGE_BUCKET", large)
+        monkeypatch.setattr(simhash, "FEW", few)
+        edges = simhash.bucket_edges(prints, 4)
+        assert set(edges) <= {pair for a, b in links for pair in ((a, b), (b, a))} and groups(edges) == want

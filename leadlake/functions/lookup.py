@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.functions.reliability import BROADCAST_ROWS, checkpointed
+from leadlake.functions.reliability import checkpointed, is_small
 
 #: Up to so many different values are written into the filter itself.
 POINTS = 1000
@@ -21,8 +21,7 @@ def among(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
     kind = df.schema[column].dataType
     asked = values.select(F.col(values.columns[0]).try_cast(kind).alias(column)).where(F.col(column).isNotNull())
     asked = checkpointed(asked.distinct())
-    some = asked.limit(BROADCAST_ROWS + 1).count()
-    if some <= POINTS:
-        listed = [r[0] for r in asked.collect()]
+    listed = [r[0] for r in asked.limit(POINTS + 1).collect()]
+    if len(listed) <= POINTS:
         return df.where(F.col(column).isin(listed)) if listed else df.where(F.lit(False))
-    return df.join(F.broadcast(asked) if some <= BROADCAST_ROWS else asked, column, "left_semi").select(*df.columns)
+    return df.join(F.broadcast(asked) if is_small(asked) else asked, column, "left_semi").select(*df.columns)

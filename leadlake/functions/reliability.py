@@ -7,7 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A side is broadcast if it is proven to have at most so many rows and bytes.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -34,10 +36,17 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def is_small(kept: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a materialised frame has at most ``rows`` rows and ``BROADCAST_BYTES`` bytes (of its values as JSON)."""
+    line = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in kept.columns])))
+    n, size = kept.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(line.cast("bigint")), F.lit(0))).first()
+    return n <= rows and size <= BROADCAST_BYTES
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise ``df`` and broadcast it if it is proven to have at most ``rows`` rows.
+    """Materialise ``df`` and broadcast it if it is proven to be small in rows and in bytes.
 
     A larger frame is returned without a hint, so the join shuffles.
     """
     kept = checkpointed(df)
-    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+    return F.broadcast(kept) if is_small(kept, rows) else kept

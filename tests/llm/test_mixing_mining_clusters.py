@@ -217,7 +217,7 @@ def test_bounds_stay_below():
     assert centroids.choose_pivots(np.ones((5, 64), np.int64)).pairs == []
 
 
-@pytest.mark.parametrize("name", ["op12_hard_negatives", "op13_centroid_clustering"])
+@pytest.mark.parametrize("name", ["op7_decontamination", "op12_hard_negatives", "op13_centroid_clustering"])
 def test_twins(spark, name):
     from leadlake.checks.compare import difference, duck_connection
     from leadlake.llm.oracle import oracle_sql
@@ -225,8 +225,9 @@ def test_twins(spark, name):
     assert difference(queries()[name](spark, SF_DIR), duck_connection(SF_DIR), oracle_sql()[name]) is None
 
 
-def test_mixing_has_no_python_in_its_plan(spark):
+@pytest.mark.parametrize("name", ["op2_sharding", "op6_pii", "op7_decontamination", "op9_quality_rules", "op11_mixing"])
+def test_native_queries_have_no_python_in_their_plans(spark, name):
     from leadlake.plans.inspect import plan_text
 
-    text = plan_text(queries()["op11_mixing"](spark, SF_DIR))
+    text = plan_text(queries()[name](spark, SF_DIR))
     assert "Python" not in text and "Arrow" not in text and "CartesianProduct" not in text

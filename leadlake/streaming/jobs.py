@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,67 +46,91 @@ def append_files(stream: DataFrame, path: str, checkpoint: str, available_now: b
 # --- stage engine ----------------------------------------------------------------------
 
 #: Sequence numbers of one slice: a lead's events of different slices are different keys.
-SLICE_NUMBERS = 1_000_000
-_FACTS = "attempts long, changed boolean, stage string, substage string, at_change long, at_miss long, followup int"
-_FIRST = (0, False, None, None, -1, -1, -1)  # -1: none yet
-
-
-def _folded(state: tuple, frames: Iterator[pd.DataFrame]) -> tuple:
-    """A slice's facts after some more of its events, which are taken in order of their sequence."""
-    parts = list(frames)
-    rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
-    rows = rows.sort_values("seq", kind="stable", ignore_index=True)
-    attempts, changed, stage, substage, at_change, at_miss, followup = state
-    run = attempts + rows["attempt"].to_numpy().cumsum()
-    changes = rows["changed"].to_numpy().nonzero()[0]
-    if changes.size:
-        last = changes[-1]
-        changed, stage, substage, at_change = True, rows["stage"][last], rows["substage"][last], int(run[last])
-    if (missed := rows["missed"].to_numpy().nonzero()[0]).size:
-        at_miss = int(run[missed[-1]])
-    if (promised := (rows["followup"].to_numpy() >= 0).nonzero()[0]).size:
-        followup = int(rows["followup"][promised[-1]])
-    return int(run[-1]), changed, stage, substage, at_change, at_miss, followup
-
-
-def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    after = _folded(state.get if state.exists else _FIRST, frames)
-    state.update(after)
-    yield pd.DataFrame([(*key, *after)], columns=["lead_id", "slice", *[c.split()[0] for c in _FACTS.split(", ")]])
-
-
-def stage_facts(events: DataFrame, numbers: int = SLICE_NUMBERS) -> DataFrame:
+SLICE_NUMBERS = 1_000_000_000
+#: Keys that leads are dealt to. A key's call costs milliseconds, so it shall hold some hundred leads;
+#: a micro-batch writes the state of the keys it names.
+BUCKETS = 256
+_FACTS = {
+    "attempts": "long", "changed": "boolean", "stage": "string", "substage": "string", "at_change": "long", "at_miss": "long", "followup": "int",
+}
+_FIRST = {"attempts": 0, "changed": False, "stage": None, "substage": None, "at_change": -1, "at_miss": -1, "followup": -1}  # -1: none yet
+
+
+def _folded(old: dict[str, np.ndarray], events: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Facts per lead after some more events, each lead's taken in order of their sequence; and which leads had any."""
+    leads, code = np.unique(np.concatenate([old["lead_id"], events["lead_id"]]), return_inverse=True)
+    had, code = code[: len(old["lead_id"])], code[len(old["lead_id"]) :]
+    new = {"lead_id": leads}
+    for c, first in _FIRST.items():
+        new[c] = np.full(len(leads), first, object if first is None else None)
+        new[c][had] = old[c]
+    order = np.lexsort((events["seq"], code))
+    code, rows = code[order], {c: v[order] for c, v in events.items()}
+    upto = np.cumsum(rows["attempt"])
+    starts = np.concatenate(([0], np.nonzero(np.diff(code))[0] + 1))
+    before = (upto - rows["attempt"])[starts]
+    sizes = np.diff(np.concatenate((starts, [len(code)])))
+    run = upto - np.repeat(before, sizes) + new["attempts"][code]
+    # rows are in order, so the last one of a lead stays
+    for c, where, value in (
+        ("attempts", np.ones(len(code), bool), run), ("changed", rows["changed"], rows["changed"]), ("stage", rows["changed"], rows["stage"]),
+        ("substage", rows["changed"], rows["substage"]), ("at_change", rows["changed"], run), ("at_miss", rows["missed"], run),
+        ("followup", rows["followup"] >= 0, rows["followup"]),
+    ):
+        new[c][code[where]] = value[where]
+    return new, np.unique(code)
+
+
+def _fold(tell: bool):
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        parts = list(frames)
+        events = {c: np.concatenate([f[c].to_numpy() for f in parts]) for c in parts[0].columns}
+        names = ("lead_id", *_FACTS)
+        kinds = {c: events["lead_id"].dtype if c == "lead_id" else np.array([_FIRST[c]]).dtype for c in names}
+        held = dict(zip(names, state.get, strict=True)) if state.exists else {c: [] for c in names}
+        new, touched = _folded({c: np.array(held[c], kinds[c]) for c in names}, events)
+        state.update(tuple(new[c].tolist() for c in names))
+        if tell:
+            yield pd.DataFrame({"lead_id": new["lead_id"][touched], "slice": key[1], **{c: new[c][touched] for c in _FACTS}})
+
+    return fold
+
+
+def stage_facts(events: DataFrame, numbers: int = SLICE_NUMBERS, buckets: int = BUCKETS, tell: bool = True) -> DataFrame:
     """What a stream of log events (see :func:`stage_engine.log_events`) comes to so far, per lead
-    and slice of the sequence: keyed state that Spark keeps. Each micro-batch gives its keys' new facts.
+    and slice of the sequence: keyed state that Spark keeps. With ``tell``, each micro-batch gives its leads' new facts.
 
-    No lead is read: the facts are sums and last values, whatever state the lead started in. A
-    lead with very many events has many slices, which are folded in different tasks.
+    No lead is read: the facts are sums and last values, whatever state the lead started in. A key is a
+    bucket of leads in a slice, folded by arrays; a lead with very many events has many slices,
+    which are folded in different tasks.
     """
     first = F.lit("1970-01-01").cast("date")
-    rows = events.select(
-        "lead_id", F.expr(f"seq div {int(numbers)}L").alias("slice"), "seq", F.col("attempt").cast("long"), "missed",
-        F.col("change").isNotNull().alias("changed"), F.col("change.stage").alias("stage"),
-        F.col("change.substage").alias("substage"),
+    rows = events.where(F.col("lead_id").isNotNull()).select(
+        F.pmod(F.xxhash64("lead_id"), F.lit(int(buckets))).alias("bucket"), F.expr(f"seq div {int(numbers)}L").alias("slice"),
+        "lead_id", "seq", F.col("attempt").cast("long"), "missed", F.col("change").isNotNull().alias("changed"),
+        F.col("change.stage").alias("stage"), F.col("change.substage").alias("substage"),
         F.coalesce(F.date_diff("followup_date", first), F.lit(-1)).alias("followup"),
     )
     lead = rows.schema["lead_id"].dataType.simpleString()
-    return rows.groupBy("lead_id", "slice").applyInPandasWithState(
-        _fold, f"lead_id {lead}, slice long, {_FACTS}", _FACTS, "update", GroupStateTimeout.NoTimeout
+    told = ", ".join(f"{c} {kind}" for c, kind in _FACTS.items())
+    kept = ", ".join(f"{c} array<{kind}>" for c, kind in {"lead_id": lead, **_FACTS}.items())
+    return rows.groupBy("bucket", "slice").applyInPandasWithState(
+        _fold(tell), f"lead_id {lead}, slice long, {told}", kept, "update", GroupStateTimeout.NoTimeout
     )
 
 
 def stage_stream(
-    events: DataFrame, checkpoint: str, available_now: bool = True, numbers: int = SLICE_NUMBERS,
+    events: DataFrame, checkpoint: str, available_now: bool = True, numbers: int = SLICE_NUMBERS, buckets: int = BUCKETS,
     sink: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
     """Advance lead stages from a stream of log events. :func:`lead_state` reads the result.
 
-    State and progress live in the query's checkpoint, so a restarted query goes on where the last
-    finished micro-batch ended, and each event counts once. Events go by their sequence; one that
-    comes in a later micro-batch than its successors counts as the last of its slice so far.
-    ``sink`` gets each micro-batch's new facts.
+    State and progress live in the query's checkpoint, so a restarted query (with the same ``numbers`` and
+    ``buckets``) goes on where the last finished micro-batch ended, and each event counts once. Events go by
+    their sequence; one that comes in a later micro-batch than its successors counts as the last of its
+    slice so far. ``sink`` gets each micro-batch's new facts.
     """
-    writer = stage_facts(events, numbers).writeStream.outputMode("update")
+    writer = stage_facts(events, numbers, buckets, sink is not None).writeStream.outputMode("update")
     writer = writer.foreachBatch(sink) if sink else writer.format("noop")
     return _start(writer, checkpoint, available_now)
 
@@ -115,7 +140,8 @@ def streamed_facts(spark: SparkSession, checkpoint: str) -> DataFrame:
     fs, root = file_system(spark, f"{checkpoint}/state")
     if not fs.exists(root):
         raise FileNotFoundError(f"no finished micro-batch under {checkpoint}")
-    state = spark.read.format("statestore").load(checkpoint).select("key.*", "value.groupState.*")
+    state = spark.read.format("statestore").load(checkpoint).select("key.slice", "value.groupState.*")
+    state = state.select("slice", F.inline(F.arrays_zip("lead_id", *_FACTS)))
     known = lambda c: F.when(F.col(c) >= 0, F.col(c))
     slices = state.select(
         "lead_id", F.col("slice").alias("_slice"), F.col("attempts").alias("_attempts"),

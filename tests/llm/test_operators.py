@@ -332,6 +332,43 @@ def test_quality_keeps_good_documents(spark, docs):
     assert sum(junk) <= 0.2 * len(junk)
 
 
+def least_determinant(x, starts=40):
+    """Minimum covariance determinant by numpy: exact halves, many random starts; the logarithm of the determinant."""
+    rng, n, found = np.random.default_rng(0), len(x), []
+    size, floors = min(n, (n + quality.P + 1) // 2), np.diag(np.square(quality.FLOORS))
+    estimate = lambda rows: (rows.mean(0), quality.CONSISTENCY * np.cov(rows.T, bias=True) + floors)
+    for _ in range(starts):
+        center, scatter = estimate(x[rng.choice(n, quality.P + 1, replace=False)])
+        for _ in range(30):
+            off = x - center
+            near = np.argsort(np.einsum("ij,ij->i", off @ np.linalg.inv(scatter), off), kind="stable")[:size]
+            center, scatter = estimate(x[near])
+        found.append(np.linalg.slogdet(scatter)[1])
+    return min(found)
+
+
+def test_quality_estimates_have_the_smallest_determinant(spark, docs):
+    rng = np.random.default_rng(11)
+    lean = rng.normal(size=(300, 5)) @ rng.normal(size=(5, 5)) * 40
+    rows = [(i, "a", "s", *[int(v) for v in np.abs([900, 4800, 90, 40, 30] + r)], int(abs(200 + r[0]))) for i, r in enumerate(lean)]
+    rows += [(1000 + i, "a", "s", 900, 4000, int(400 + rng.normal() * 9), 300, 200, 1500) for i in range(140)]
+    planted = spark.createDataFrame(rows, f"{quality.DIGEST} long, lang string, source string, " + ", ".join(f"{c} long" for c in quality.STATISTICS))
+    for stats in (planted, quality.with_statistics(docs)):
+        texts = stats.where(~quality.base_failed()).select(quality._group().alias("g"), quality.DIGEST, *quality.STATISTICS).distinct()
+        vectors = {}
+        for r in texts.select("g", quality._vector().alias("x")).collect():
+            vectors.setdefault(r["g"], []).append(r["x"])
+        for r in quality.estimates(stats).where(f"g != '*' and n >= {quality.LEAST_ROWS}").collect():
+            x = np.array(vectors[r["g"]])
+            assert r["n"] == len(x) and r["logdet"] <= least_determinant(x) + 0.1
+
+
+def test_quality_halves_are_exact(spark):
+    values = spark.createDataFrame([("a", b) for b in (1, 1, 2, 3, 3, 3, 3, 9)] + [("b", 5)], "g string, bin long")
+    got = {r["g"]: (r["bin"], r["share"], r["n"]) for r in quality._half(values, ["g"], "bin").collect()}
+    assert got == {"a": (3, 0.25, 8), "b": (5, 1.0, 1)}
+
+
 @pytest.mark.parametrize("alike", [True, False])
 def test_quality_rejects_a_bad_text_that_fills_a_third_of_a_group(spark, alike):
     rng = np.random.default_rng(3)

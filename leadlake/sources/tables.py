@@ -10,15 +10,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadlake.functions import semantics as S
+from leadlake.functions.components import components
 from leadlake.functions.reliability import checkpointed
 from leadlake.schema import AS_OF, ENUMS, SETS, TABLES, columns, has_id, spark_type, struct_type
 
 
+#: Most rows that share keys, directly or by way of others, which one task decides on (a few numbers each).
+COMPONENT_ROWS = 200_000
+
 #: Name under which a frame for phone look-ups may stand among the tables of a job.
 BY_PHONE = "patients_by_phone"
 
@@ -240,7 +245,7 @@ def insert_ignore(target: DataFrame, rows: DataFrame, keys: Sequence[Sequence[st
     """Append ``rows`` in ``seq`` order, skipping each row that meets a key already taken.
 
     ``keys`` lists the unique keys (each a column tuple). Text keys compare
-    without case, accents or trailing spaces.
+    without case, accents or trailing spaces. Numbers in ``seq`` are unique.
     """
     def match(df: DataFrame, key: Sequence[str]) -> list[Column]:
         text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
@@ -259,19 +264,64 @@ def insert_ignore(target: DataFrame, rows: DataFrame, keys: Sequence[Sequence[st
         fresh = S.first_per_key(rest, match(rest, keys[0]), F.col(seq))
         return target.unionByName(fresh.select(*target.columns))
 
-    # Several keys: a row is accepted once no earlier open row shares a key with it.
-    accepted = rest.limit(0)
+    accepted = _first_come(rest, [match(rest, key) for key in keys], seq)
+    return target.unionByName(rows.join(accepted, seq, "left_semi").select(*target.columns))
+
+
+def _first_come(rows: DataFrame, keys: Sequence[Sequence[Column]], seq: str) -> DataFrame:
+    """Numbers (``seq``) of the rows accepted if each is refused that shares a key with an earlier accepted one.
+
+    A key's value goes by the number of the first row that has it. A row that is first in all
+    its keys is accepted, those behind it in a key are refused; what is left falls into
+    components of rows that share keys, each decided in order by one task from its numbers
+    alone. Components of more than ``COMPONENT_ROWS`` rows go through another round first.
+    A key with a NULL in it is shared with no row: its row alone is its first.
+    """
+    names = [f"_f{j}" for j in range(len(keys))]
+    tagged = rows.select(F.col(seq).cast("bigint").alias("_seq"), *[c.alias(f"_k{j}_{i}") for j, key in enumerate(keys) for i, c in enumerate(key)])
+    for j, key in enumerate(keys):
+        parts = [f"_k{j}_{i}" for i in range(len(key))]
+        first = tagged.dropna(subset=parts).groupBy(*parts).agg(F.min("_seq").alias(f"_f{j}"))
+        tagged = tagged.join(first, parts, "left").withColumn(f"_f{j}", F.coalesce(f"_f{j}", "_seq"))
+    rest = checkpointed(tagged.select("_seq", *names))
+    accepted = rest.select("_seq").limit(0)
     while True:
-        rest = checkpointed(rest)
+        ready = checkpointed(rest.where(F.greatest(*names) == F.col("_seq")).select("_seq"))
+        accepted = accepted.union(ready)
+        for f in names:
+            rest = rest.join(ready.select(F.col("_seq").alias(f)), f, "left_anti")
+        rest = checkpointed(rest.join(ready, "_seq", "left_anti").select("_seq", *names))
         if rest.isEmpty():
-            break
-        ready = rest
-        for key in keys:
-            ready = S.first_per_key(rest, match(rest, key), F.col(seq)).select(seq).join(ready, seq)
-        ready = checkpointed(ready.select(*rest.columns))
-        accepted = accepted.unionByName(ready)
-        rest = without(rest.join(ready.select(seq), seq, "left_anti").select(*rest.columns), ready)
-    return target.unionByName(accepted.select(*target.columns))
+            return accepted.withColumnRenamed("_seq", seq)
+        rest = _firsts_again(rest, names)
+        edges = rest.select("_seq", F.explode(F.array(*names)).alias("_first")).where("_seq != _first")
+        rooted = rest.join(components(edges, "_seq", "_first").withColumnRenamed("node", "_seq"), "_seq", "left")
+        rooted = checkpointed(rooted.withColumn("root", F.coalesce("root", "_seq")))
+        large = checkpointed(rooted.groupBy("root").count().where(F.col("count") > COMPONENT_ROWS).select("root"))
+        decided = rooted.join(large, "root", "left_anti").groupBy("root").applyInPandas(_in_order, "_seq bigint")
+        accepted = accepted.union(checkpointed(decided))
+        rest = checkpointed(rooted.join(large, "root", "left_semi").select("_seq", *names))
+
+
+def _firsts_again(rest: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The first rows of all keys among those left."""
+    for f in names:
+        first = rest.groupBy(f).agg(F.min("_seq").alias("_first"))
+        rest = rest.join(first, f).drop(f).withColumnRenamed("_first", f)
+    return checkpointed(rest.select("_seq", *names))
+
+
+def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rows of one component that no earlier accepted one shares a key with."""
+    rows = rows.sort_values("_seq")
+    held = [rows[c].tolist() for c in rows.columns if c.startswith("_f")]
+    taken, kept = [set() for _ in held], []
+    for n, *values in zip(rows["_seq"].tolist(), *held):
+        if not any(v in t for v, t in zip(values, taken)):
+            kept.append(n)
+            for v, t in zip(values, taken):
+                t.add(v)
+    return pd.DataFrame({"_seq": pd.Series(kept, dtype="int64")})
 
 
 def to_documents(df: DataFrame) -> DataFrame:

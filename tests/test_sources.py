@@ -74,6 +74,37 @@ def test_insert_ignore_with_several_keys_follows_the_sequence(spark):
         assert sorted(map(tuple, got.collect())) == brute(target, rows, keys)
 
 
+@pytest.mark.parametrize("most", [S.COMPONENT_ROWS, 3])
+def test_insert_ignore_with_nulls_and_small_components(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "COMPONENT_ROWS", most)
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(9)]), rng.choice([None, *"abcdefgh"]), i) for i in range(30)]
+    got = S.insert_ignore(
+        spark.createDataFrame([], "id bigint, u string"), spark.createDataFrame(rows, "id bigint, u string, seq bigint"),
+        [("id",), ("u",)], "seq")
+    taken, want = (set(), set()), []
+    for a, b, _ in rows:
+        if a not in taken[0] and b not in taken[1]:
+            want.append((a, b))
+            taken[0].update([a] if a is not None else [])
+            taken[1].update([b] if b is not None else [])
+    order = lambda pairs: sorted(map(str, map(tuple, pairs)))
+    assert order(got.collect()) == order(want)
+
+
+def test_insert_ignore_of_a_long_chain_takes_few_checkpoints(spark, monkeypatch):
+    from leadlake.functions import components as C
+
+    made, plain = [], S.checkpointed
+    for module in (S, C):
+        monkeypatch.setattr(module, "checkpointed", lambda df: (made.append(1), plain(df))[1])
+    n = 10_000
+    chain = spark.range(n).select(F.floor((F.col("id") + 1) / 2).alias("id"), F.floor(F.col("id") / 2).alias("u"), F.col("id").alias("seq"))
+    got = S.insert_ignore(spark.createDataFrame([], "id bigint, u bigint"), chain, [("id",), ("u",)], "seq")
+    assert got.count() == n // 2 and got.select("id").distinct().count() == n // 2
+    assert len(made) <= 40
+
+
 def test_appending_writes_the_new_rows_only(spark, t, tmp_path):
     lake = str(tmp_path / "lake")
     S.commit_snapshot(spark, lake, 1, t, ["leads", "users"])

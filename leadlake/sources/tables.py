@@ -286,7 +286,7 @@ def _first_come(rows: DataFrame, keys: Sequence[Sequence[Column]], seq: str) ->
     rest = checkpointed(tagged.select("_seq", *names))
     accepted = rest.select("_seq").limit(0)
     while True:
-        ready = checkpointed(rest.where(F.greatest(*names) == F.col("_seq")).select("_seq"))
+        ready = checkpointed(rest.where(F.least(*names) == F.col("_seq")).select("_seq"))
         accepted = accepted.union(ready)
         for f in names:
             rest = rest.join(ready.select(F.col("_seq").alias(f)), f, "left_anti")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from leadlake.functions.lookup import POINTS, among
 from leadlake.functions.reliability import BROADCAST_ROWS, small_side
+from leadlake.operators.keyed import mark_known
+from leadlake.operators.writes import update_leads
 from leadlake.plans.inspect import plan_text
 
 
@@ -20,3 +22,25 @@ def test_many_values_looked_up_are_not_broadcast_by_their_estimate(spark):
     many = spark.range(BROADCAST_ROWS + POINTS)
     found = among(spark.range(50).withColumn("x", F.lit(1)), "id", many)
     assert "Broadcast" not in plan_text(found) and found.count() == 50
+
+
+def test_blank_references_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr("leadlake.functions.reliability.is_small", lambda *_: False)
+    batch = spark.range(1000).select(F.col("id").alias("seq"), F.when(F.col("id") % 100 == 0, F.col("id")).alias("doctor_id"))
+    ids = spark.range(0, 500).where("id % 200 = 0")
+    marked = mark_known(batch, ids, "doctor_id", "_known")
+    assert {r["seq"] for r in marked.where("_known").collect()} == {0, 200, 400} and marked.count() == 1000
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        per_task = [r["n"] for r in mark_known(batch, ids, "doctor_id", "_known").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(per_task) == 8 and max(per_task) < 300
+
+
+def test_patches_join_directories_without_one_task_for_absent_fields(spark, t, monkeypatch):
+    monkeypatch.setattr("leadlake.functions.reliability.is_small", lambda *_: False)
+    fields = F.create_map(F.lit("campaign_name"), F.lit("x"))
+    patch = t.leads.select("id", F.col("id").alias("seq"), fields.alias("fields"))
+    done = update_leads(t, patch, "2001-08-01 00:00:00")
+    assert done.accepted.count() == t.leads.count() and done.rejects.isEmpty()

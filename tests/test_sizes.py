@@ -1,14 +1,14 @@
 """Joins and tasks at sizes that estimates get wrong."""
 
-import re
-
 from pyspark.sql import functions as F
 
+from leadlake.functions import reliability
 from leadlake.functions.lookup import POINTS, among
 from leadlake.functions.reliability import BROADCAST_ROWS, small_side
 from leadlake.operators.keyed import mark_known
 from leadlake.operators.writes import update_leads
 from leadlake.plans.inspect import plan_text
+from leadlake.sources import fixtures, partitioned, tables
 
 
 def test_a_side_measured_as_large_is_not_broadcast_by_its_estimate(spark):
@@ -44,3 +44,35 @@ def test_patches_join_directories_without_one_task_for_absent_fields(spark, t, m
     patch = t.leads.select("id", F.col("id").alias("seq"), fields.alias("fields"))
     done = update_leads(t, patch, "2001-08-01 00:00:00")
     assert done.accepted.count() == t.leads.count() and done.rejects.isEmpty()
+
+
+def test_shuffles_start_with_partitions_that_the_stored_files_call_for(spark, tmp_path, monkeypatch):
+    first, size = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    path = str(tmp_path / "rows")
+    spark.range(10000).write.parquet(path)
+    held = {key: spark.conf.get(key, None) for key in (first, size)}
+    monkeypatch.setattr(reliability, "STORED_BYTES", 1000)
+    try:
+        spark.conf.unset(first)
+        spark.conf.unset(size)
+        reliability.fit_partitions(spark, [str(tmp_path / "none")])
+        assert spark.conf.get(first, None) is None and spark.conf.get(size) == str(reliability.TASK_BYTES)
+        spark.conf.set(size, "8m")
+        reliability.fit_partitions(spark, [path])
+        assert int(spark.conf.get(first)) > 30 and spark.conf.get(size) == "8m"
+        spark.conf.set(first, "5000")
+        reliability.fit_partitions(spark, [path])
+        assert spark.conf.get(first) == "5000"
+    finally:
+        for key, value in held.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_readers_size_shuffles_by_what_they_read(spark, t, tmp_path, monkeypatch):
+    asked = []
+    for module in (fixtures, tables, partitioned):
+        monkeypatch.setattr(module, "fit_partitions", lambda _, paths: asked.append(list(paths)))
+    fixtures.load_fixture(spark, "/root/testdata/sf0.001")
+    tables.commit_snapshot(spark, str(tmp_path / "lake"), 1, t, ["facilities"])
+    partitioned.PartitionedLake(spark, str(tmp_path / "months"), fixtures.spark_schema, t).create(t, ["facilities"]).tables()
+    assert [len(paths) for paths in asked] == [8, 1, 1] and asked[2][0].endswith("/months/facilities")

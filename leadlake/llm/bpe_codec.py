@@ -118,6 +118,10 @@ class Codec:
         """Per text: number of ids, ids as decimals joined by commas, and the text they decode to."""
         return per_text(texts, self.vocab, self._plain_both_ways, self._one_both_ways)
 
+    def digests(self, texts: pa.Array) -> list[tuple[int, str, str]]:
+        """As ``both_ways`` with digests for the ids and the text, taken stretch by stretch: a batch's ids are never held together."""
+        return per_text(texts, self.vocab, lambda some: map(_digested, self._plain_both_ways(some)), lambda text: _digested(self._one_both_ways(text)))
+
     def _one_both_ways(self, text: str) -> tuple[int, str, str]:
         ids = self.encode(text)
         return len(ids), self.decimals(ids), self.decode(ids)
@@ -139,6 +143,11 @@ class Codec:
             yield k, decimals, raw.decode("utf-8", "replace")
 
 
+def _digested(told: tuple[int, str, str]) -> tuple[int, str, str]:
+    n, ids, back = told
+    return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+
+
 def codec(path: str) -> Codec:
     if path not in _codecs:
         _codecs[path] = Codec(vocabulary(path))
@@ -180,16 +189,10 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
     def digests(texts: pa.Array) -> pa.Array:
-        told = codec(path).both_ways(texts)
-        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
-        return pa.StructArray.from_arrays(
-            [
-                pa.array([n for n, _, _ in told], pa.int64()),
-                pa.array([digest(ids) for _, ids, _ in told], pa.string()),
-                pa.array([digest(back) for _, _, back in told], pa.string()),
-            ],
-            ["n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+        told = codec(path).digests(texts)
+        pa.default_memory_pool().release_unused()  # the worker waits for other batches and jobs, which may need it
+        kinds = (pa.int64(), pa.string(), pa.string())
+        return pa.StructArray.from_arrays([pa.array([row[k] for row in told], kind) for k, kind in enumerate(kinds)], list(ROUND_TRIP))
 
     held = Apart(docs)
     told = held.df.withColumn("told", digests(F.col(held[text])))

@@ -425,6 +425,18 @@ def test_batches_equal_the_library():
     assert bpe_codec.codec(BPE).both_ways(pa.array([], pa.string())) == []
 
 
+def test_batches_are_coded_in_small_stretches(monkeypatch):
+    import pyarrow as pa
+
+    coder, sizes = bpe_codec.codec(BPE), []
+    rows = pa.array(["lorem ipsum dolor sit " * 250] * 2000 + ["é", None])
+    plain = bpe_codec.Codec._plain_both_ways
+    monkeypatch.setattr(bpe_codec.Codec, "_plain_both_ways", lambda self, some: sizes.append(some.nbytes) or plain(self, some))
+    told = coder.digests(rows)
+    assert sum(sizes) > 10 << 20 and max(sizes) < 5 << 20
+    assert told == [(n, sha(ids), sha(back)) for n, ids, back in coder.both_ways(rows)]
+
+
 def test_large_buckets_are_joined_as_by_all_links(monkeypatch):
     """Members far from each other, chains of near ones and a star, cut by further families or not."""
     rng = np.random.default_rng(9)

@@ -76,3 +76,23 @@ def test_readers_size_shuffles_by_what_they_read(spark, t, tmp_path, monkeypatch
     tables.commit_snapshot(spark, str(tmp_path / "lake"), 1, t, ["facilities"])
     partitioned.PartitionedLake(spark, str(tmp_path / "months"), fixtures.spark_schema, t).create(t, ["facilities"]).tables()
     assert [len(paths) for paths in asked] == [8, 1, 1] and asked[2][0].endswith("/months/facilities")
+
+
+def _counted(df, seen):
+    """The rows of ``df``, each added to an accumulator whenever it is worked out."""
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    return df.mapInPandas(count, df.schema)
+
+
+def test_month_folders_work_rows_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    lake = partitioned.PartitionedLake(spark, str(tmp_path / "lake"), fixtures.spark_schema)
+    rows = spark.range(500).select("id", F.concat(F.lit("2001-0"), F.col("id") % 9 + 1).alias("month"), F.col("id").alias("patient_id"))
+    lake._write("leads", _counted(rows, seen), "append")
+    assert seen.value == 500
+    assert spark.read.parquet(lake.folder("leads")).agg(F.count("*"), F.countDistinct("month")).first() == (500, 9)

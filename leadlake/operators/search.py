@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from leadlake.functions import semantics as S
 from leadlake.functions.lookup import among
-from leadlake.functions.reliability import small_side
+from leadlake.functions.reliability import dealt, small_side
 from leadlake.sources.tables import Tables, file_system
 
 FIELDS = ("full_name", "primary_phone", "email")
@@ -29,21 +29,23 @@ FIELDS = ("full_name", "primary_phone", "email")
 GRAM = 3
 LISTS = 4
 OTHERS = "?"
+#: Rows a task cuts into grams: a few megabytes of names are one file, and some ten times as many postings.
+ROWS = 50_000
 _END = "\x03"
 _PRINTABLE = r"^[\x20-\x7e]*$"
 
 
 def _grams(text: Column) -> Column:
-    """The different grams of one text; ``OTHERS`` alone for a text that is not printable ASCII."""
+    """The grams of one text, none for null; ``OTHERS`` alone for a text that is not printable ASCII."""
     padded = F.concat(F.lower(text), F.lit(_END * (GRAM - 1)))
     own = F.transform(F.sequence(F.lit(1), F.length(text)), lambda k: F.substring(padded, k, F.lit(GRAM)))
     some = F.when(F.length(text) > 0, own).otherwise(F.array().cast("array<string>"))
-    return F.when(text.rlike(_PRINTABLE), some).otherwise(F.array(F.lit(OTHERS * (GRAM + 1))))
+    return F.when(text.isNull() | text.rlike(_PRINTABLE), some).otherwise(F.array(F.lit(OTHERS * (GRAM + 1))))
 
 
 def postings(rows: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     """(gram, id): each different gram of a row's texts once. No shuffle."""
-    every = F.flatten(F.array(*[F.coalesce(_grams(F.col(c)), F.array().cast("array<string>")) for c in fields]))
+    every = F.flatten(F.array(*[_grams(F.col(c)) for c in fields]))
     return rows.select(F.explode(F.array_distinct(every)).alias("gram"), "id")
 
 
@@ -66,7 +68,7 @@ class SearchIndex:
 
     def build(self, rows: DataFrame) -> SearchIndex:
         """Index all rows for the first time."""
-        self._append(postings(rows))
+        self._append(rows)
         counts = self.grams().groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
         counts.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{self.path}/counts")
         return self
@@ -76,12 +78,14 @@ class SearchIndex:
 
         Counts stay as they are: they only choose lists.
         """
-        self._append(postings(rows))
+        self._append(rows)
         return self
 
-    def _append(self, found: DataFrame) -> None:
-        # by gram and id, so that the list of a very frequent gram lies in many files
-        laid = found.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id")
+    def _append(self, rows: DataFrame) -> None:
+        named = rows.select("id", *FIELDS)
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-named.count() // ROWS))
+        # by gram, with the list of a very frequent gram split over many files
+        laid = dealt(postings(named.repartition(tasks)), ["gram"]).sortWithinPartitions("gram", "id")
         laid.write.mode("append").option("parquet.bloom.filter.enabled#gram", "true").option(
             "parquet.bloom.filter.adaptive.enabled", "true").parquet(f"{self.path}/grams")
 

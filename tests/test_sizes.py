@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from leadlake.functions import reliability
 from leadlake.functions.lookup import POINTS, among
 from leadlake.functions.reliability import BROADCAST_ROWS, small_side
+from leadlake.operators import search
 from leadlake.operators.keyed import mark_known
 from leadlake.operators.writes import update_leads
 from leadlake.plans.inspect import plan_text
@@ -96,3 +97,27 @@ def test_month_folders_work_rows_out_once(spark, tmp_path):
     lake._write("leads", _counted(rows, seen), "append")
     assert seen.value == 500
     assert spark.read.parquet(lake.folder("leads")).agg(F.count("*"), F.countDistinct("month")).first() == (500, 9)
+
+
+def test_postings_of_one_file_are_made_by_many_tasks_and_once(spark, tmp_path):
+    seen, tasks = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    people = spark.range(400).select("id", F.concat(F.lit("Patient "), "id").alias("full_name"), F.lit("98").alias("primary_phone"), F.lit(None).cast("string").alias("email"))
+    people.coalesce(1).write.parquet(str(tmp_path / "people"))
+    index = search.SearchIndex(spark, str(tmp_path / "index"))
+
+    def count(batches):
+        some = 0
+        for batch in batches:
+            some += len(batch)
+            yield batch
+        seen.add(some)
+        tasks.add(1 if some else 0)
+
+    made = search.postings
+    search.postings = lambda rows: made(rows.mapInPandas(count, rows.schema))
+    try:
+        index.build(spark.read.parquet(str(tmp_path / "people")))
+    finally:
+        search.postings = made
+    assert seen.value == 400 and tasks.value >= 4
+    assert {r["id"] for r in index.candidates("t 39").collect()} == {39, *range(390, 400)}

@@ -66,8 +66,9 @@ class Vocabulary:
         self.token_bytes |= {i: content.encode() for content, i in self.added.items()}
         self.decimal = {i: str(i) for i in self.token_bytes}
         self._added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        # The file's own splitter, as its Unicode tables decide what a letter is.
-        self._split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        # The file's own splitter, as its Unicode tables decide what a letter is; the vocabulary is not loaded a second time for it.
+        bare = spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}
+        self._split = Tokenizer.from_str(json.dumps(bare)).pre_tokenizer.pre_tokenize_str
         self._printable = {b: c for c, b in to_byte.items()}
         self._space = self._printable[0x20]
         self._ascii_words = re.compile(_ASCII_WORDS.format(self._space)).findall

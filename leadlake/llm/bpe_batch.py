@@ -9,7 +9,7 @@ bounded by a batch's bytes. A helper of one task; Spark deals the batches.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from leadlake.llm.bpe import Vocabulary, printable_bytes
 
 #: Bytes of text cut at once. Its pieces and the lists made of them take twenty times as much, in each of an executor's workers.
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 #: Code points that may be counted as white space (one of these before a space makes the space no certain cut).
 _SPACES = "".join(c for c in map(chr, range(0x10000)) if c.isspace()) + "\x85᠎​⁠﻿"
 _UNSAFE = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in _SPACES) + "] "
@@ -217,7 +217,7 @@ class Merger:
 
 def slices(texts: pa.Array) -> Iterator[pa.Array]:
     """Stretches of at most ``AT_ONCE`` bytes, or one text."""
-    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for k, n in enumerate(sizes.tolist()):
         if k > start and total + n > AT_ONCE:
@@ -234,17 +234,15 @@ def joined(parts: pa.Array, lists: Ragged, separator: str | bytes) -> pa.Array:
     return pc.binary_join(listed, pa.scalar(separator, listed.type.value_type))
 
 
-def per_text(texts: pa.Array, vocab: Vocabulary, plain: Callable[[pa.Array], Sequence], other: Callable[[str], object]) -> list:
-    """Results in order: ``plain`` of stretches of plain texts, ``other`` of each other one. Nulls count as empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    simple = plain_texts(texts, vocab)
-    out: list = [None] * len(texts)
-    places = np.nonzero(simple)[0].tolist()
-    at = 0
-    for stretch in slices(texts.filter(pa.array(simple))):
-        for value in plain(stretch):
-            out[places[at]] = value
-            at += 1
-    for k in np.nonzero(~simple)[0].tolist():
-        out[k] = other(texts[k].as_py())
+def per_text(texts: pa.Array, vocab: Vocabulary, plain: Callable[[pa.Array], Iterable], other: Callable[[str], object]) -> list:
+    """Results in order: ``plain`` of the plain texts of a stretch, ``other`` of each other one. Nulls count as empty.
+
+    Only one stretch at a time is copied and worked on.
+    """
+    out: list = []
+    for stretch in slices(texts):
+        some = pc.fill_null(stretch.cast(pa.large_string()), "")
+        simple = plain_texts(some, vocab)
+        told = iter(plain(some.filter(pa.array(simple))) if simple.any() else ())
+        out += [next(told) if alone else other(some[k].as_py()) for k, alone in enumerate(simple.tolist())]
     return out

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from leadlake.llm.apart import Apart
 from leadlake.llm.bpe import ID, Remembered, Vocabulary, pieces, vocabulary
 from leadlake.llm.bpe_batch import Merger, Ragged, cut, joined, per_text
-from leadlake.llm.ship import ship_code
+from leadlake.llm.ship import ship_code, small_batches
 
 #: Bytes up to which a fragment is merged by looking through all its ranks.
 SHORT = 48
@@ -186,6 +186,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     leave the task, so nothing but the digests is passed on.
     """
     ship_code(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
     def digests(texts: pa.Array) -> pa.Array:

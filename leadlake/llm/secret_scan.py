@@ -26,12 +26,14 @@ from collections.abc import Iterator
 from itertools import accumulate, pairwise
 from math import log
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.llm.ship import ship_code
+from leadlake.llm.ship import ship_code, small_batches
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "novel")
@@ -165,6 +167,20 @@ def mask(text: str | None) -> str | None:
     return "".join([*out, text[at:]]) if out else text
 
 
+def masked_texts(texts: pa.Array) -> pa.Array:
+    """A batch with its secrets masked; texts without any are not copied one by one."""
+    changed: dict[int, str] = {}
+    for k, x in enumerate(texts):
+        text = x.as_py()
+        if (new := mask(text)) is not text:
+            changed[k] = new
+    if not changed:
+        return texts
+    at = np.zeros(len(texts), bool)
+    at[list(changed)] = True
+    return pc.replace_with_mask(texts, pa.array(at), pa.array(list(changed.values()), texts.type))
+
+
 def secret_spans(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
     """Add the spans of each whole text as ``out``, an array of (kind, start, end)."""
     ship_code(docs.sparkSession)
@@ -180,10 +196,11 @@ def secret_spans(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
 def mask_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replace the secrets in each text; texts without any stay as they are, nulls stay null."""
     ship_code(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("string")
     def masked(texts: pa.Array) -> pa.Array:
-        return pa.array([mask(x.as_py()) for x in texts], pa.string())
+        return masked_texts(texts)
 
     return docs.withColumn(text, masked(F.col(text)))
 

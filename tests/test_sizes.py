@@ -79,6 +79,30 @@ def test_readers_size_shuffles_by_what_they_read(spark, t, tmp_path, monkeypatch
     assert [len(paths) for paths in asked] == [8, 1, 1] and asked[2][0].endswith("/months/facilities")
 
 
+def test_a_task_reads_no_more_of_a_file_in_larger_tables(spark, tmp_path, monkeypatch):
+    most = "spark.sql.files.maxPartitionBytes"
+    held = {key: spark.conf.get(key, None) for key in (most, "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")}
+    monkeypatch.setattr(reliability, "SCAN_BYTES", 20_000)
+    per_task = []
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")  # as few tasks as a much larger table would get
+        for copies in (1, 6):
+            path = str(tmp_path / f"rows{copies}")
+            spark.range(copies * 20_000).repartition(copies * 10).write.parquet(path)
+            spark.conf.unset(most)
+            reliability.fit_partitions(spark, [path])
+            tasks = spark.read.parquet(path).groupBy(F.spark_partition_id()).count().collect()
+            per_task.append(max(r["count"] for r in tasks))
+        spark.conf.set(most, "64m")
+        reliability.fit_partitions(spark, [path])
+        assert spark.conf.get(most) == "64m"
+    finally:
+        for key, value in held.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert per_task[0] == per_task[1] < 20_000
+
+
 def _counted(df, seen):
     """The rows of ``df``, each added to an accumulator whenever it is worked out."""
 

@@ -6,6 +6,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from leadlake.functions.reliability import checkpointed, checkpoints_read
 from leadlake.operators import dedupe as M
 from leadlake.operators import writes as W
 from leadlake.plans.inspect import plan_text
@@ -128,6 +129,67 @@ def test_jobs_come_to_the_same_tables(spark, lake, t):
             assert rows(lake.frame(table)) == rows(plain[table]), (job.__name__, table)
 
 
+def kept_checkpoints(spark):
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    return {name for name in os.listdir(folder) if name.startswith("rdd-")}
+
+
+def visits_of_a_week(spark, t):
+    visits = t.appointments.where("appointment_date between '1995-03-05' and '1995-03-11'").select("id")
+    return checkpointed(load_batch(spark, SF_DIR, t, "visit_changes").join(visits, "id", "left_semi"))
+
+
+def test_a_job_leaves_only_what_its_outcome_reads(spark, lake, t):
+    batch = visits_of_a_week(spark, t)
+    assert batch.count() > 5
+    before = kept_checkpoints(spark)
+    done = lake.run(W.set_visit_status, batch, CLOCK)
+    read = {os.path.basename(f) for f in checkpoints_read([done.rejects, done.accepted])}
+    assert kept_checkpoints(spark) - before == read and len(read) == 2
+    assert sorted(os.listdir(lake.path)) == sorted(FACTS)
+    want = W.set_visit_status(t, batch, CLOCK)
+    assert rows(done.rejects) == rows(want.rejects) and rows(done.accepted) == rows(want.accepted)
+
+
+def test_changed_months_are_kept_once_until_they_are_moved(spark, lake, t):
+    batch = visits_of_a_week(spark, t)
+    assert batch.count() > 5
+    before, old = kept_checkpoints(spark), {table: files(lake, table) for table in FACTS}
+    change = lake.prepare(W.set_visit_status, batch, CLOCK)
+    assert len(kept_checkpoints(spark) - before) == 2  # refused and judged rows, none of the tables
+    assert {table: files(lake, table) for table in FACTS} == old
+    want = W.set_visit_status(t, batch, CLOCK).tables
+    for table in ("appointments", "leads"):
+        shown = rows(change.outcome.tables[table])
+        assert shown and set(shown) <= set(rows(want[table].select(*lake.frame(table).columns)))
+    lake.write(change)
+    for table in ("appointments", "leads"):
+        assert rows(lake.frame(table)) == rows(want[table].select(*lake.frame(table).columns))
+
+
+def test_a_change_broken_off_inside_a_table_is_finished(spark, lake, t):
+    gone = t.interactions.where("interaction_type = 'email' or interaction_date < '2024-01-10'").select("id")
+    before = files(lake, "interactions")
+    change = lake.prepare(W.delete_interactions, gone)
+    staged = os.path.join(change.staged, "interactions")
+    first = sorted(name for name in os.listdir(staged) if name.startswith("month="))[0]
+    shutil.rmtree(os.path.join(lake.folder("interactions"), first))  # what a broken-off move leaves
+    os.rename(os.path.join(staged, first), os.path.join(lake.folder("interactions"), first))
+    lake.write(change)
+    left = rows(t.interactions.join(gone, "id", "left_anti").select(*lake.frame("interactions").columns))
+    assert rows(lake.frame("interactions")) == left and files(lake, "interactions") != before
+    after = files(lake, "interactions")
+    lake.write(change)
+    assert files(lake, "interactions") == after
+
+
+def test_a_failing_job_leaves_no_staged_months(spark, lake, monkeypatch):
+    monkeypatch.setattr(lake, "read", None)
+    with pytest.raises(TypeError):
+        lake.prepare(W.change_stage, spark.createDataFrame([(5, 1, "interested", "")], "id bigint, seq bigint, stage string, substage string"), CLOCK)
+    assert sorted(os.listdir(lake.path)) == sorted(FACTS)
+
+
 def test_intake_looks_phones_up(spark, lake, t):
     known = t.patients.first()
     assert "patients_by_phone" == BY_PHONE and BY_PHONE in lake.tables()

@@ -1,5 +1,7 @@
 """Joins and tasks at sizes that estimates get wrong."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from leadlake.functions import reliability
@@ -103,6 +105,25 @@ def test_a_task_reads_no_more_of_a_file_in_larger_tables(spark, tmp_path, monkey
     assert per_task[0] == per_task[1] < 20_000
 
 
+def test_scratch_deletes_what_no_kept_frame_reads(spark):
+    outer = reliability.checkpointed(spark.range(5))
+    with reliability.Scratch(spark) as scratch:
+        a, b, c = (reliability.checkpointed(spark.range(n)) for n in (10, 20, 30))
+        joined = a.join(b.where("id > 3"), "id").where(F.col("id").isin([4, 5]))
+        assert scratch.holds(a.where("id > 1").select("id")) and not scratch.holds(joined) and not scratch.holds(outer)
+        assert not scratch.holds(a.withColumn("x", F.rand()))
+        files = [reliability.checkpoints_read([df]) for df in (a, b, c, outer)]
+        assert [len(f) for f in files] == [1, 1, 1, 1] and reliability.checkpoints_read([joined]) == files[0] | files[1]
+        nested = spark.createDataFrame(joined.rdd, "id bigint")
+        assert reliability.checkpoints_read([nested]) is None
+        scratch.sweep(nested)  # may read any of them
+        assert len(scratch.made) == 3
+        scratch.sweep(joined, outer)
+        assert scratch.made == files[0] | files[1]
+    exists = [os.path.exists(next(iter(f)).removeprefix("file:")) for f in files]
+    assert exists == [True, True, False, True] and sorted(r["id"] for r in joined.collect()) == [4, 5]
+
+
 def _counted(df, seen):
     """The rows of ``df``, each added to an accumulator whenever it is worked out."""
 
